@@ -72,7 +72,8 @@ def label_bounds(coefficients: DataFrame, by: list[str], coefficient: str = "wei
         F.sum(c).alias("returned"), F.sum(F.when(known, c * F.col(label)).otherwise(zero)).alias("known"), F.sum(F.when(~known, F.least(c, zero)).otherwise(zero)).alias("_low"),
         F.sum(F.when(~known, F.greatest(c, zero)).otherwise(zero)).alias("_high"), F.sum(F.when(~known, F.abs(c)).otherwise(zero)).alias("unknown_mass"),
     )
-    bounded = sums.withColumns({"lower": F.col("known") + F.col("_low"), "upper": F.col("known") + F.col("_high")}).drop("_low", "_high")
+    ends = {"lower": F.round(F.col("known") + F.col("_low"), 12), "upper": F.round(F.col("known") + F.col("_high"), 12)}  # else rounding errors would count as a sign
+    bounded = sums.withColumns(ends).drop("_low", "_high")
     return bounded.withColumn("direction", direction(F.col("lower"), F.col("upper")))
 
 

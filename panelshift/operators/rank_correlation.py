@@ -35,12 +35,6 @@ def spearman(members: DataFrame, panel: list[str]) -> DataFrame:
     return ranked.groupBy(*panel).agg(F.count("*").alias("members"), F.when(scale > 0, (n * sxy - sx * sy) / F.sqrt(F.greatest(scale, F.lit(0.0)))).alias("spearman"))
 
 
-def _excess(x1, y1, w1, x2, y2, w2) -> int:
-    """Concordant minus discordant pairs between two sets of weighted points."""
-    sign = np.sign(x1[:, None] - x2[None, :]) * np.sign(y1[:, None] - y2[None, :])
-    return int((sign * w1[:, None].astype(float) @ w2.astype(float)).sum())
-
-
 def _within(x, y, w, xb, different: bool) -> int:
     """Concordant minus discordant pairs among the points, once each; with `different` only pairs of different old blocks."""
     total, step = 0, 1024
@@ -66,19 +60,22 @@ def kendall_tau_b(members: DataFrame, panel: list[str], block: int = BLOCK) -> D
     placed = cells.join(olds.drop("ties"), [*panel, "old_score"]).join(news.drop("ties"), [*panel, "new_score"]).select(*panel, "w", "xb", "yb", F.col("xb_step").alias("x"), F.col("yb_step").alias("y"))
     schema = placed.select(*panel).schema.add("excess", "long")
 
-    def inside(keys: list[str], different: bool):
+    several = placed.groupBy(*panel).agg(F.max("xb").alias("_m")).filter("_m > 0").drop("_m")  # only these have pairs across old blocks
+    spread = placed.join(several, panel, "left_semi")
+
+    def inside(cells_: DataFrame, keys: list[str], different: bool):
         def count(pdf: pd.DataFrame) -> pd.DataFrame:
             e = _within(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(np.int64), pdf["xb"].to_numpy(), different)
             return pdf[panel].head(1).assign(excess=e)
 
-        return placed.groupBy(*panel, *keys).applyInPandas(count, schema)
+        return cells_.groupBy(*panel, *keys).applyInPandas(count, schema)
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, w = (pdf[c].to_numpy(np.int64) for c in ("xb", "yb", "w"))
         return pdf[panel].head(1).assign(excess=_within(x, y, w, x, True))
 
-    between = placed.groupBy(*panel, "xb", "yb").agg(F.sum("w").alias("w")).groupBy(*panel).applyInPandas(across, schema)
-    parts = inside(["xb"], False).unionByName(inside(["yb"], True)).unionByName(between)
+    between = spread.groupBy(*panel, "xb", "yb").agg(F.sum("w").alias("w")).groupBy(*panel).applyInPandas(across, schema)
+    parts = inside(placed, ["xb"], False).unionByName(inside(spread, ["yb"], True)).unionByName(between)
     excess = parts.groupBy(*panel).agg(F.sum("excess").alias("excess"))
 
     def tied(steps: DataFrame, name: str) -> DataFrame:
