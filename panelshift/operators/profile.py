@@ -82,7 +82,7 @@ def chunk_facts(chunks: DataFrame, checks: Checks) -> DataFrame:
             for chunk in batch.itertuples(index=False):
                 yield _facts_of(chunk, checks)
 
-    return chunks.repartition(chunks.sparkSession.sparkContext.defaultParallelism * 2, "path", "row_group").mapInPandas(read, FACTS)
+    return chunks.filter("n_rows > 0").repartition(chunks.sparkSession.sparkContext.defaultParallelism * 2, "path", "row_group").mapInPandas(read, FACTS)
 
 
 def _facts_of(chunk, checks: Checks) -> pd.DataFrame:
@@ -92,8 +92,8 @@ def _facts_of(chunk, checks: Checks) -> pd.DataFrame:
     out: list[pd.DataFrame] = []
     group_of, labels = np.zeros(chunk.n_rows, int), [list(chunk.group_values)] if chunk.one_group else []
     if not chunk.one_group:
-        frame = file.read_row_group(chunk.row_group, columns=list(checks.groups)).to_pandas()
-        keys = pd.MultiIndex.from_frame(frame.astype(object).where(frame.notna(), None).map(lambda x: None if x is None else str(int(x)) if isinstance(x, float) else str(x)))
+        read = file.read_row_group(chunk.row_group, columns=list(checks.groups))
+        keys = pd.MultiIndex.from_arrays([read.column(c).cast("string").to_numpy(zero_copy_only=False) for c in checks.groups])
         group_of, unique = pd.factorize(keys, use_na_sentinel=False)
         labels = [[None if pd.isna(x) else x for x in u] for u in unique]
     sizes = np.bincount(group_of, minlength=len(labels))
@@ -142,9 +142,8 @@ def _facts_of(chunk, checks: Checks) -> pd.DataFrame:
         out.append(pd.DataFrame({"group_values": [labels[g] for g in at], "kind": "value", "column_name": column, "text_value": values}))
     names = [x.split()[0] for x in FACTS.split(", ")]
     whole = pd.concat([x for x in out if len(x)] or [pd.DataFrame(columns=names)], ignore_index=True).reindex(columns=names)
-    for c in ("row_id", "n", "nulls", "sound"):
-        whole[c] = whole[c].astype("Int64")
-    return whole
+    kinds = {"row_id": "Int64", "n": "Int64", "nulls": "Int64", "sound": "Int64", "total": "float64", "lo": "float64", "hi": "float64"}
+    return whole.astype({c: kinds.get(c, object) for c in names})
 
 
 def column_profile(facts: DataFrame) -> DataFrame:
