@@ -14,12 +14,12 @@ Latin ones. Everything else (case, accents, digits, words, runs of several blank
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Cyrillic and Greek letters and the Latin letters they print like.
@@ -38,6 +38,8 @@ LIGATURE_RANGES = [(0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x0132, 0x0133), (0x01C7
 UNICODE = 0x110000
 #: No code point from here on has a decomposition or a class.
 LAST_MAPPED = 0x30000
+#: Characters that a task explodes at a time; each takes some 50 bytes until the strings are rebuilt.
+PORTION = 500_000
 #: Code points from here on may be marks.
 FIRST_MARK = 0x0300
 
@@ -170,18 +172,34 @@ def rebuild(points: np.ndarray, starts: np.ndarray) -> list[str]:
     return [whole[a : b - 1] for a, b in zip(bounds, bounds[1:])]
 
 
+def portions(texts: list[str], characters: int = PORTION) -> Iterator[slice]:
+    """Neighbouring texts of together at most `characters`, or one longer text: what is exploded at a time."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > characters:
+            yield slice(start, i)
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def canonical_strings(texts: list[str]) -> list[str]:
-    return rebuild(*canonical_points(texts)) if texts else []
+    return [form for part in portions(texts) for form in rebuild(*canonical_points(texts[part]))]
 
 
-@F.pandas_udf(T.StringType())
-def _canonical(texts: pd.Series) -> pd.Series:
-    known = texts.notna().to_numpy()
-    out = pd.Series([None] * len(texts), dtype=object)
-    out[known] = canonical_strings(texts[known].tolist())
-    return out
+def with_canonical_text(df: DataFrame, text: str, out: str) -> DataFrame:
+    """`df` with the canonical form of `text` in `out`; NULL stays NULL, the empty text stays empty. An older column `out` is replaced."""
+    kept = df.drop(out) if out != text else df
+    schema = T.StructType([*[f for f in kept.schema.fields if f.name != out], T.StructField(out, T.StringType())])
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for part in portions([t or "" for t in texts]):
+                forms = iter(canonical_strings([t for t in texts[part] if t is not None]))
+                new = pa.array([None if t is None else next(forms) for t in texts[part]], pa.string())
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*[c for c, n in zip(rows.columns, rows.schema.names) if n != out], new], schema.fieldNames())
 
-def canonical_text(text: Column | str) -> Column:
-    """The canonical form of a text column; NULL stays NULL, the empty text stays empty."""
-    return _canonical(F.col(text) if isinstance(text, str) else text)
+    return kept.mapInArrow(read, schema)

@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelshift.llm.canonical_text import canonical_text
+from panelshift.llm.canonical_text import canonical_strings, portions
 
 #: Documents of one form that a task pairs at most with those of another spelling before the form is salted.
 PER_SALT = 100_000
 
 
 def canonical_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, form, spelling): hashes of a document's canonical form and of its very text; NULL texts are left out."""
-    known = documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    return known.select("doc_id", F.md5(canonical_text("_text")).alias("form"), F.md5("_text").alias("spelling"))
+    """(doc_id, form, spelling): digests of a document's canonical form and of its very text; NULL texts are left out. No text leaves the tasks."""
+
+    def digest(value: str) -> bytes:
+        return blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for part in portions(texts):
+                own = texts[part]
+                columns = [batch.column(0).slice(part.start, len(own)), pa.array([digest(f) for f in canonical_strings(own)], pa.binary()), pa.array([digest(t) for t in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "form", "spelling"])
+
+    known = documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
+    return known.mapInArrow(read, "doc_id long, form binary, spelling binary")
 
 
 def disguised_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import clean_disease, clean_target
 from panelshift.llm import contamination, lookalikes, mixing, topn
+from panelshift.llm.canonical_text import with_canonical_text
 from panelshift.sources.tables import load
 
 PANEL = ["support_name", "release_pair", "canonical_disease_id"]
@@ -75,6 +76,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.disguised_pairs(load(spark, d, "documents", ["doc_id", "text"]))
 
 
+def p9_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text isn't in the canonical form already, with the number of characters before and after."""
+    forms = with_canonical_text(load(spark, d, "documents", ["doc_id", "text"]), "text", "form")
+    return forms.filter("form <> text").select("doc_id", F.length("text").alias("n_chars"), F.length("form").alias("n_chars_form"))
+
+
 def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every document with the class of texts that look like it."""
     return lookalikes.class_members(load(spark, d, "documents", ["doc_id", "text"]))
@@ -82,7 +89,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p5_found": p5_found, "p5_positions": p5_positions, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found,
-    "p8_report": p8_report, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_classes": p9_classes,
+    "p8_report": p8_report, "p8_mixture": p8_mixture, "p9_found": p9_found, "p9_classes": p9_classes, "p9_changed": p9_changed,
 }
 
 _TOP = r"""ranked AS (SELECT support_name, release_pair, d, t, s, row_number() OVER (PARTITION BY support_name, release_pair, d ORDER BY s DESC, t) AS position FROM (
