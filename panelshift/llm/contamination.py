@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelshift.llm.canonical_text import UNICODE, canonical_points
+from panelshift.llm.canonical_text import UNICODE, canonical_points, portions
 
 #: Kept positions of a window of SPAN words; each mask ignores two or three, and every position is kept by one of them.
 SPAN = 10
@@ -134,31 +134,33 @@ def document_windows(documents: DataFrame, doc_id: str, text: str, table: np.nda
         bits = sent.value
         low = np.uint64(len(bits) * 8 - 1)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            hashes, bounds = word_hashes(batch.column(1).to_pylist())
-            n = len(hashes) - SPAN + 1
-            if n <= 0:
-                continue
-            found = []
-            for m, mask in enumerate(MASKS):
-                s = seeds(hashes, mask)
-                p = s & low
-                at = np.flatnonzero((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
-                at = at[at + SPAN <= bounds[np.searchsorted(bounds, at, side="right")]]
-                found.append((np.full(len(at), m), s[at], at))
-            masks, values, at = (np.concatenate(x) for x in zip(*found))
-            text_of = np.searchsorted(bounds, at, side="right") - 1
-            first = np.maximum(at - MARGIN, bounds[text_of])
-            last = np.minimum(at + SPAN + MARGIN, bounds[text_of + 1])
-            ends = np.concatenate(([0], np.cumsum(last - first)))
-            flat = np.repeat(first - ends[:-1], last - first) + np.arange(ends[-1])
-            around = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[flat].view(np.int64)))
-            columns = [pa.array(ids[text_of]), pa.array(masks, pa.int32()), pa.array(values.view(np.int64)), pa.array(at - bounds[text_of], pa.int32()), pa.array(first - bounds[text_of], pa.int32()), around]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "seed", "at", "from_word", "words"])
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for part in portions(texts):
+                yield _windows(ids[part], texts[part], bits, low)
 
     return documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(read, WORDS_AROUND)
 
 
+def _windows(ids: np.ndarray, texts: list[str], bits: np.ndarray, low: np.uint64) -> pa.RecordBatch:
+    hashes, bounds = word_hashes(texts)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for m, mask in enumerate(MASKS):
+        s = seeds(hashes, mask)
+        p = s & low
+        at = np.flatnonzero((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
+        at = at[at + SPAN <= bounds[np.searchsorted(bounds, at, side="right")]]
+        found.append((np.full(len(at), m), s[at], at))
+    masks, values, at = (np.concatenate(x) for x in zip(*found))
+    text_of = np.searchsorted(bounds, at, side="right") - 1
+    first = np.maximum(at - MARGIN, bounds[text_of])
+    last = np.minimum(at + SPAN + MARGIN, bounds[text_of + 1])
+    ends = np.concatenate(([0], np.cumsum(last - first)))
+    flat = np.repeat(first - ends[:-1], last - first) + np.arange(ends[-1])
+    around = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[flat].view(np.int64)))
+    columns = [pa.array(ids[text_of]), pa.array(masks, pa.int32()), pa.array(values.view(np.int64)), pa.array(at - bounds[text_of], pa.int32()), pa.array(first - bounds[text_of], pa.int32()), around]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "seed", "at", "from_word", "words"])
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that share a passage: doc_id, item_id, longest_run, overlap.
 
