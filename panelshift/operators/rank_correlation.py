@@ -8,12 +8,16 @@ Rank-biased overlap needs, for each depth, the members that both rankings have r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelshift.operators.panel import average_rank, both_ladders, ladder
+from panelshift.session import cut_lineage
 
 BLOCK = 2048
 
@@ -35,19 +39,27 @@ def spearman(members: DataFrame, panel: list[str]) -> DataFrame:
     return ranked.groupBy(*panel).agg(F.count("*").alias("members"), F.when(scale > 0, (n * sxy - sx * sy) / F.sqrt(F.greatest(scale, F.lit(0.0)))).alias("spearman"))
 
 
-def _within(x, y, w, xb, different: bool) -> int:
-    """Concordant minus discordant pairs among the points, once each; with `different` only pairs of different old blocks."""
+def _within(x: np.ndarray, y: np.ndarray, w: np.ndarray, xb: np.ndarray, different: bool) -> int:
+    """Concordant minus discordant pairs among weighted points, once each; with `different` only pairs of different old blocks."""
     total, step = 0, 1024
     for a in range(0, len(x), step):
         for b in range(0, len(x), step):
-            s = slice(a, a + step), slice(b, b + step)
-            sign = np.sign(x[s[0], None] - x[None, s[1]]) * np.sign(y[s[0], None] - y[None, s[1]])
+            s, t = slice(a, a + step), slice(b, b + step)
+            sign = np.sign(x[s, None] - x[None, t]) * np.sign(y[s, None] - y[None, t])
             if different:
-                sign = sign * (xb[s[0], None] != xb[None, s[1]])
-            total += int(w[s[0]] @ sign @ w[s[1]])
+                sign = sign * (xb[s, None] != xb[None, t])
+            total += int(w[s] @ sign @ w[t])
     return total // 2
 
 
+def _excess_rows(done: list[tuple[pa.RecordBatch, int]], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Finished groups as rows of (panel, excess); each comes with one row that holds its panel."""
+    if done:
+        names = schema.fieldNames()
+        rows = pa.Table.from_batches([row.select(names[:-1]) for row, _ in done]).append_column(names[-1], pa.array([e for _, e in done], pa.int64()))
+        yield from rows.to_batches()
+
+
 def kendall_tau_b(members: DataFrame, panel: list[str], block: int = BLOCK) -> DataFrame:
     """Tau-b per panel, corrected for ties on either side; NULL for fewer than two members or when one side is constant."""
     cells = members.filter("old_score is not null and new_score is not null").groupBy(*panel, "old_score", "new_score").agg(F.count("*").alias("w"))
@@ -57,25 +69,46 @@ def kendall_tau_b(members: DataFrame, panel: list[str], block: int = BLOCK) -> D
         return steps.select(*panel, score, F.floor(F.col("above") / block).alias(name), F.col("step").cast("long").alias(f"{name}_step"), "ties")
 
     olds, news = blocks("old_score", "xb"), blocks("new_score", "yb")
+    olds, news = cut_lineage(olds), cut_lineage(news)
     placed = cells.join(olds.drop("ties"), [*panel, "old_score"]).join(news.drop("ties"), [*panel, "new_score"]).select(*panel, "w", "xb", "yb", F.col("xb_step").alias("x"), F.col("yb_step").alias("y"))
+    placed = cut_lineage(placed)
     schema = placed.select(*panel).schema.add("excess", "long")
 
     several = placed.groupBy(*panel).agg(F.max("xb").alias("_m")).filter("_m > 0").drop("_m")  # only these have pairs across old blocks
     spread = placed.join(several, panel, "left_semi")
 
-    def inside(cells_: DataFrame, keys: list[str], different: bool):
-        def count(pdf: pd.DataFrame) -> pd.DataFrame:
-            e = _within(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(np.int64), pdf["xb"].to_numpy(), different)
-            return pdf[panel].head(1).assign(excess=e)
-
-        return cells_.groupBy(*panel, *keys).applyInPandas(count, schema)
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = (pdf[c].to_numpy(np.int64) for c in ("xb", "yb", "w"))
-        return pdf[panel].head(1).assign(excess=_within(x, y, w, x, True))
-
-    between = spread.groupBy(*panel, "xb", "yb").agg(F.sum("w").alias("w")).groupBy(*panel).applyInPandas(across, schema)
-    parts = inside(placed, ["xb"], False).unionByName(inside(spread, ["yb"], True)).unionByName(between)
+    def inside(points: DataFrame, keys: list[str], different: bool) -> DataFrame:
+        """Excess of concordant pairs within each group of (panel, keys); groups arrive whole and in turn, many to a task."""
+        group = F.xxhash64(*[x for k in [*panel, *keys] for x in (F.col(k).isNull(), F.col(k))])
+        ordered = points.repartition(*panel, *keys).sortWithinPartitions(*panel, *keys).select(*panel, "x", "y", "w", "xb", group.alias("_group"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, first, held = None, None, []
+
+            def total() -> int:
+                return _within(*(np.concatenate([h[i] for h in held]) for i in range(4)), different)
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                groups = batch.column("_group").to_numpy()
+                columns = [batch.column(c).to_numpy() for c in ("x", "y", "w", "xb")]
+                starts = np.concatenate(([0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]))
+                done = []
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    if groups[a] != last:
+                        if held:
+                            done.append((first, total()))
+                        last, first, held = groups[a], batch.slice(a, 1), []
+                    held.append([c[a:b] for c in columns])
+                yield from _excess_rows(done, schema)
+            if held:
+                yield from _excess_rows([(first, total())], schema)
+
+        return ordered.mapInArrow(count, schema)
+
+    between = spread.groupBy(*panel, "xb", "yb").agg(F.sum("w").alias("w")).select(*panel, F.col("xb").alias("x"), F.col("yb").alias("y"), "w", "xb")
+    parts = inside(placed, ["xb"], False).unionByName(inside(spread, ["yb"], True)).unionByName(inside(between, [], True))
     excess = parts.groupBy(*panel).agg(F.sum("excess").alias("excess"))
 
     def tied(steps: DataFrame, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import affirmative, clean_disease, clean_target
 from panelshift.operators import drift, orphans, profile, selection, snapshots
+from panelshift.session import cut_lineage
 from panelshift.sources.tables import load, table_path
 
 PROTEIN = r"9606\.ENSP[0-9]{11}"
@@ -77,7 +78,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Row findings of protein_links and findings of a load against the load before it."""
-    facts = link_facts(spark, d).persist()
+    facts = cut_lineage(link_facts(spark, d))
     group = F.col("group_values")
     place = [group[0].alias("archive_id"), group[1].cast("int").alias("load_no")]
     rows = facts.filter("kind = 'row'").select(*place, "column_name", "finding", F.col("row_id").alias("link_id"))
@@ -170,14 +171,14 @@ def feed_profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Fields added, removed, renamed or retyped from file to file; only matches that the files declare count as one field."""
-    profiles = feed_profiles(spark, d)[2].persist()
-    matches = drift.match_fields(profiles, "feed_id", "file_seq").filter("declared")
+    profiles = cut_lineage(feed_profiles(spark, d)[2])
+    matches = cut_lineage(drift.match_fields(profiles, "feed_id", "file_seq").filter("declared"))
     return drift.schema_changes(profiles, matches, "feed_id", "file_seq")
 
 
 def p6_suspected_renames(spark: SparkSession, d: str) -> DataFrame:
     """Matches by name, types and values that the files don't declare: fields that may have been renamed."""
-    matches = drift.match_fields(feed_profiles(spark, d)[2], "feed_id", "file_seq").filter("not declared")
+    matches = drift.match_fields(cut_lineage(feed_profiles(spark, d)[2]), "feed_id", "file_seq").filter("not declared")
     return matches.select("feed_id", "file_seq", "old_name", "new_name", F.round("weight", 6).alias("weight"))
 
 

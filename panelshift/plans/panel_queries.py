@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelshift.functions.scalars import clean_disease, clean_target, is_finite
 from panelshift.operators import allocation, evaluation, panel, rank_correlation, revision, scenario, snapshots
 from panelshift.plans.release_queries import _rounded
+from panelshift.session import cut_lineage
 from panelshift.sources.tables import load
 
 P = ["support_name", "release_pair", "canonical_disease_id"]
@@ -18,12 +19,16 @@ SIGNALS = {"leader_change": 0.05, "top_10_jaccard_below": 0.9, "low_overlap": 0.
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    """One row per panel and target with both scores above 0 and at most 1: the one loaded last, of equal ones the greatest."""
+    """One row per panel and target with both scores above 0 and at most 1: the one loaded last, of equal ones the greatest.
+
+    Most queries read them more than once, so they are stored as a table.
+    """
     rows = load(spark, d, "fixed_ranking_panel_members", [*P, TARGET, "old_score", "new_score", "old_evidence_count", "new_evidence_count", "stable_entity_member", "canonical_therapeutic_area_ids", "loaded_at"])
     clean = rows.withColumns({"canonical_disease_id": clean_disease("canonical_disease_id"), TARGET: clean_target(TARGET)})
     valid = [is_finite(F.col(c)) & (F.col(c) > 0) & (F.col(c) <= 1) for c in ("old_score", "new_score")]
     values = ["new_score", "old_score", "new_evidence_count", "old_evidence_count", "stable_entity_member", "canonical_therapeutic_area_ids"]
-    return snapshots.latest_rows(clean.filter(valid[0] & valid[1]), "support_name", ["release_pair", "canonical_disease_id", TARGET], "loaded_at", values).withColumnRenamed("canonical_therapeutic_area_ids", "areas")
+    last = snapshots.latest_rows(clean.filter(valid[0] & valid[1]), "support_name", ["release_pair", "canonical_disease_id", TARGET], "loaded_at", values)
+    return cut_lineage(last.withColumnRenamed("canonical_therapeutic_area_ids", "areas"))
 
 
 def rank_displacements(spark: SparkSession, d: str) -> DataFrame:
@@ -103,12 +108,12 @@ def consensus_ranks(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(panel.consensus_ranks(members(spark, d), ["support_name", "canonical_disease_id"], TARGET, "release_pair", "new_score"))
 
 
-def _allocated(spark: SparkSession, d: str, score: str) -> DataFrame:
-    return allocation.allocate(members(spark, d), P, score, BUDGET)
+def _allocated(rows: DataFrame, score: str) -> DataFrame:
+    return allocation.allocate(rows, P, score, BUDGET)
 
 
 def fractional_allocation(spark: SparkSession, d: str) -> DataFrame:
-    return _allocated(spark, d, "new_score").select(*P, TARGET, "num", "den")
+    return _allocated(members(spark, d), "new_score").select(*P, TARGET, "num", "den")
 
 
 def allocation_gap(spark: SparkSession, d: str) -> DataFrame:
@@ -116,13 +121,14 @@ def allocation_gap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def allocation_change(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(allocation.compare_allocations(_allocated(spark, d, "old_score"), _allocated(spark, d, "new_score"), P, TARGET))
+    rows = members(spark, d)
+    return _rounded(allocation.compare_allocations(_allocated(rows, "old_score"), _allocated(rows, "new_score"), P, TARGET))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """The new allocation with labels: stable members 1, others 0; unknown where the number of pieces of evidence changed."""
     label = F.when(F.col("old_evidence_count").eqNullSafe(F.col("new_evidence_count")), F.col("stable_entity_member").cast("int"))
-    return _allocated(spark, d, "new_score").withColumns({"label": label, "labelled": F.col("stable_entity_member").isNotNull()})
+    return _allocated(members(spark, d), "new_score").withColumns({"label": label, "labelled": F.col("stable_entity_member").isNotNull()})
 
 
 def label_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -131,10 +137,11 @@ def label_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 def contrast_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Bounds of the labelled mass of the new minus the old allocation; shared items cancel before labels are met."""
-    old, new = _allocated(spark, d, "old_score"), _allocated(spark, d, "new_score")
+    rows = members(spark, d)
+    old, new = _allocated(rows, "old_score"), _allocated(rows, "new_score")
     vector = allocation.combine((1.0, new), (-1.0, old), keys=[*P, TARGET])
     label = F.when(F.col("old_evidence_count").eqNullSafe(F.col("new_evidence_count")), F.col("stable_entity_member").cast("int"))
-    labels = members(spark, d).select(*P, TARGET, label.alias("label"))
+    labels = rows.select(*P, TARGET, label.alias("label"))
     return _rounded(allocation.label_bounds(vector.join(labels, [*P, TARGET], "left").withColumn("weight", F.round("weight", 12)), P))
 
 
@@ -144,18 +151,19 @@ def arm_mass(spark: SparkSession, d: str) -> DataFrame:
 
 def stable_allocation(spark: SparkSession, d: str) -> DataFrame:
     """Weight that a target keeps under every release pair."""
-    new = _allocated(spark, d, "new_score")
+    new = _allocated(members(spark, d), "new_score")
     return _rounded(allocation.stable_weights(new, ["support_name", "canonical_disease_id"], TARGET, "release_pair", 3))
 
 
 def mean_allocation(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(allocation.mean_weights(_allocated(spark, d, "new_score"), ["support_name", "canonical_disease_id"], TARGET, "release_pair"))
+    return _rounded(allocation.mean_weights(_allocated(members(spark, d), "new_score"), ["support_name", "canonical_disease_id"], TARGET, "release_pair"))
 
 
 def donor_means(spark: SparkSession, d: str) -> DataFrame:
     """Half the L1 distance of the allocations, averaged over the panels of an area list, then over area lists."""
-    change = allocation.compare_allocations(_allocated(spark, d, "old_score"), _allocated(spark, d, "new_score"), P, TARGET)
-    areas = members(spark, d).groupBy(*P).agg(F.coalesce(F.min("areas"), F.lit("")).alias("donor"))
+    rows = members(spark, d)
+    change = allocation.compare_allocations(_allocated(rows, "old_score"), _allocated(rows, "new_score"), P, TARGET)
+    areas = rows.groupBy(*P).agg(F.coalesce(F.min("areas"), F.lit("")).alias("donor"))
     return _rounded(allocation.donor_reduction(change.join(areas, P), "donor", "canonical_disease_id", P[:2], ["half_l1", "weighted_jaccard"]))
 
 
@@ -171,7 +179,7 @@ def change_concentration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(allocation.matched_prefix(_allocated(spark, d, "new_score").withColumn("target_mass", F.lit(4.5)), P, TARGET, "new_score", "target_mass").select(*P, TARGET, "kept_weight"))
+    return _rounded(allocation.matched_prefix(_allocated(members(spark, d), "new_score").withColumn("target_mass", F.lit(4.5)), P, TARGET, "new_score", "target_mass").select(*P, TARGET, "kept_weight"))
 
 
 def leader_regret(spark: SparkSession, d: str) -> DataFrame:

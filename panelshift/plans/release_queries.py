@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelshift.functions.scalars import affirmative, clean_disease, clean_target
 from panelshift.operators import identity, resampling, revision, snapshots, support
 from panelshift.operators.panel import epsilon_leaders, turnover_reasons
+from panelshift.session import cut_lineage
 from panelshift.sources.tables import load
 
 PAIR = ["canonical_disease_id", "canonical_target_id"]
@@ -46,13 +47,19 @@ def transitions(spark: SparkSession, d: str) -> DataFrame:
     return support.state_transitions(canonical(spark, d), releases(spark, d))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """An intermediate result that a query reads more than once, stored as a table."""
+    return cut_lineage(df)
+
+
 def members(spark: SparkSession, d: str) -> DataFrame:
-    return support.fixed_members(transitions(spark, d), releases(spark, d))
+    names = releases(spark, d)
+    return support.fixed_members(_kept(support.state_transitions(canonical(spark, d), names)), names)
 
 
 def revisions(spark: SparkSession, d: str) -> DataFrame:
     names = releases(spark, d)
-    return revision.pair_revisions(support.fixed_members(transitions(spark, d), names), f"{names[0]}_to_{names[1]}")
+    return revision.pair_revisions(support.fixed_members(_kept(support.state_transitions(canonical(spark, d), names)), names), f"{names[0]}_to_{names[1]}")
 
 
 def crosswalk_statuses(spark: SparkSession, d: str) -> DataFrame:
@@ -87,12 +94,16 @@ def native_registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exclusion_registry(spark: SparkSession, d: str) -> DataFrame:
-    return support.exclusion_registry(canonical(spark, d), support.fixed_registry(members(spark, d)), disease_entries(spark, d), target_entries(spark, d))
+    names, diseases, targets = releases(spark, d), disease_entries(spark, d), target_entries(spark, d)
+    rows = _kept(support.canonical_associations(latest_associations(spark, d), diseases, targets))
+    fixed = support.fixed_members(_kept(support.state_transitions(rows, names)), names)
+    return support.exclusion_registry(rows, support.fixed_registry(fixed), diseases, targets)
 
 
 def support_flow(spark: SparkSession, d: str) -> DataFrame:
-    steps = transitions(spark, d)
-    return _rounded(support.support_flow(canonical(spark, d), steps, support.fixed_registry(support.fixed_members(steps, releases(spark, d)))))
+    rows = _kept(canonical(spark, d))
+    steps = _kept(support.state_transitions(rows, releases(spark, d)))
+    return _rounded(support.support_flow(rows, steps, support.fixed_registry(support.fixed_members(steps, releases(spark, d)))))
 
 
 def entrant_exit_records(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +116,7 @@ def pair_revisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.score_summary(revisions(spark, d)))
+    return _rounded(revision.score_summary(_kept(revisions(spark, d))))
 
 
 def scale_diagnostic(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +124,9 @@ def scale_diagnostic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_tier_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.tier_summary(revisions(spark, d), support.entrant_exit_records(transitions(spark, d))))
+    names = releases(spark, d)
+    steps = _kept(support.state_transitions(canonical(spark, d), names))
+    return _rounded(revision.tier_summary(revision.pair_revisions(support.fixed_members(steps, names)), support.entrant_exit_records(steps)))
 
 
 def tier_area_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -121,11 +134,11 @@ def tier_area_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def area_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.area_summary(revisions(spark, d)))
+    return _rounded(revision.area_summary(_kept(revisions(spark, d))))
 
 
 def concentration(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.concentration(revisions(spark, d)))
+    return _rounded(revision.concentration(_kept(revisions(spark, d))))
 
 
 def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -133,12 +146,12 @@ def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entrant_exit_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.entrant_exit_summary(support.entrant_exit_records(transitions(spark, d))))
+    return _rounded(revision.entrant_exit_summary(_kept(support.entrant_exit_records(transitions(spark, d)))))
 
 
 def native_turnover(spark: SparkSession, d: str) -> DataFrame:
     """Why the leaders of each native panel changed from release to release."""
-    rows = transitions(spark, d).filter("old_eligible or new_eligible")
+    rows = _kept(transitions(spark, d).filter("old_eligible or new_eligible"))
     best = rows.groupBy("release_pair", "canonical_disease_id").agg(F.max(F.when(F.col("old_eligible"), F.col("old_score"))).alias("_o"), F.max(F.when(F.col("new_eligible"), F.col("new_score"))).alias("_n"))
     flags = rows.join(best, ["release_pair", "canonical_disease_id"]).select(
         "release_pair", "canonical_disease_id", F.col("old_eligible").alias("old_present"), F.col("new_eligible").alias("new_present"), "mapping_affected",
@@ -151,7 +164,7 @@ def native_turnover(spark: SparkSession, d: str) -> DataFrame:
 def persistence_classes(spark: SparkSession, d: str) -> DataFrame:
     """Whether a change of leaders holds on stable members and on members with at least five pieces of evidence in both releases."""
     by = ["release_pair", "canonical_disease_id"]
-    rows = members(spark, d).filter("support_name = 'PAIR_SPECIFIC'")
+    rows = _kept(members(spark, d).filter("support_name = 'PAIR_SPECIFIC'"))
     domain = rows.filter((F.col("old_evidence_count") >= 5) & (F.col("new_evidence_count") >= 5))
     layers = [epsilon_leaders(x, by, "canonical_target_id", (0.0,)).select(*by, F.col("changed").alias(n)) for n, x in (("primary_changed", rows), ("stable_changed", rows.filter("stable_member")), ("domain_changed", domain))]
     joined = layers[0].join(layers[1], by, "left").join(layers[2], by, "left")
@@ -162,7 +175,7 @@ def persistence_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def change_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap intervals of a release pair's mean absolute change and share of changed scores, panels drawn with replacement."""
-    per_panel = revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC'").groupBy("release_pair", "canonical_disease_id").agg(F.avg("absolute_change").alias("mean_change"), F.avg((~F.col("exact_unchanged")).cast("double")).alias("changed_share"))
+    per_panel = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC'").groupBy("release_pair", "canonical_disease_id").agg(F.avg("absolute_change").alias("mean_change"), F.avg((~F.col("exact_unchanged")).cast("double")).alias("changed_share")))
     plan = resampling.hashed_plan(per_panel, "canonical_disease_id", ["release_pair"], 200)
     draws = resampling.draw_means(per_panel, plan, ["release_pair"], "canonical_disease_id", ["mean_change", "changed_share"])
     return _rounded(resampling.percentile_intervals(per_panel, draws, ["release_pair"], ["mean_change", "changed_share"]))

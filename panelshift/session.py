@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
@@ -22,9 +27,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it from there, so that lost executors cost no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the shared folder and read it from there.
+
+    What follows starts from the table: plans stay short, only needed columns are read again, and lost executors cost no
+    recomputation. The tables are small against their input; the folder's owner clears them.
+    """
+    path = f"{shared_folder(df.sparkSession)}/panelshift-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to Python workers that don't find it on their path; the driver serves the archive, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="panelshift-")) / "panelshift.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(here.rglob("*.py")):
+            out.write(path, path.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
