@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshift.llm.canonical_text import canonical_strings, portions
+from panelshift.session import cut_lineage
 
 #: Documents of one form that a task pairs at most with those of another spelling before the form is salted.
 PER_SALT = 100_000
@@ -40,7 +41,7 @@ def disguised_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     Forms with one spelling drop out on counts alone; of the others, documents of a form with many are salted. Documents
     with equal ids and NULL or lone texts make no pair; an empty table gives no rows.
     """
-    classes = canonical_classes(documents, doc_id, text).persist()
+    classes = cut_lineage(canonical_classes(documents, doc_id, text))
     mixed = classes.groupBy("form").agg(F.min("spelling").alias("_least"), F.max("spelling").alias("_most"), F.count("*").alias("_n")).filter("_least <> _most")
     salted = mixed.select("form", (F.floor(F.col("_n") / PER_SALT) + 1).cast("int").alias("_salts"))
     members = classes.join(salted, "form")
