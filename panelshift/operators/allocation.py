@@ -107,10 +107,13 @@ def leave_one_out(rows: DataFrame, by: list[str], unit: str, value: str) -> Data
 
 
 def concentration_shares(rows: DataFrame, by: list[str], unit: str, value: str, tops: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """The share of the absolute total that the 1, 5 and 10 largest units hold (ties by unit). Window rows are one per unit."""
+    """The share of the absolute total that the 1, 5 and 10 largest units hold (ties by unit). Only the largest units are ever ordered."""
     units = rows.groupBy(*by, unit).agg(F.abs(F.sum(value)).alias("_v"))
+    totals = units.groupBy(*by).agg(F.count("*").alias("units"), F.sum("_v").alias("total"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_v").desc(), unit))
-    return units.withColumn("_p", place).groupBy(*by).agg(F.count("*").alias("units"), F.sum("_v").alias("total"), *[ratio(F.sum(F.when(F.col("_p") <= k, F.col("_v"))), F.sum("_v")).alias(f"top_{k}_share") for k in tops])
+    largest = units.withColumn("_p", place).filter(F.col("_p") <= max(tops))  # Spark keeps the first rows of each task before the shuffle
+    sums = largest.groupBy(*by).agg(*[F.sum(F.when(F.col("_p") <= k, F.col("_v"))).alias(f"_top_{k}") for k in tops])
+    return totals.join(sums, by).select(*by, "units", "total", *[ratio(F.col(f"_top_{k}"), F.col("total")).alias(f"top_{k}_share") for k in tops])
 
 
 def matched_prefix(allocations: DataFrame, panel: list[str], item: str, score: str, target: str) -> DataFrame:

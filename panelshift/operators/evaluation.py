@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio
+from panelshift.operators.ordering import hash_numbered
 from panelshift.operators.panel import ladder
 
 
@@ -36,8 +37,8 @@ def calibration(rows: DataFrame, by: list[str], target: str, probability: str, b
 
 def group_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
     """(group, fold): whole groups dealt round robin in the order of a hash of their name."""
-    order = Window.orderBy(F.md5(F.col(group).cast("string")), group)  # one row per group
-    return rows.select(group).filter(F.col(group).isNotNull()).distinct().withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    groups = rows.select(group).filter(F.col(group).isNotNull()).distinct()
+    return hash_numbered(groups, [], F.md5(F.col(group).cast("string")), group, "_no").select(group, ((F.col("_no") - 1) % folds).alias("fold"))
 
 
 def choose_specification(trials: DataFrame, by: list[str], specification: str) -> DataFrame:

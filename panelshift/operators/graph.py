@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio, when_chain
+from panelshift.operators.ordering import hash_numbered
 from panelshift.session import cut_lineage
 
 THRESHOLDS = (150, 400, 700)
@@ -86,8 +87,8 @@ def edit_burden(edits: DataFrame, degrees: DataFrame) -> DataFrame:
 def matched_controls(candidates: DataFrame, wanted: DataFrame, strata: list[str], item: str, seed: int = 0) -> DataFrame:
     """As many candidates of each stratum as `wanted` has rows there, by the order of a seeded hash; fewer where there are not enough."""
     need = wanted.groupBy(*strata).agg(F.count("*").alias("_need"))
-    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string"))), item)
-    return candidates.join(need, strata).withColumn("_no", F.row_number().over(order)).filter("_no <= _need").drop("_no", "_need")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(item).cast("string")))
+    return hash_numbered(candidates.join(need, strata), strata, digest, item, "_no").filter("_no <= _need").drop("_no", "_need")
 
 
 def propagate(edges: DataFrame, evidence: DataFrame, smoothing: float = 3.0, iterations: int = 10, every: int = 5) -> DataFrame:

@@ -5,10 +5,11 @@ Which members an edit touches follows from a hash of (seed, panel, member), so e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import when_chain
+from panelshift.operators.ordering import hash_numbered
 
 CLASSES = ("UNCHANGED", "RESCALE", "LEADER_SWAP", "ENTRY", "EXIT", "RENAME", "PERTURB")
 
@@ -19,9 +20,10 @@ def edited_panels(members: DataFrame, panel: list[str], member: str, score: str,
     ceil(level * n) members are touched. RESCALE halves all scores; LEADER_SWAP gives the hash-first member a score above the best;
     ENTRY adds copies of the touched under new names, EXIT drops them, RENAME does both; PERTURB moves their scores down by a tenth.
     """
-    place = F.row_number().over(Window.partitionBy(*panel).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in panel], member)), member))
-    whole = Window.partitionBy(*panel)
-    numbered = members.filter(F.col(score).isNotNull()).select(*panel, member, F.col(score).alias("s"), place.alias("_no"), F.count("*").over(whole).alias("_n"), F.max(score).over(whole).alias("_best"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in panel], F.col(member)))
+    sizes = members.filter(F.col(score).isNotNull()).groupBy(*panel).agg(F.count("*").alias("_n"), F.max(score).alias("_best"))
+    ordered = hash_numbered(members.filter(F.col(score).isNotNull()).select(*panel, member, F.col(score).alias("s")), panel, digest, member, "_no")
+    numbered = ordered.join(sizes, panel)
     runs = F.array(*[F.struct(F.lit(c).alias("scenario"), F.lit(level).alias("level")) for c in CLASSES for level in levels])
     each = numbered.select("*", F.inline(runs)).withColumn("_hit", F.col("_no") <= F.ceil(F.col("level") * F.col("_n")))
     hit, case, s, none = F.col("_hit"), F.col("scenario"), F.col("s"), F.lit(None).cast("double")

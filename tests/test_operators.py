@@ -1,5 +1,6 @@
 """Brute-force checks of panel, allocation, resampling, graph and identity operators on small tables."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelshift.operators import allocation, evaluation, graph, identity, panel, rank_correlation, resampling, revision, support
+from panelshift.operators import allocation, evaluation, graph, identity, ordering, panel, rank_correlation, resampling, revision, support
 from panelshift.sources import sinks, tables
 
 
@@ -161,3 +162,14 @@ def test_readers_and_writers(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.require_columns(df, ["i", "nope"])
     assert tables.violations(df, F.col("i") > 1) == 1
+
+
+def test_running_sums_and_numbers(spark):
+    df = spark.createDataFrame([(k, i // 5, i, i % 3) for k in ("x", "y", None) for i in range(40)], "k string, part int, o int, n long")
+    got = {(r["k"], r["o"]): r["s"] for r in ordering.running_sum(df, ["k"], "part", ["o"], "n", "s").collect()}
+    assert got == {(k, i): sum(j % 3 for j in range(i + 1)) for k in ("x", "y", None) for i in range(40)}
+    numbered = ordering.hash_numbered(df, ["k"], F.md5(F.col("o").cast("string")), "o", "no").orderBy("k", "no").collect()
+    assert [r["no"] for r in numbered] == list(range(1, 41)) * 3
+    order = [r["o"] for r in numbered[:40]]
+    assert order == sorted(order, key=lambda o: hashlib.md5(str(o).encode()).hexdigest())
+    assert ordering.hash_numbered(df.limit(0), [], F.md5(F.lit("")), "o", "no").count() == 0
