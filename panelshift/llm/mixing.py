@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelshift.operators.ordering import running_sum
 from panelshift.session import cut_lineage
 
 #: Ranges of finish times up to one budget; beyond, ranges per doubling.
@@ -93,18 +94,6 @@ def token_sizes(documents: DataFrame, doc_id: str, source: str, text: str, vocab
     return cut_lineage(chosen.mapInArrow(read, "doc_id long, source string, tokens long"))
 
 
-def running_sum(df: DataFrame, keys: list[str], part: str, order: list[str], size: str, out: str) -> DataFrame:
-    """`out`: the sum of `size` over the rows of the key up to each row, in the order of `part`, then `order`.
-
-    `part` must cut the order into ranges of limited size: ranges are summed first, and their prefix sums are joined to the rows.
-    """
-    sums = df.groupBy(*keys, part).agg(F.sum(size).alias("_s"))
-    along = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, part, F.coalesce(F.sum("_s").over(along), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(offsets, [*keys, part]).withColumn(out, F.col("_offset") + F.sum(size).over(inside)).drop("_offset")
-
-
 def finish_times(sizes: DataFrame, weights: DataFrame, seed: int = 0) -> DataFrame:
     """Every use of every document of a weighted source: doc_id, source, tokens, use_no (from 1), finish.
 

@@ -226,13 +226,6 @@ def test_mixture_of_nothing(spark):
     assert {r["source"] for r in mixing.sources_running_dry(sized(spark, [("a", 3), ("b", 3)]), weights).collect()} == {"gone"}
 
 
-def test_running_sum(spark):
-    data = [(k, i // 5, i, i % 3) for k in "xy" for i in range(40)]
-    df = spark.createDataFrame(data, "k string, part int, o int, n long")
-    got = {(r["k"], r["o"]): r["s"] for r in mixing.running_sum(df, ["k"], "part", ["o"], "n", "s").collect()}
-    assert got == {(k, i): sum(j % 3 for j in range(i + 1)) for k in "xy" for i in range(40)}
-
-
 def test_sizes_of_null_empty_and_long_texts(spark):
     df = spark.createDataFrame([(1, " A-b ", None), (2, "a_B", ""), (3, None, "one two"), (4, "c", "word " * 100_000)], "doc_id long, source string, text string").withColumn("tokens", F.lit("clash"))
     got = {r["doc_id"]: (r["source"], r["tokens"]) for r in mixing.token_sizes(df, "doc_id", "source", "text", vocabulary()).collect()}
