@@ -53,3 +53,22 @@ def confusion(rows: DataFrame, by: list[str], warned, happened) -> DataFrame:
         F.count_if(warned & happened).alias("true_warnings"), F.count_if(warned & ~happened).alias("false_warnings"),
         F.count_if(~warned & happened).alias("missed"), F.count_if(~warned & ~happened).alias("quiet"),
     )
+
+
+def fit_logistic(rows: DataFrame, features: list[str], target: str, regularisation: float = 0.0):
+    """Logistic regression with a ridge penalty on standardised features, fitted by Spark over all complete rows; the intercept is free."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    complete = rows.select(*features, F.col(target).cast("double").alias("label")).dropna()
+    steps = [VectorAssembler(inputCols=features, outputCol="_features"), LogisticRegression(featuresCol="_features", regParam=regularisation, elasticNetParam=0.0, maxIter=50)]
+    return Pipeline(stages=steps).fit(complete)
+
+
+def predict_logistic(model, rows: DataFrame, features: list[str], out: str) -> DataFrame:
+    """Rows with complete features and their probability in `out`."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(rows.dropna(subset=features)).withColumn(out, vector_to_array("probability")[1])
+    return scored.drop("_features", "rawPrediction", "probability", "prediction")

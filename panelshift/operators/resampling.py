@@ -37,6 +37,12 @@ def draw_means(values: DataFrame, plan: DataFrame, by: list[str], unit: str, col
     return joined.groupBy(*by, "draw").agg(*[F.when(F.count(F.when(F.col(c).isNull(), 1)) == 0, ratio(F.sum(F.col(c) * F.col("times")), F.sum("times"))).alias(c) for c in columns])
 
 
+def draw_ratios(values: DataFrame, plan: DataFrame, by: list[str], unit: str, numerator: str, denominator: str, out: str) -> DataFrame:
+    """Per group and draw the ratio of two drawn sums (not the mean of ratios); NULL where the denominator is 0."""
+    joined = plan.join(values.select(*by, unit, numerator, denominator), [*by, unit])
+    return joined.groupBy(*by, "draw").agg(ratio(F.sum(F.col(numerator) * F.col("times")), F.sum(F.col(denominator) * F.col("times"))).alias(out))
+
+
 def percentile_intervals(values: DataFrame, draws: DataFrame, by: list[str], columns: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Per group and column: the estimate over all units and the linear percentile interval over draws; NULL if any draw is."""
     stacked = F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in columns]))

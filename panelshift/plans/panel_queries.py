@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import clean_disease, clean_target, is_finite
-from panelshift.operators import allocation, evaluation, panel, rank_correlation, revision, scenario, snapshots
+from panelshift.operators import allocation, evaluation, panel, rank_correlation, revision, scenario, selection, snapshots
 from panelshift.plans.release_queries import _rounded
 from panelshift.session import cut_lineage
 from panelshift.sources.tables import load
@@ -227,6 +227,25 @@ def chosen_predictor(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.choose_specification(both, P[:2], "specification")
 
 
+def change_census(spark: SparkSession, d: str) -> DataFrame:
+    """Per panel: members by the sign of their score change, and its quartiles by inverse distribution function, exact for panels of any size."""
+    rows = members(spark, d).withColumn("change", F.round(F.col("new_score") - F.col("old_score"), 9))
+    ranks = selection.per_key_ranks(rows, P, "change", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, {"_from_zero": 0.0, "positive": 5e-10})
+    return ranks.select(*P, F.col("n_values").alias("members"), (F.col("n_values") - F.col("_from_zero")).alias("negative"), (F.col("_from_zero") - F.col("positive")).alias("zero"), "positive", "q25", "q50", "q75")
+
+
+def held_out_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """A logistic model of the new top ten, fitted on the first release pair and scored on the later ones."""
+    rows = panel.both_ladders(members(spark, d), P).withColumns({"target": F.col("new_above") < 10, "place": F.log1p("old_above"), "evidence": F.log1p(F.coalesce("old_evidence_count", F.lit(0)).cast("double"))})
+    features = ["old_score", "place", "evidence"]
+    first = rows.agg(F.min("release_pair")).first()[0]
+    if first is None:
+        return evaluation.binary_metrics(rows, P[:2], "target", "old_score")
+    model = evaluation.fit_logistic(rows.filter(F.col("release_pair") == first), features, "target", 0.01)
+    later = evaluation.predict_logistic(model, rows.filter(F.col("release_pair") != first), features, "predicted")
+    return evaluation.binary_metrics(later, P[:2], "target", "predicted")
+
+
 def scenario_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """What a comparison finds in every panel under controlled edits."""
     return scenario.scenario_outcomes(scenario.edited_panels(members(spark, d), P, TARGET, "old_score"), P)
@@ -237,7 +256,7 @@ QUERIES = {
     for f in (
         rank_displacements, displacement_summary, top_set_comparison, top_set_members, epsilon_leaders, leader_margins, score_changes, rank_agreement, signal_assessment, area_displacement, consensus_ranks,
         fractional_allocation, allocation_gap, allocation_change, label_bounds, contrast_bounds, arm_mass, stable_allocation, mean_allocation, donor_means, panel_influence, change_concentration, matched_prefix,
-        leader_regret, nondominated_targets, margin_warnings, prediction_metrics, prediction_calibration, disease_folds, chosen_predictor, scenario_outcomes,
+        leader_regret, nondominated_targets, margin_warnings, prediction_metrics, prediction_calibration, disease_folds, chosen_predictor, held_out_prediction, change_census, scenario_outcomes,
     )
 }
 
@@ -344,3 +363,6 @@ UNION ALL SELECT {_BY}, scenario, level, NULL, s FROM cases WHERE scenario IN ('
 SELECT {_ID}, scenario, level, count(*) FILTER (o IS NOT NULL AND n IS NOT NULL) AS persistent, count(*) FILTER (o IS NULL) AS entering, count(*) FILTER (n IS NULL) AS exiting, count(*) FILTER (o <> n) AS changed,
 bool_or(coalesce(o = bo, false) <> coalesce(n = bn, false)) AS leaders_changed FROM b GROUP BY {_BY}, scenario, level""",
 }
+
+ORACLE["change_census"] = f"""WITH {_PM}, c AS (SELECT {_BY}, round(n - o, 9) + 0.0 x FROM pm) SELECT {_ID}, count(*) AS members, count(*) FILTER (x < 0) AS negative, count(*) FILTER (x = 0) AS zero, count(*) FILTER (x > 0) AS positive,
+quantile_disc(x, 0.25) AS q25, quantile_disc(x, 0.5) AS q50, quantile_disc(x, 0.75) AS q75 FROM c GROUP BY {_BY}"""

@@ -161,6 +161,19 @@ def native_turnover(spark: SparkSession, d: str) -> DataFrame:
     return turnover_reasons(flags, ["release_pair", "canonical_disease_id"])
 
 
+REASONS = ("UNCHANGED", "MAPPING_AFFECTED", "PERSISTENT_PAIR_RERANKING", "ENTRANT", "EXIT", "MIXED", "UNRESOLVED")
+
+
+def turnover_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    """Panels per release pair and reason, also reasons that don't occur, with their share of the pair's panels."""
+    found = _kept(native_turnover(spark, d))
+    counts = found.groupBy("release_pair", "reason").agg(F.count("*").alias("panels"))
+    totals = found.groupBy("release_pair").agg(F.count("*").alias("_all"))
+    full = totals.withColumn("reason", F.explode(F.array(*[F.lit(r) for r in REASONS])))
+    padded = full.join(counts, ["release_pair", "reason"], "left").fillna(0, ["panels"])
+    return _rounded(padded.select("release_pair", "reason", "panels", (F.col("panels") / F.col("_all")).alias("fraction")))
+
+
 def persistence_classes(spark: SparkSession, d: str) -> DataFrame:
     """Whether a change of leaders holds on stable members and on members with at least five pieces of evidence in both releases."""
     by = ["release_pair", "canonical_disease_id"]
@@ -181,12 +194,21 @@ def change_intervals(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(resampling.percentile_intervals(per_panel, draws, ["release_pair"], ["mean_change", "changed_share"]))
 
 
+def changed_pair_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Changed pairs over all pairs of a release pair, with a bootstrap interval of the ratio of sums over panels."""
+    panels = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC'").groupBy("release_pair", "canonical_disease_id").agg(F.count_if(~F.col("exact_unchanged")).alias("changed"), F.count("*").alias("pairs")))
+    draws = resampling.draw_ratios(panels, resampling.hashed_plan(panels, "canonical_disease_id", ["release_pair"], 200), ["release_pair"], "canonical_disease_id", "changed", "pairs", "changed_ratio")
+    whole = panels.groupBy("release_pair").agg((F.sum("changed") / F.sum("pairs")).alias("estimate"))
+    ends = draws.groupBy("release_pair").agg(F.percentile("changed_ratio", F.array(F.lit(0.025), F.lit(0.975))).alias("_e"))
+    return _rounded(whole.join(ends, "release_pair").select("release_pair", "estimate", F.col("_e")[0].alias("lower"), F.col("_e")[1].alias("upper")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         crosswalk_statuses, canonical_associations, state_transitions, membership_partition, fixed_members, fixed_registry, native_registry, exclusion_registry, support_flow,
         entrant_exit_records, pair_revisions, score_summary, scale_diagnostic, score_tier_summary, tier_area_distribution, area_summary, concentration, trajectory_summary,
-        entrant_exit_summary, native_turnover, persistence_classes, change_intervals,
+        entrant_exit_summary, native_turnover, turnover_decomposition, persistence_classes, change_intervals, changed_pair_ratio,
     )
 }
 
@@ -355,3 +377,12 @@ ends AS (SELECT release_pair, 'mean_change' measure, quantile_cont(mc, 0.025) lo
 point AS (SELECT release_pair, 'mean_change' measure, avg(mean_change) e FROM panels GROUP BY 1 UNION ALL SELECT release_pair, 'changed_share', avg(changed_share) FROM panels GROUP BY 1)
 SELECT release_pair, measure, {_r('e')} AS estimate, {_r('lo')} AS lower, {_r('hi')} AS upper, n AS draws FROM point JOIN ends USING (release_pair, measure)""",
 }
+
+ORACLE["turnover_decomposition"] = f"""WITH found AS ({ORACLE['native_turnover']}), reasons AS (SELECT unnest([{', '.join(f"'{r}'" for r in REASONS)}]) AS reason), totals AS (SELECT release_pair, count(*) a FROM found GROUP BY 1)
+SELECT t.release_pair, r.reason, count(f.reason) AS panels, round(count(f.reason) / any_value(a), 9) AS fraction FROM totals t CROSS JOIN reasons r LEFT JOIN found f ON f.release_pair = t.release_pair AND f.reason = r.reason GROUP BY 1, 2"""
+ORACLE["changed_pair_ratio"] = f"""WITH {_REV}, panels AS (SELECT release_pair, d, count(*) FILTER (NOT exact_unchanged) c, count(*) k FROM rev WHERE support_name = 'PAIR_SPECIFIC' GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY release_pair ORDER BY d) - 1 no, count(*) OVER (PARTITION BY release_pair) n FROM panels),
+picks AS (SELECT release_pair, draw, ('0x' || substr(md5(draw || '|' || no), 1, 8))::BIGINT % n pick FROM numbered, (SELECT unnest(range(200)) draw)),
+draws AS (SELECT p.release_pair, draw, sum(c) / sum(k) x FROM picks p JOIN numbered m ON m.release_pair = p.release_pair AND m.no = pick GROUP BY 1, 2),
+whole AS (SELECT release_pair, sum(c) / sum(k) e FROM panels GROUP BY 1)
+SELECT w.release_pair, round(any_value(e), 9) AS estimate, round(quantile_cont(x, 0.025), 9) AS lower, round(quantile_cont(x, 0.975), 9) AS upper FROM whole w JOIN draws USING (release_pair) GROUP BY 1"""

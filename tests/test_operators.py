@@ -173,3 +173,19 @@ def test_running_sums_and_numbers(spark):
     order = [r["o"] for r in numbered[:40]]
     assert order == sorted(order, key=lambda o: hashlib.md5(str(o).encode()).hexdigest())
     assert ordering.hash_numbered(df.limit(0), [], F.md5(F.lit("")), "o", "no").count() == 0
+
+
+def test_held_out_prediction_beats_chance(spark):
+    random.seed(8)
+    data = [(i % 2, x, float(random.random()), int(x + random.gauss(0, 0.15) > 0.7)) for i in range(600) for x in [random.random()]]
+    df = spark.createDataFrame([*data, (0, None, 1.0, 1), (1, None, 1.0, 0)], "half int, x double, noise double, y int")
+    model = evaluation.fit_logistic(df.filter("half = 0"), ["x", "noise"], "y", 0.01)
+    held_out = evaluation.predict_logistic(model, df.filter("half = 1"), ["x", "noise"], "p")
+    got = evaluation.binary_metrics(held_out, ["half"], "y", "p").first()
+    assert got["rows"] == 300 and got["average_precision"] > 0.8 and got["brier"] < 0.15
+
+
+def test_ratio_draws(spark):
+    units = spark.createDataFrame([("g", 1, 1, 2), ("g", 2, 0, 8)], "g string, u int, a int, b int")
+    plan = spark.createDataFrame([("g", 0, 1, 2), ("g", 1, 1, 1), ("g", 1, 2, 1)], "g string, draw int, u int, times long")
+    assert {r["draw"]: r["x"] for r in resampling.draw_ratios(units, plan, ["g"], "u", "a", "b", "x").collect()} == {0: 0.5, 1: 0.1}

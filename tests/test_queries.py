@@ -33,3 +33,8 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_query_without_sql_runs(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() >= 0
