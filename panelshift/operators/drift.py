@@ -165,3 +165,56 @@ def unified_roles(fields: DataFrame, roles: DataFrame, record: str, feed: str, s
     inner = F.coalesce(F.expr("try_cast(value as double)"), F.expr("try_cast(get_json_object(value, '$.value') as double)"))
     joined = fields.join(roles, [feed, seq, "name"], "left").withColumn("_x", inner)
     return joined.groupBy(record, feed, seq).agg(*[F.max(F.when(F.col("role") == r, F.col("_x"))).alias(r) for r in names])
+
+
+def field_identities(profiles: DataFrame, matches: DataFrame, feed: str, seq: str) -> DataFrame:
+    """(feed, name, field): the identity, in all files of a feed, of every field name that plays no role.
+
+    Names that agree when normalised are one field. Undeclared matches join such names to one field, heaviest first, unless
+    the two are found in one file of the feed. The field is named after its normalised name of the earliest file. One
+    feed's distinct names and links reach a grouped function, however many files there are.
+    """
+    norm = normalised_name
+    plain = profiles.filter("role is null")
+    names = plain.select(feed, norm(F.col("name")).alias("_a"), F.lit(None).cast("string").alias("_b"), F.lit(0.0).alias("_w"), seq).groupBy(feed, "_a", "_b", "_w").agg(F.array_sort(F.collect_set(seq)).alias("_files"))
+    links = matches.filter("not declared").select(feed, norm(F.col("old_name")).alias("_a"), norm(F.col("new_name")).alias("_b"), "weight").groupBy(feed, "_a", "_b").agg(F.max("weight").alias("_w"))
+    both = names.unionByName(links, allowMissingColumns=True)
+    kind = profiles.schema[feed].dataType.simpleString()
+    found = both.groupBy(feed).applyInPandas(lambda rows: _joined_names(rows, feed), f"`{feed}` {kind}, _norm string, field string")
+    return plain.select(feed, "name").distinct().withColumn("_norm", norm(F.col("name"))).join(found, [feed, "_norm"]).select(feed, "name", "field")
+
+
+def _joined_names(rows: pd.DataFrame, feed: str) -> pd.DataFrame:
+    """The field of each normalised name of one feed; rows without _b are names with their files, the others links."""
+    own = rows[rows["_b"].isna()]
+    files = {a: set(f) for a, f in zip(own["_a"], own["_files"])}
+    members = {a: [a] for a in files}
+    first = {a: (min(f), a) for a, f in files.items()}
+    head = {a: a for a in files}
+    for a, b, _ in sorted(rows[rows["_b"].notna()][["_a", "_b", "_w"]].itertuples(index=False), key=lambda x: (-x[2], x[0], x[1])):
+        a, b = head[a], head[b]
+        if a == b or files[a] & files[b]:
+            continue
+        files[a] |= files.pop(b)
+        for x in members[b]:
+            head[x] = a
+        members[a] += members.pop(b)
+        first[a] = min(first[a], first.pop(b))
+    names = sorted(head)
+    return pd.DataFrame({feed: [rows[feed].iloc[0]] * len(names), "_norm": names, "field": [first[head[x]][1] for x in names]})
+
+
+def unified_fields(records: DataFrame, fields: DataFrame, roles: DataFrame, identities: DataFrame, record: str, feed: str, seq: str, payload: str) -> DataFrame:
+    """Every field of every record under its identity: record, feed, seq, field_kind (role, field, payload), field, name, type, value.
+
+    A field that plays a role goes by the role (by each, if it plays several), any other by its identity in the feed; name, type
+    and value (as text) are as in the file, so nulls have a row too. A record without fields has one row of kind payload
+    with the payload as value; repeated records count like others.
+    """
+    keys = [record, feed, seq]
+    placed = fields.join(roles, [feed, seq, "name"], "left").join(identities, [feed, "name"], "left")
+    known = placed.select(*keys, F.when(F.col("role").isNotNull(), "role").otherwise("field").alias("field_kind"), F.coalesce("role", "field").alias("field"), "name", "type", "value")
+    shape = F.schema_of_variant(F.try_parse_json(payload))
+    bare = records.filter(~F.coalesce(shape.startswith("OBJECT") & (shape != "OBJECT<>"), F.lit(False)))
+    nothing = F.lit(None).cast("string")
+    return known.unionByName(bare.select(*keys, F.lit("payload").alias("field_kind"), nothing.alias("field"), nothing.alias("name"), nothing.alias("type"), F.col(payload).alias("value")))

@@ -183,15 +183,26 @@ def p6_suspected_renames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
-    """Every record in one table: the four roles as DOUBLE, whatever the file calls or types them."""
+    """The four roles of every record as DOUBLE, whatever the file calls or types them; all other fields are in p6_unified_fields."""
     fields, roles, _ = feed_profiles(spark, d)
     return drift.unified_roles(fields, roles, "record_id", "feed_id", "file_seq", list(ROLES))
 
 
+def p6_unified_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every record, roles and all others, under one identity over the files of its feed."""
+    records = load(spark, d, "score_records", ["record_id", "feed_id", "file_seq", "payload"])
+    fields, roles, profiles = feed_profiles(spark, d)
+    profiles = cut_lineage(profiles)
+    matches = drift.match_fields(profiles, "feed_id", "file_seq")
+    identities = drift.field_identities(profiles, matches, "feed_id", "file_seq")
+    return drift.unified_fields(records, fields, roles, identities, "record_id", "feed_id", "file_seq", "payload")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_anchor_degrees": p1_anchor_degrees, "p1_disease_shares": p1_disease_shares,
     "p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_report": p3_report,
     "p4_found": p4_found, "p4_intervals": p4_intervals, "p6_found": p6_found, "p6_suspected_renames": p6_suspected_renames, "p6_unified": p6_unified,
+    "p6_unified_fields": p6_unified_fields,
 }
 
 # The same in SQL.

@@ -181,6 +181,30 @@ def test_undeclared_rename_is_suspected(spark):
     assert rows(matches.filter("not declared"), "old_name", "new_name") == [("region", "area_name")]
 
 
+def test_no_field_is_lost_in_the_unified_table(spark):
+    values = ['"north"', '"south"', '"east"', '"west"']
+    files = [(1, f'{{"region": {v}, "aB": 1, "s": "high"}}') for v in values] + [(2, f'{{"area_name": {v}, "a_b": null, "t": {{"other": 2}}}}') for v in values]
+    files += [(3, '{"region": "x", "new": [1]}'), (4, '{"area_name": "x", "new": true, "news": 1}'), (4, "no json"), (4, None), (4, "{}")]
+    records = spark.createDataFrame([(i, "f", s, p) for i, (s, p) in enumerate(files)], "id long, feed string, seq int, payload string")
+    roles = spark.createDataFrame([("f", 1, "r", "s"), ("f", 2, "r", "t")], "feed string, seq int, role string, name string")
+    fields = drift.payload_fields(records, "payload", ["id", "feed", "seq"])
+    profiles = drift.with_roles(drift.field_profiles(fields, "feed", "seq"), roles, "feed", "seq")
+    identities = drift.field_identities(profiles, drift.match_fields(profiles, "feed", "seq"), "feed", "seq")
+    got = rows(drift.unified_fields(records, fields, roles, identities, "id", "feed", "seq", "payload"), "id", "field_kind", "field", "name", "type", "value")
+    plain = [v.strip('"') for v in values]
+    expected = [x for i, v in enumerate(plain) for x in [(i, "field", "region", "region", "text", v), (i, "field", "ab", "aB", "number", "1"), (i, "role", "r", "s", "text", "high")]]
+    expected += [x for i, v in enumerate(plain, 4) for x in [(i, "field", "region", "area_name", "text", v), (i, "field", "ab", "a_b", None, None), (i, "role", "r", "t", "object", '{"other":2}')]]
+    expected += [(8, "field", "region", "region", "text", "x"), (8, "field", "new", "new", "list", "[1]"), (9, "field", "region", "area_name", "text", "x"), (9, "field", "new", "new", "boolean", "true"), (9, "field", "news", "news", "number", "1")]
+    expected += [(10, "payload", None, None, None, "no json"), (11, "payload", None, None, None, None), (12, "payload", None, None, None, "{}")]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_fields_of_one_file_are_never_joined(spark):
+    profiles = spark.createDataFrame([("f", s, n, None) for s, n in [(1, "x"), (2, "y"), (3, "x"), (3, "y"), (1, "u"), (2, "v")]], "feed string, seq int, name string, role string")
+    matches = spark.createDataFrame([("f", 2, "x", "y", 3.0, False), ("f", 2, "u", "v", 1.0, False)], "feed string, seq int, old_name string, new_name string, weight double, declared boolean")
+    assert rows(drift.field_identities(profiles, matches, "feed", "seq"), "name", "field") == [("u", "u"), ("v", "u"), ("x", "x"), ("y", "y")]
+
+
 def test_no_fields(spark):
     assert drifted(spark, [(1, "{}"), (2, None)])[0] == []
 
