@@ -2,8 +2,9 @@
 
 Texts become sequences of word hashes in the canonical form, letter case ignored. A seed is the hash of the words that a
 fixed mask keeps of a window; positions that the mask ignores may hold any word, so substituted words don't hide a passage.
-Seeds of items and documents are joined, every joined seed gives an alignment (document, item, offset), and the words
-around it are compared one by one. Every document is read whole; only windows whose seed may be an item's leave the scan.
+Seeds of items and documents are joined, every joined seed gives an alignment (document, item, offset), and all words that
+item and document share on it are compared one by one. Every document is read whole; only windows whose seed may be an
+item's leave the first scan, and in a second one only the words of documents with an alignment.
 """
 
 from __future__ import annotations
@@ -17,17 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshift.llm.canonical_text import UNICODE, canonical_points, portions
+from panelshift.session import cut_lineage
 
 #: Kept positions of a window of SPAN words; each mask ignores two or three, and every position is kept by one of them.
 SPAN = 10
 MASKS = ("1101110111", "1110111011", "1011011101")
 #: Most bits of the table of item seeds that goes to every task (16 MB); a fuller table only lets more windows through.
 MAX_BITS = 2**27
-#: Words kept on either side of a document's windows for the comparison.
-MARGIN = 16
 #: Up to so many item seeds (32 MB) go to every task; more are joined by a shuffle.
 BROADCAST_SEEDS = 1_000_000
-WORDS_AROUND = "doc_id long, mask int, seed long, at int, from_word int, words array<long>"
+WINDOWS = "doc_id long, mask int, seed long, at int"
 
 
 @lru_cache(maxsize=1)
@@ -123,11 +123,7 @@ def seed_table(seeds_: DataFrame, n: int) -> np.ndarray:
 
 
 def document_windows(documents: DataFrame, doc_id: str, text: str, table: np.ndarray) -> DataFrame:
-    """Windows of documents whose seed may be an item's, each with the document's words around it.
-
-    One row per document, mask and window: doc_id, mask, seed, at (word index), from_word and words (the words around the
-    window, of which the first has index from_word). NULL texts are left out.
-    """
+    """Windows of documents whose seed may be an item's: doc_id, mask, seed, at (word index). NULL texts are left out."""
     sent = documents.sparkSession.sparkContext.broadcast(table)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +134,7 @@ def document_windows(documents: DataFrame, doc_id: str, text: str, table: np.nda
             for part in portions(texts):
                 yield _windows(ids[part], texts[part], bits, low)
 
-    return documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(read, WORDS_AROUND)
+    return documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(read, WINDOWS)
 
 
 def _windows(ids: np.ndarray, texts: list[str], bits: np.ndarray, low: np.uint64) -> pa.RecordBatch:
@@ -152,21 +148,35 @@ def _windows(ids: np.ndarray, texts: list[str], bits: np.ndarray, low: np.uint64
         found.append((np.full(len(at), m), s[at], at))
     masks, values, at = (np.concatenate(x) for x in zip(*found))
     text_of = np.searchsorted(bounds, at, side="right") - 1
-    first = np.maximum(at - MARGIN, bounds[text_of])
-    last = np.minimum(at + SPAN + MARGIN, bounds[text_of + 1])
-    ends = np.concatenate(([0], np.cumsum(last - first)))
-    flat = np.repeat(first - ends[:-1], last - first) + np.arange(ends[-1])
-    around = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[flat].view(np.int64)))
-    columns = [pa.array(ids[text_of]), pa.array(masks, pa.int32()), pa.array(values.view(np.int64)), pa.array(at - bounds[text_of], pa.int32()), pa.array(first - bounds[text_of], pa.int32()), around]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "seed", "at", "from_word", "words"])
+    columns = [pa.array(ids[text_of]), pa.array(masks, pa.int32()), pa.array(values.view(np.int64)), pa.array(at - bounds[text_of], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "mask", "seed", "at"])
+
+
+def document_words(documents: DataFrame, doc_id: str, text: str, table: np.ndarray) -> DataFrame:
+    """(doc_id, words): the word hashes of documents whose id may be in a table of bits (`seed_table`); NULL texts are left out."""
+    sent = documents.sparkSession.sparkContext.broadcast(table)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        low = len(bits) * 8 - 1
+        for batch in batches:
+            p = batch.column(0).to_numpy() & low
+            own = batch.filter(pa.array(((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)))
+            texts = own.column(1).to_pylist()
+            for part in portions(texts):
+                hashes, bounds = word_hashes(texts[part])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([own.column(0).slice(part.start, len(texts[part])), lists], ["doc_id", "words"])
+
+    return documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(read, "doc_id long, words array<long>")
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that share a passage: doc_id, item_id, longest_run, overlap.
 
-    longest_run is the largest number of consecutive equal words around one hit (at most SPAN + 2 * MARGIN are compared, so a run of
-    SPAN or more is always recognised as such), overlap the largest number of equal words on one alignment around a hit,
-    substituted words skipped. Items shorter than SPAN words, empty and NULL texts have no row. Repeated documents or
+    An alignment lays the item's words over the document's at one offset; those with a common seed are compared whole.
+    longest_run is the largest number of consecutive equal words on one alignment, overlap the largest number of equal
+    words on one alignment, substituted words skipped. Items shorter than SPAN words, empty and NULL texts have no row. Repeated documents or
     items count like others; other columns are ignored.
     """
     words = item_words(items, item_id, text)
@@ -175,13 +185,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
     windows = document_windows(documents, doc_id, text, seed_table(item_side, n))
     small = n <= BROADCAST_SEEDS
     hits = windows.join(F.broadcast(item_side) if small else item_side, ["mask", "seed"])
-    its = words.withColumnRenamed("words", "item_words")
-    one = hits.dropDuplicates(["doc_id", "item_id", "at", "item_at"]).join(F.broadcast(its) if small else its, "item_id")
     shift = F.col("item_at") - F.col("at")  # item index minus document index
-    first = F.greatest(F.col("from_word"), -shift)
-    last = F.least(F.col("from_word") + F.size("words"), F.size("item_words") - shift)
-    mine = F.slice("words", first - F.col("from_word") + 1, last - first)
-    theirs = F.slice("item_words", first + shift + 1, last - first)
+    alignments = cut_lineage(hits.select("doc_id", "item_id", shift.alias("shift")).distinct())
+    held = alignments.select(F.col("doc_id").alias("seed")).distinct()
+    known = document_words(documents, doc_id, text, seed_table(held, held.count()))
+    its = words.withColumnRenamed("words", "item_words")
+    one = alignments.join(known, "doc_id").join(F.broadcast(its) if small else its, "item_id")
+    first = F.greatest(F.lit(0), -F.col("shift"))
+    last = F.least(F.size("words"), F.size("item_words") - F.col("shift"))
+    length = F.greatest(last - first, F.lit(0))  # of repeated documents one may be too short
+    mine = F.slice("words", first + 1, length)
+    theirs = F.slice("item_words", first + F.col("shift") + 1, length)
     equal = one.select("doc_id", "item_id", F.zip_with(mine, theirs, lambda a, b: a == b).alias("_same"))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("total"))
 

@@ -143,6 +143,15 @@ def test_substituted_words_are_tolerated(spark):
     assert (row["doc_id"], row["item_id"], row["longest_run"]) == (1, 7, 7) and row["overlap"] >= 18
 
 
+def test_long_passages_are_measured_whole(spark):
+    item = [f"w{i}" for i in range(120)]
+    other = [w if 40 <= i < 50 or i % 3 == 0 else f"x{i}" for i, w in enumerate(item)]  # hits in the middle only
+    docs = {1: ["a", *item, "b"], 2: item[30:90], 3: other, 4: [*item[:60], "y", *item[61:]], 5: item[70:] + item[:70], 6: ["c"] * 30}
+    found = contamination.leaked_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    same = sum(x == y for x, y in zip(item, other))
+    assert {r["doc_id"]: (r["longest_run"], r["overlap"]) for r in found.collect()} == {1: (120, 120), 2: (60, 60), 3: (11, same), 4: (60, 119), 5: (70, 70)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet="aB1é_- .\ńﬁа", max_size=20), max_size=5))
 def test_word_hashes_stand_for_words(texts):
