@@ -1,7 +1,8 @@
 """Fields that change name, type or presence between the files of a feed.
 
 Every file's top-level fields are profiled (names, JSON types, a sketch of the values). Between neighbouring files,
-candidate pairs come from equi-joins on declared role, on normalised name and on sketch slots, never from all pairs. They
+candidate pairs come from equi-joins on declared role and on normalised name, and for fields that these leave over on
+sketch slots and on letter pairs of the names, never from all pairs. They
 are scored by role, name, types and values; a maximum-weight bipartite matching then decides. Unambiguous pairs are
 settled by counting, only the others reach a grouped function, one small weight matrix per file.
 """
@@ -17,7 +18,8 @@ from panelshift.session import cut_lineage
 
 SLOTS = 8
 #: Weights of a pair: same declared role, same normalised name, similarity of names, types, values. A declared pair outweighs any two others.
-ROLE, NAME, ALIKE, TYPES, VALUES = 10.0, 5.0, 0.5, 0.5, 1.0
+#: With equal types, names that are five eighths alike reach a weight of 1 without a common value.
+ROLE, NAME, ALIKE, TYPES, VALUES = 10.0, 5.0, 0.8, 0.5, 1.0
 
 
 def normalised_name(c: Column) -> Column:
@@ -25,6 +27,15 @@ def normalised_name(c: Column) -> Column:
     return F.lower(F.replace(c, F.lit("_"), F.lit("")))
 
 
+def letter_pairs(c: Column) -> Column:
+    """The distinct pairs of neighbouring characters of a normalised name, its two ends included.
+
+    Names of which fewer than half of the longer one's characters are edited have one in common (an edit spoils two pairs).
+    """
+    name = F.concat(F.lit("^"), normalised_name(c), F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substr(name, i, F.lit(2))))
+
+
 def payload_fields(records: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     """One row per record and top-level field: `keep`, name, type (number, text, boolean, list, object; NULL for null), value as text.
 
@@ -64,27 +75,41 @@ def with_roles(profiles: DataFrame, roles: DataFrame, feed: str, seq: str) -> Da
     return profiles.join(one, [feed, seq, "name"], "left")
 
 
-def match_fields(profiles: DataFrame, feed: str, seq: str, least: float = 1.0) -> DataFrame:
+def match_fields(profiles: DataFrame, feed: str, seq: str, least: float = 1.0, declared_only: bool = False) -> DataFrame:
     """Maximum-weight matching of the fields of each file with those of the file before it (seq - 1).
 
     Columns: feed, seq, old_name, new_name, weight, declared (same role, or same normalised name and no role on either
     side). Fields with different roles, or of which one has a role, never match. Pairs under `least` are left out.
+    Names are alike by edits or by their letter pairs (which finds moved words), whichever is more.
+    `declared_only` gives the declared matches, which no other can displace, without looking for others.
     """
     new = profiles.select(feed, seq, *[F.col(c).alias(f"new_{c}") for c in ("name", "types", "sketch", "role")])
     old = profiles.select(feed, (F.col(seq) + 1).alias(seq), *[F.col(c).alias(f"old_{c}") for c in ("name", "types", "sketch", "role")])
     same_role = F.col("new_role").eqNullSafe(F.col("old_role"))
 
-    def block(df: DataFrame, side: str) -> DataFrame:
-        name, role, sketch = (F.col(f"{side}_{c}") for c in ("name", "role", "sketch"))
-        own = F.when(role.isNotNull(), F.concat(F.lit("r:"), role)).otherwise(F.concat(F.lit("n:"), normalised_name(name)))
-        slots = F.transform(sketch, lambda x, i: F.concat(F.lit("s"), i.cast("string"), F.lit(":"), x.cast("string")))
-        return df.withColumn("_block", F.explode(F.array_distinct(F.array_append(F.array_compact(slots), own))))
+    ids = [feed, seq, "new_name", "old_name"]
+
+    def own(df: DataFrame, side: str) -> DataFrame:
+        name, role = F.col(f"{side}_name"), F.col(f"{side}_role")
+        return df.withColumn("_block", F.when(role.isNotNull(), F.concat(F.lit("r:"), role)).otherwise(F.concat(F.lit("n:"), normalised_name(name))))
+
+    def open_blocks(df: DataFrame, side: str) -> DataFrame:
+        """Blocks of the fields without a role that no declared pair has."""
+        slots = F.transform(F.col(f"{side}_sketch"), lambda x, i: F.concat(F.lit("s"), i.cast("string"), F.lit(":"), x.cast("string")))
+        pairs = F.transform(letter_pairs(F.col(f"{side}_name")), lambda x: F.concat(F.lit("l:"), x))
+        left_over = df.filter(F.col(f"{side}_role").isNull()).join(sure.select(feed, seq, f"{side}_name").distinct(), [feed, seq, f"{side}_name"], "left_anti")
+        return left_over.withColumn("_block", F.explode(F.array_distinct(F.concat(F.array_compact(slots), pairs))))
 
-    blocked = block(new, "new").join(block(old, "old"), [feed, seq, "_block"]).filter(same_role).drop("_block").dropDuplicates([feed, seq, "new_name", "old_name"])
+    sure = own(new, "new").join(own(old, "old"), [feed, seq, "_block"]).filter(same_role).drop("_block").dropDuplicates(ids)
+    blocked = sure
+    if not declared_only:
+        blocked = sure.unionByName(open_blocks(new, "new").join(open_blocks(old, "old"), [feed, seq, "_block"]).drop("_block").dropDuplicates(ids))
     same_name = F.col("new_role").isNull() & (normalised_name(F.col("new_name")) == normalised_name(F.col("old_name")))
     declared = F.col("new_role").isNotNull() | same_name
     a, b = normalised_name(F.col("new_name")), normalised_name(F.col("old_name"))
-    alike = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    by_edits = 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    p, q = letter_pairs(F.col("new_name")), letter_pairs(F.col("old_name"))
+    alike = F.greatest(by_edits, 2 * F.size(F.array_intersect(p, q)) / (F.size(p) + F.size(q)))
     types = F.coalesce(F.try_divide(F.size(F.array_intersect("new_types", "old_types")), F.size(F.array_union("new_types", "old_types"))), F.lit(0.0))
     values = F.size(F.filter(F.zip_with("new_sketch", "old_sketch", lambda x, y: x == y), lambda z: z)) / SLOTS
     weight = F.when(F.col("new_role").isNotNull(), ROLE).when(same_name, NAME).otherwise(0.0) + ALIKE * alike + TYPES * types + VALUES * values

@@ -172,7 +172,7 @@ def feed_profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Fields added, removed, renamed or retyped from file to file; only matches that the files declare count as one field."""
     profiles = cut_lineage(feed_profiles(spark, d)[2])
-    matches = cut_lineage(drift.match_fields(profiles, "feed_id", "file_seq").filter("declared"))
+    matches = cut_lineage(drift.match_fields(profiles, "feed_id", "file_seq", declared_only=True))
     return drift.schema_changes(profiles, matches, "feed_id", "file_seq")
 
 

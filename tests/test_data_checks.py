@@ -181,6 +181,15 @@ def test_undeclared_rename_is_suspected(spark):
     assert rows(matches.filter("not declared"), "old_name", "new_name") == [("region", "area_name")]
 
 
+def test_rename_without_common_values_is_suspected(spark):
+    old = [(1, f'{{"qc_margin": {i}.5, "curator_note": "a{i}", "score_x": {i}, "k": 1, "other": {i}}}') for i in range(20)]
+    new = [(2, f'{{"qc_margins": {i}.25, "noteCurator": "b{i}", "score_x": {i}, "k": 1, "zzz": {i}.125, "margin": "m{i}"}}') for i in range(20)]
+    found, matches = drifted(spark, old + new)
+    assert (2, "qc_margins", "ADDED") in found and (2, "qc_margin", "REMOVED") in found
+    assert rows(matches.filter("not declared"), "old_name", "new_name") == [("curator_note", "noteCurator"), ("qc_margin", "qc_margins")]
+    assert rows(matches.filter("declared"), "old_name", "new_name") == [("k", "k"), ("score_x", "score_x")]
+
+
 def test_no_field_is_lost_in_the_unified_table(spark):
     values = ['"north"', '"south"', '"east"', '"west"']
     files = [(1, f'{{"region": {v}, "aB": 1, "s": "high"}}') for v in values] + [(2, f'{{"area_name": {v}, "a_b": null, "t": {{"other": 2}}}}') for v in values]
