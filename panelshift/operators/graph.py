@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +93,13 @@ def matched_controls(candidates: DataFrame, wanted: DataFrame, strata: list[str]
     return hash_numbered(candidates.join(need, strata), strata, digest, item, "_no").filter("_no <= _need").drop("_no", "_need")
 
 
-def propagate(edges: DataFrame, evidence: DataFrame, smoothing: float = 3.0, iterations: int = 10, every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, evidence: DataFrame, smoothing: float = 3.0, iterations: int = 10, every: int = 5, tolerance: float | None = None) -> DataFrame:
     """Damped propagation r <- d * (P r) + (1 - d) * q on an unweighted graph, started at q.
 
     P passes a node's value in equal parts to its neighbours; d is degree / (degree + smoothing); q is evidence over its sum (isolated and
-    unknown nodes have evidence 0). One join and one sum per iteration; the lineage is cut every few iterations. Columns: node, score.
+    unknown nodes have evidence 0). One join and one sum per iteration; the lineage is cut every few iterations. With a
+    tolerance, it ends at the first cut where the last step's L2 change is under it; `iterations` steps without that are an
+    error. Columns: node, score.
     """
     ways = both_directions(edges, [])
     degree = ways.groupBy("node").agg(F.count("*").alias("degree"))
@@ -107,9 +111,16 @@ def propagate(edges: DataFrame, evidence: DataFrame, smoothing: float = 3.0, ite
     state = fixed.select("node", "degree", "d", "q", F.col("q").alias("score"))
     for i in range(1, iterations + 1):
         sent = out_edges.join(state.select("node", (F.col("score") / F.greatest("degree", F.lit(1))).alias("_x")), "node").groupBy(F.col("neighbour").alias("node")).agg(F.sum("_x").alias("_in"))
-        state = fixed.join(sent, "node", "left").withColumn("score", F.col("d") * F.coalesce("_in", F.lit(0.0)) + (1 - F.col("d")) * F.col("q")).select("node", "degree", "d", "q", "score")
-        if i % every == 0 and i < iterations:
+        new = F.col("d") * F.coalesce("_in", F.lit(0.0)) + (1 - F.col("d")) * F.col("q")
+        # only a step whose change is measured needs the score before it
+        old = state.select("node", "degree", "d", "q", F.col("score").alias("before")) if tolerance is not None and i % every == 0 else fixed.withColumn("before", F.lit(None).cast("double"))
+        state = old.join(sent, "node", "left").select("node", "degree", "d", "q", new.alias("score"), "before")
+        if i % every == 0 and (i < iterations or tolerance is not None):
             state = cut_lineage(state)
+            if tolerance is not None and sqrt(state.agg(F.sum((F.col("score") - F.col("before")) ** 2)).first()[0] or 0.0) < tolerance:
+                return state.select("node", "score")
+    if tolerance is not None:
+        raise ArithmeticError(f"no convergence to {tolerance} in {iterations} steps")
     return state.select("node", "score")
 
 

@@ -186,29 +186,40 @@ def persistence_classes(spark: SparkSession, d: str) -> DataFrame:
     return joined.withColumn("persistence_class", kind)
 
 
-def change_intervals(spark: SparkSession, d: str) -> DataFrame:
+def change_intervals(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
     """Bootstrap intervals of a release pair's mean absolute change and share of changed scores, panels drawn with replacement."""
     per_panel = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC'").groupBy("release_pair", "canonical_disease_id").agg(F.avg("absolute_change").alias("mean_change"), F.avg((~F.col("exact_unchanged")).cast("double")).alias("changed_share")))
-    plan = resampling.hashed_plan(per_panel, "canonical_disease_id", ["release_pair"], 200)
+    plan = resampling.hashed_plan(per_panel, "canonical_disease_id", ["release_pair"], n)
     draws = resampling.draw_means(per_panel, plan, ["release_pair"], "canonical_disease_id", ["mean_change", "changed_share"])
     return _rounded(resampling.percentile_intervals(per_panel, draws, ["release_pair"], ["mean_change", "changed_share"]))
 
 
-def changed_pair_ratio(spark: SparkSession, d: str) -> DataFrame:
+def changed_pair_ratio(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
     """Changed pairs over all pairs of a release pair, with a bootstrap interval of the ratio of sums over panels."""
     panels = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC'").groupBy("release_pair", "canonical_disease_id").agg(F.count_if(~F.col("exact_unchanged")).alias("changed"), F.count("*").alias("pairs")))
-    draws = resampling.draw_ratios(panels, resampling.hashed_plan(panels, "canonical_disease_id", ["release_pair"], 200), ["release_pair"], "canonical_disease_id", "changed", "pairs", "changed_ratio")
+    draws = resampling.draw_ratios(panels, resampling.hashed_plan(panels, "canonical_disease_id", ["release_pair"], n), ["release_pair"], "canonical_disease_id", "changed", "pairs", "changed_ratio")
     whole = panels.groupBy("release_pair").agg((F.sum("changed") / F.sum("pairs")).alias("estimate"))
     ends = draws.groupBy("release_pair").agg(F.percentile("changed_ratio", F.array(F.lit(0.025), F.lit(0.975))).alias("_e"))
     return _rounded(whole.join(ends, "release_pair").select("release_pair", "estimate", F.col("_e")[0].alias("lower"), F.col("_e")[1].alias("upper")))
 
 
+def change_intervals_2000(spark: SparkSession, d: str) -> DataFrame:
+    """`change_intervals` from 2000 draws."""
+    return change_intervals(spark, d, 2000)
+
+
+def changed_pair_ratio_2000(spark: SparkSession, d: str) -> DataFrame:
+    """`changed_pair_ratio` from 2000 draws."""
+    return changed_pair_ratio(spark, d, 2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         crosswalk_statuses, canonical_associations, state_transitions, membership_partition, fixed_members, fixed_registry, native_registry, exclusion_registry, support_flow,
         entrant_exit_records, pair_revisions, score_summary, scale_diagnostic, score_tier_summary, tier_area_distribution, area_summary, concentration, trajectory_summary,
         entrant_exit_summary, native_turnover, turnover_decomposition, persistence_classes, change_intervals, changed_pair_ratio,
+        change_intervals_2000, changed_pair_ratio_2000,
     )
 }
 

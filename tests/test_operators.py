@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelshift.operators import allocation, evaluation, graph, identity, ordering, panel, rank_correlation, resampling, revision, support
+from panelshift.plans import release_queries
 from panelshift.sources import sinks, tables
 
 
@@ -119,6 +120,22 @@ def test_propagation_reaches_its_fixed_point(spark):
     assert [got[n] for n in names] == pytest.approx(list(fixed))
 
 
+def test_propagation_stops_when_converged(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "node_a string, node_b string")
+    evidence = spark.createDataFrame([("a", 3.0), ("lone", 1.0)], "node string, evidence double")
+    got = {r["node"]: r["score"] for r in graph.propagate(edges, evidence, iterations=10_000, tolerance=1e-12).collect()}
+    p, d, q = (np.ones((3, 3)) - np.eye(3)) / 2, 2 / 5, np.array([3, 0, 0]) / 4
+    fixed = np.linalg.solve(np.eye(3) - d * p, (1 - d) * q)
+    assert [got[n] for n in ("a", "b", "c", "lone")] == pytest.approx([*fixed, 0.25], abs=1e-12)
+    with pytest.raises(ArithmeticError):
+        graph.propagate(edges, evidence, iterations=5, tolerance=1e-12)
+
+
+def test_intervals_take_2000_draws(spark):
+    found = release_queries.change_intervals_2000(spark, "/root/testdata/sf0.001")
+    assert {r["draws"] for r in found.select("draws").collect()} == {2000}
+
+
 def test_alignment(spark):
     old, new = (spark.createDataFrame([(x,) for x in names], "id string") for names in (["same", "r", "x1", "x2", "split", "none", None], ["same", "r2", "c", "s1", "s2", "extra"]))
     proposals = [("r", "r2", "REPLACEMENT"), ("r", "extra", "CROSS_REFERENCE"), ("x1", "c", "REPLACEMENT"), ("x2", "c", "REPLACEMENT"), ("split", "s1", "REPLACEMENT"), ("split", "s2", "REPLACEMENT"), ("same", "extra", "REPLACEMENT"), ("r", "r2", "REPLACEMENT")]
