@@ -37,30 +37,30 @@ def reference_forms(value: Column) -> Column:
     return F.array_distinct(F.filter(F.array(raw, joined, tail), lambda x: x.isNotNull() & (x != "")))
 
 
-def align_identities(old: DataFrame, new: DataFrame, proposals: DataFrame) -> DataFrame:
-    """One row per old id: old_id, new_id, alignment.
+def align_identities(old: DataFrame, new: DataFrame, proposals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per old id (and `by`, columns of all three tables, within which ids are aligned): old_id, new_id, alignment.
 
     `old` and `new` have `id`, `proposals` (old_id, new_id, kind) with kind REPLACEMENT or CROSS_REFERENCE. Equal ids are
     EXACT and reserved on both sides. Of the proposals of other ids, a source's replacements go before its cross references; a
     source with several targets or a target with several sources is AMBIGUOUS, and so is every id that shares one with it. The rest are
     MAPPED, or UNMATCHED. Repeated rows and NULL ids change nothing.
     """
-    olds, news = (x.select("id").filter("id is not null").distinct() for x in (old, new))
-    exact = olds.join(news, "id")
-    open_old, open_new = olds.join(exact, "id", "left_anti"), news.join(exact, "id", "left_anti")
+    olds, news = (x.select(*by, "id").filter("id is not null").distinct() for x in (old, new))
+    exact = olds.join(news, [*by, "id"])
+    open_old, open_new = olds.join(exact, [*by, "id"], "left_anti"), news.join(exact, [*by, "id"], "left_anti")
     usable = (
-        proposals.filter(F.col("kind").isin("REPLACEMENT", "CROSS_REFERENCE")).select("old_id", "new_id", "kind").distinct()
-        .join(open_old.withColumnRenamed("id", "old_id"), "old_id", "left_semi").join(open_new.withColumnRenamed("id", "new_id"), "new_id", "left_semi")
+        proposals.filter(F.col("kind").isin("REPLACEMENT", "CROSS_REFERENCE")).select(*by, "old_id", "new_id", "kind").distinct()
+        .join(open_old.withColumnRenamed("id", "old_id"), [*by, "old_id"], "left_semi").join(open_new.withColumnRenamed("id", "new_id"), [*by, "new_id"], "left_semi")
     )
-    preferred = usable.groupBy("old_id").agg(F.max("kind").alias("kind"))  # REPLACEMENT sorts after CROSS_REFERENCE
-    links = usable.join(preferred, ["old_id", "kind"]).select("old_id", "new_id").distinct()
-    out_degree, in_degree = links.groupBy("old_id").agg(F.count("*").alias("_out")), links.groupBy("new_id").agg(F.count("*").alias("_in"))
-    judged = links.join(out_degree, "old_id").join(in_degree, "new_id")
-    bad_old = judged.filter("_out > 1 or _in > 1").select("old_id").distinct()
-    mapped = judged.filter("_out = 1 and _in = 1").select("old_id", "new_id", F.lit("MAPPED").alias("alignment"))
-    ambiguous = bad_old.join(mapped, "old_id", "left_anti").select("old_id", F.lit(None).cast("string").alias("new_id"), F.lit("AMBIGUOUS").alias("alignment"))
-    done = exact.select(F.col("id").alias("old_id"), F.col("id").alias("new_id"), F.lit("EXACT").alias("alignment")).unionByName(mapped).unionByName(ambiguous)
-    rest = olds.withColumnRenamed("id", "old_id").join(done, "old_id", "left_anti").select("old_id", F.lit(None).cast("string").alias("new_id"), F.lit("UNMATCHED").alias("alignment"))
+    preferred = usable.groupBy(*by, "old_id").agg(F.max("kind").alias("kind"))  # REPLACEMENT sorts after CROSS_REFERENCE
+    links = usable.join(preferred, [*by, "old_id", "kind"]).select(*by, "old_id", "new_id").distinct()
+    out_degree, in_degree = links.groupBy(*by, "old_id").agg(F.count("*").alias("_out")), links.groupBy(*by, "new_id").agg(F.count("*").alias("_in"))
+    judged = links.join(out_degree, [*by, "old_id"]).join(in_degree, [*by, "new_id"])
+    bad_old = judged.filter("_out > 1 or _in > 1").select(*by, "old_id").distinct()
+    mapped = judged.filter("_out = 1 and _in = 1").select(*by, "old_id", "new_id", F.lit("MAPPED").alias("alignment"))
+    ambiguous = bad_old.join(mapped, [*by, "old_id"], "left_anti").select(*by, "old_id", F.lit(None).cast("string").alias("new_id"), F.lit("AMBIGUOUS").alias("alignment"))
+    done = exact.select(*by, F.col("id").alias("old_id"), F.col("id").alias("new_id"), F.lit("EXACT").alias("alignment")).unionByName(mapped).unionByName(ambiguous)
+    rest = olds.withColumnRenamed("id", "old_id").join(done, [*by, "old_id"], "left_anti").select(*by, "old_id", F.lit(None).cast("string").alias("new_id"), F.lit("UNMATCHED").alias("alignment"))
     return done.unionByName(rest)
 
 
@@ -75,3 +75,19 @@ def membership_partition(old: DataFrame, new: DataFrame, keys: list[str]) -> Dat
     sides = old.select(*keys, F.lit(1).alias("_side")).unionByName(new.select(*keys, F.lit(2).alias("_side"))).filter(there)
     seen = sides.groupBy(*keys).agg(F.bool_or(F.col("_side") == 1).alias("_o"), F.bool_or(F.col("_side") == 2).alias("_n"))
     return seen.select(*keys, F.when(F.col("_o") & F.col("_n"), "PERSISTENT").when(F.col("_n"), "ENTERING").otherwise("EXITING").alias("membership"))
+
+
+def with_release_pairs(rows: DataFrame, release: str, names: list[str]) -> DataFrame:
+    """Each row once as the old (_side 1) and once as the new side (_side 2) of the pairs of consecutive releases it is in, with release_pair."""
+    pairs = [(f"{a}_to_{b}", x, side) for a, b in zip(names, names[1:]) for x, side in ((a, 1), (b, 2))]
+    if not pairs:
+        return rows.limit(0).withColumns({"release_pair": F.lit(""), "_side": F.lit(0)})
+    sides = F.array(*[F.struct(F.lit(p).alias("release_pair"), F.lit(x).alias("_release"), F.lit(side).alias("_side")) for p, x, side in pairs])
+    return rows.select("*", F.inline(F.filter(sides, lambda s: s["_release"] == F.col(release)))).drop("_release")
+
+
+def membership_partitions(rows: DataFrame, release: str, names: list[str], keys: list[str]) -> DataFrame:
+    """`membership_partition` of every pair of consecutive releases in one grouping, with release_pair."""
+    there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    seen = with_release_pairs(rows.filter(there), release, names).groupBy("release_pair", *keys).agg(F.bool_or(F.col("_side") == 1).alias("_o"), F.bool_or(F.col("_side") == 2).alias("_n"))
+    return seen.select("release_pair", *keys, F.when(F.col("_o") & F.col("_n"), "PERSISTENT").when(F.col("_n"), "ENTERING").otherwise("EXITING").alias("membership"))

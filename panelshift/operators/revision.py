@@ -178,6 +178,24 @@ def trajectories(members: DataFrame, releases: list[str]) -> DataFrame:
     ids = ["canonical_disease_id", "canonical_target_id"]
     both = first.select(*ids, "old_score", F.col("new_score").alias("middle_score")).join(second.select(*ids, F.col("new_score")), ids)
 
+    return _labelled(both)
+
+
+def all_trajectories(members: DataFrame, releases: list[str]) -> DataFrame:
+    """`trajectories` of every three consecutive releases in one grouping, with release_span; members has a pair once per release pair."""
+    spans = [(f"{a}_to_{b}_to_{c}", f"{x}_to_{y}", side) for a, b, c in zip(releases, releases[1:], releases[2:]) for x, y, side in ((a, b, 1), (b, c, 2))]
+    known = F.array(*[F.struct(F.lit(s).alias("release_span"), F.lit(p).alias("_pair"), F.lit(i).alias("_side")) for s, p, i in spans or [("", "", 0)]])
+    ids = ["release_span", "canonical_disease_id", "canonical_target_id"]
+    sides = members.select("*", F.inline(F.filter(known, lambda x: x["_pair"] == F.col("release_pair"))))
+    first, second = F.col("_side") == 1, F.col("_side") == 2
+    both = sides.groupBy(*ids).agg(
+        F.max(F.when(first, F.col("old_score"))).alias("old_score"), F.max(F.when(first, F.col("new_score"))).alias("middle_score"),
+        F.max(F.when(second, F.col("new_score"))).alias("new_score"), F.bool_or(first).alias("_f"), F.bool_or(second).alias("_s"),
+    )
+    return _labelled(both.filter("_f and _s").drop("_f", "_s"))
+
+
+def _labelled(both: DataFrame) -> DataFrame:
     def state(change: Column) -> Column:
         return when_chain((F.abs(change) <= TOLERANCE, "stable"), (change > 0, "increase"), otherwise="decrease")
 
@@ -187,16 +205,18 @@ def trajectories(members: DataFrame, releases: list[str]) -> DataFrame:
     return rows.withColumns({"trajectory": label, "starting_tier": score_tier(F.col("old_score"))})
 
 
-def trajectory_summary(rows: DataFrame) -> DataFrame:
-    """Pairs per trajectory and starting tier (and all tiers), on the full grid, with fractions of the tier and of all."""
+def trajectory_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs per trajectory and starting tier (and all tiers), on the full grid, with fractions of the tier and of all; each within `by`."""
     cells = rows.select("*", F.explode(F.array(F.col("starting_tier"), F.lit("all_score_tiers"))).alias("tier_group"))
-    counts = cells.groupBy("trajectory", "tier_group").agg(
+    counts = cells.groupBy(*by, "trajectory", "tier_group").agg(
         F.count("*").alias("pair_count"), F.countDistinct("canonical_disease_id").alias("disease_count"),
         F.percentile(F.abs("first_change"), 0.5).alias("first_change_median"), F.percentile(F.abs("second_change"), 0.5).alias("second_change_median"),
     )
     full = grid(rows.sparkSession, trajectory=TRAJECTORIES, tier_group=(*[t[2] for t in TIERS], "all_score_tiers"))
-    padded = full.join(counts, ["trajectory", "tier_group"], "left").fillna(0, ["pair_count", "disease_count"])
-    in_tier, everything = Window.partitionBy("tier_group"), Window.partitionBy()
+    if by:
+        full = full.crossJoin(F.broadcast(counts.select(*by).distinct()))
+    padded = full.join(counts, [*by, "trajectory", "tier_group"], "left").fillna(0, ["pair_count", "disease_count"])
+    in_tier, everything = Window.partitionBy(*by, "tier_group"), Window.partitionBy(*by)
     whole = F.sum(F.when(F.col("tier_group") == "all_score_tiers", F.col("pair_count"))).over(everything)  # the grid has 36 rows
     return padded.withColumns({"within_tier_fraction": F.coalesce(ratio(F.col("pair_count"), F.sum("pair_count").over(in_tier)), F.lit(0.0)), "overall_fraction": F.coalesce(ratio(F.col("pair_count"), whole), F.lit(0.0))})
 

@@ -9,6 +9,7 @@ from panelshift.functions.scalars import affirmative, clean_target
 from panelshift.operators import graph, identity
 from panelshift.plans.data_checks import sound_links
 from panelshift.plans.release_queries import _rounded, releases
+from panelshift.session import cut_lineage
 from panelshift.sources.tables import load
 
 ARCHIVES = ("arc000", "arc001")
@@ -97,6 +98,17 @@ def identity_alignment(spark: SparkSession, d: str) -> DataFrame:
     return identity.align_identities(first, second, proposals.select("old_id", "new_id", "kind"))
 
 
+def identity_alignment_all(spark: SparkSession, d: str) -> DataFrame:
+    """`identity_alignment` of every pair of consecutive releases."""
+    rows = load(spark, d, "target_crosswalk", ["release_id", "source_target_id", "canonical_target_id", "stable_entity_eligible"])
+    clean = rows.select("release_id", clean_target("source_target_id").alias("id"), F.nullif(clean_target("canonical_target_id"), F.lit("")).alias("c"), affirmative(F.col("stable_entity_eligible")).alias("s"))
+    sides = cut_lineage(identity.with_release_pairs(clean, "release_id", releases(spark, d)))
+    first, second = sides.filter("_side = 1"), sides.filter("_side = 2")
+    kind = F.when(F.col("s"), "REPLACEMENT").otherwise("CROSS_REFERENCE")
+    proposals = first.select("release_pair", F.col("id").alias("old_id"), "c").join(second.select("release_pair", F.col("id").alias("new_id"), "c", kind.alias("kind")), ["release_pair", "c"])
+    return identity.align_identities(first, second, proposals.select("release_pair", "old_id", "new_id", "kind"), ("release_pair",))
+
+
 def reference_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every form under which a disease id of the crosswalk may be cited, with the number of ids that share it."""
     rows = load(spark, d, "disease_crosswalk", ["source_disease_id"]).filter("source_disease_id is not null").distinct()
@@ -110,7 +122,7 @@ def unique_inverse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_edges, degree_registry, edge_transitions, threshold_decomposition, edit_classes, edit_burden, edited_graph, neighbour_change, matched_controls, propagation, propagation_converged, identity_alignment, reference_forms, unique_inverse)
+    for f in (canonical_edges, degree_registry, edge_transitions, threshold_decomposition, edit_classes, edit_burden, edited_graph, neighbour_change, matched_controls, propagation, propagation_converged, identity_alignment, identity_alignment_all, reference_forms, unique_inverse)
 }
 
 # The same in SQL.

@@ -213,13 +213,25 @@ def changed_pair_ratio_2000(spark: SparkSession, d: str) -> DataFrame:
     return changed_pair_ratio(spark, d, 2000)
 
 
+def trajectory_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """`trajectory_summary` of every three consecutive releases."""
+    rows = revision.all_trajectories(members(spark, d).filter("support_name = 'PAIR_SPECIFIC'"), releases(spark, d))
+    return _rounded(revision.trajectory_summary(_kept(rows), ("release_span",)))
+
+
+def membership_partition_all(spark: SparkSession, d: str) -> DataFrame:
+    """`membership_partition` of every pair of consecutive releases."""
+    found = identity.membership_partitions(canonical(spark, d).filter("eligible"), "release_id", releases(spark, d), PAIR)
+    return found.groupBy("release_pair", "canonical_disease_id", "membership").agg(F.count("*").alias("pairs"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         crosswalk_statuses, canonical_associations, state_transitions, membership_partition, fixed_members, fixed_registry, native_registry, exclusion_registry, support_flow,
         entrant_exit_records, pair_revisions, score_summary, scale_diagnostic, score_tier_summary, tier_area_distribution, area_summary, concentration, trajectory_summary,
         entrant_exit_summary, native_turnover, turnover_decomposition, persistence_classes, change_intervals, changed_pair_ratio,
-        change_intervals_2000, changed_pair_ratio_2000,
+        change_intervals_2000, changed_pair_ratio_2000, trajectory_summary_all, membership_partition_all,
     )
 }
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelshift.operators import allocation, evaluation, graph, identity, ordering, panel, rank_correlation, resampling, revision, support
-from panelshift.plans import release_queries
+from panelshift.plans import graph_queries, release_queries
 from panelshift.sources import sinks, tables
 
 
@@ -136,6 +136,27 @@ def test_intervals_take_2000_draws(spark):
     assert {r["draws"] for r in found.select("draws").collect()} == {2000}
 
 
+def test_every_release_pair_and_span_is_there(spark):
+    folder = "/root/testdata/sf0.001"
+    names = release_queries.releases(spark, folder)
+    pairs = [f"{a}_to_{b}" for a, b in zip(names, names[1:])]
+
+    def same(whole, key, value, part):
+        kept = whole.filter(F.col(key) == value).select(*part.columns)
+        assert sorted(map(str, kept.collect())) == sorted(map(str, part.collect()))
+
+    parts = release_queries.membership_partition_all(spark, folder)
+    assert sorted(r[0] for r in parts.select("release_pair").distinct().collect()) == pairs
+    same(parts, "release_pair", pairs[-1], release_queries.membership_partition(spark, folder))
+    links = graph_queries.identity_alignment_all(spark, folder)
+    assert sorted(r[0] for r in links.select("release_pair").distinct().collect()) == pairs
+    same(links, "release_pair", pairs[0], graph_queries.identity_alignment(spark, folder))
+    spans = ["_to_".join(x) for x in zip(names, names[1:], names[2:])]
+    walks = release_queries.trajectory_summary_all(spark, folder)
+    assert sorted(r[0] for r in walks.select("release_span").distinct().collect()) == spans
+    same(walks, "release_span", spans[0], release_queries.trajectory_summary(spark, folder))
+
+
 def test_alignment(spark):
     old, new = (spark.createDataFrame([(x,) for x in names], "id string") for names in (["same", "r", "x1", "x2", "split", "none", None], ["same", "r2", "c", "s1", "s2", "extra"]))
     proposals = [("r", "r2", "REPLACEMENT"), ("r", "extra", "CROSS_REFERENCE"), ("x1", "c", "REPLACEMENT"), ("x2", "c", "REPLACEMENT"), ("split", "s1", "REPLACEMENT"), ("split", "s2", "REPLACEMENT"), ("same", "extra", "REPLACEMENT"), ("r", "r2", "REPLACEMENT")]
