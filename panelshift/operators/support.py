@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import is_finite, ratio, when_chain
 
+# Roster sizes, distinct scores a panel needs, top sets, and the names of the two fixed supports.
 ROSTERS = (20, 30, 50)
 MIN_DISTINCT = 2
 TOPS = (5, 10, 20)
+PAIR_SUPPORT, LASTING_SUPPORT = "PAIR_SPECIFIC_PERSISTENT", "THREE_RELEASE_PERSISTENT"
 
 
 def canonical_associations(rows: DataFrame, diseases: DataFrame, targets: DataFrame, bounds: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
@@ -17,7 +19,7 @@ def canonical_associations(rows: DataFrame, diseases: DataFrame, targets: DataFr
 
     `rows`: release_id, disease_id, target_id, score, evidence_count, one per release and pair; `diseases` and `targets` are
     crosswalks. States: PRESENT_NULL, SCHEMA_INCOMPARABLE (not finite or out of bounds), PRESENT_ZERO, PRESENT_POSITIVE. Unmapped
-    rows stay, with NULL canonical ids.
+    rows stay, with NULL canonical ids. A score that is NaN or infinite goes on as NULL; state and reason tell it from a missing one.
     """
     d = diseases.select("release_id", F.col("source_id").alias("disease_id"), F.col("canonical_id").alias("canonical_disease_id"), F.col("mapping_status").alias("disease_status"), F.col("stable").alias("_ds"), F.col("detail").alias("areas"))
     t = targets.select("release_id", F.col("source_id").alias("target_id"), F.col("canonical_id").alias("canonical_target_id"), F.col("mapping_status").alias("target_status"), F.col("stable").alias("_ts"))
@@ -38,7 +40,8 @@ def canonical_associations(rows: DataFrame, diseases: DataFrame, targets: DataFr
         (~evidence, "MISSING_OR_NONPOSITIVE_EVIDENCE_COUNT"),
         otherwise="",
     )
-    return staged.withColumns({"exclusion_reason": reason}).withColumn("eligible", F.col("exclusion_reason") == "").drop("_ds", "_ts", "disease_status", "target_status")
+    judged = staged.withColumns({"exclusion_reason": reason}).withColumns({"eligible": F.col("exclusion_reason") == "", "score": F.when(is_finite(score), score)})
+    return judged.drop("_ds", "_ts", "disease_status", "target_status")
 
 
 def release_list(df: DataFrame, release: str = "release_id") -> list[str]:

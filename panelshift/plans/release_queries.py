@@ -255,13 +255,13 @@ _WALKS = (
 _CANON = f"""{_WALKS},
 ranked AS (SELECT release_id, {_D.format('disease_id')} disease_id, {_T.format('target_id')} target_id, score, evidence_count, record_present,
   row_number() OVER (PARTITION BY release_id, {_D.format('disease_id')}, {_T.format('target_id')} ORDER BY loaded_at DESC NULLS LAST) rn FROM association_support),
-mapped AS (SELECT r.release_id, disease_id, target_id, score, evidence_count, xd.canonical_id canonical_disease_id, xt.canonical_id canonical_target_id, xd.detail areas,
+mapped AS (SELECT r.release_id, disease_id, target_id, CASE WHEN isfinite(r.score) THEN r.score END score, NOT isfinite(r.score) odd, evidence_count, xd.canonical_id canonical_disease_id, xt.canonical_id canonical_target_id, xd.detail areas,
   coalesce(xd.mapping_status IN ('EXACT_ID', 'MAPPED'), false) dok, coalesce(xt.mapping_status IN ('EXACT_ID', 'MAPPED'), false) tok, xd.mapping_status dms, xt.mapping_status tms, coalesce(xd.stable AND xt.stable, false) stable_entity,
-  CASE WHEN score IS NULL THEN 'PRESENT_NULL' WHEN NOT isfinite(score) OR score < 0 OR score > 1 THEN 'SCHEMA_INCOMPARABLE' WHEN score = 0 THEN 'PRESENT_ZERO' ELSE 'PRESENT_POSITIVE' END association_state
+  CASE WHEN r.score IS NULL THEN 'PRESENT_NULL' WHEN NOT isfinite(r.score) OR r.score < 0 OR r.score > 1 THEN 'SCHEMA_INCOMPARABLE' WHEN r.score = 0 THEN 'PRESENT_ZERO' ELSE 'PRESENT_POSITIVE' END association_state
   FROM ranked r LEFT JOIN xd ON xd.release_id = r.release_id AND xd.source_id = disease_id LEFT JOIN xt ON xt.release_id = r.release_id AND xt.source_id = target_id
   WHERE rn = 1 AND record_present AND r.release_id IS NOT NULL AND disease_id IS NOT NULL AND target_id IS NOT NULL),
 reasoned AS (SELECT *, dok AND tok mapping_eligible, CASE WHEN NOT dok THEN coalesce(dms, 'DISEASE_MAPPING_INELIGIBLE') WHEN NOT tok THEN coalesce(tms, 'TARGET_IDENTIFIER_NOT_EXACT') WHEN association_state = 'PRESENT_NULL' THEN 'PRESENT_NULL'
-  WHEN association_state = 'SCHEMA_INCOMPARABLE' AND NOT isfinite(score) THEN 'SCORE_NONFINITE' WHEN association_state = 'SCHEMA_INCOMPARABLE' THEN 'SCORE_OUT_OF_BOUNDS' WHEN association_state = 'PRESENT_ZERO' THEN 'PRESENT_ZERO'
+  WHEN association_state = 'SCHEMA_INCOMPARABLE' AND odd THEN 'SCORE_NONFINITE' WHEN association_state = 'SCHEMA_INCOMPARABLE' THEN 'SCORE_OUT_OF_BOUNDS' WHEN association_state = 'PRESENT_ZERO' THEN 'PRESENT_ZERO'
   WHEN evidence_count IS NULL OR evidence_count < 1 THEN 'MISSING_OR_NONPOSITIVE_EVIDENCE_COUNT' ELSE '' END exclusion_reason FROM mapped),
 canon AS (SELECT *, exclusion_reason = '' eligible FROM reasoned)"""
 _TRANS = f"""{_CANON},

@@ -19,8 +19,9 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
+    """Values as they are compared; a NaN equals nothing, not even another one."""
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+        return object() if math.isnan(value) else round(value, 9) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(plain(x) for x in value)
     return int(value) if isinstance(value, bool) else value
