@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    Only where the session names none, as in tests, a folder of our own is set.
+    Only where the session names none and all of it runs on this machine, as in tests, a folder of our own is set; on a cluster
+    a folder that every executor can reach has to be named.
     """
     context = spark.sparkContext
     named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         named = tempfile.mkdtemp(prefix="panelshift-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -30,15 +37,45 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once as a table in the shared folder and read it from there.
 
     What follows starts from the table: plans stay short, only needed columns are read again, and lost executors cost no
-    recomputation. The tables are small against their input; the folder's owner clears them.
+    recomputation. The application owns its tables: `drop_intermediates` or the end of a `scratch` block removes them, and so
+    does the end of the application.
     """
-    path = f"{shared_folder(df.sparkSession)}/panelshift-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/panelshift-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(drop_intermediates, spark)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates(spark: SparkSession, since: int = 0) -> None:
+    """Remove the intermediate tables of this application, from the `since`-th on; results not yet stored that read them are lost."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    while len(_written) > since:
+        path = _written.pop()
+        if context is None or jvm is None:  # the application has ended, its context with it
+            continue
+        with suppress(Exception):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside the block go at its end; store or show results before."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        drop_intermediates(spark, since)
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the package to Python workers that don't find it on their path; the driver serves the archive, once per application."""
+    """Give the package to Python workers that don't find it on their path; the driver serves the archive, once per application.
+
+    The archive holds code only and lies in a temporary folder of the driver, from where Spark itself sends it to the workers.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
