@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio
-from panelshift.operators.ordering import hash_numbered
+from panelshift.operators.ordering import hash_numbered, joined_on, running_sum, value_range
 from panelshift.operators.panel import ladder
 
 
@@ -16,16 +16,17 @@ def binary_metrics(rows: DataFrame, by: list[str], target: str, probability: str
     Rows tied at the budget's end share it. Rows with a NULL target or probability are left out; ratios without positives are NULL.
     """
     known = rows.filter(F.col(target).isNotNull() & F.col(probability).isNotNull()).withColumn("_y", F.col(target).cast("int"))
-    steps = ladder(known, by, probability).join(known.groupBy(*by, probability).agg(F.sum("_y").alias("_hits")), [*by, probability])
-    down = Window.partitionBy(*by).orderBy(F.col(probability).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.sum("_hits").over(down)
+    hits = known.groupBy(*by, probability).agg(F.sum("_y").alias("_hits"))
+    steps = joined_on(ladder(known, by, probability), hits, [*by, probability], "inner").withColumns({"_range": -value_range(F.col(probability)), "_down": -F.col(probability)})
+    steps = running_sum(steps, by, "_range", ["_down"], "_hits", "_seen")
+    seen = F.col("_seen")
     slots = F.ceil(F.col("members") * budget)
     share = F.greatest(F.lit(0), F.least(slots - F.col("above"), F.col("ties"))) / F.col("ties")
     curve = steps.withColumns({"_precision": seen / (F.col("above") + F.col("ties")), "_captured": share * F.col("_hits")}).groupBy(*by).agg(
         F.sum("_hits").alias("positives"), F.sum(F.col("_precision") * F.col("_hits")).alias("_ap"), F.sum("_captured").alias("_captured")
     )
     brier = known.groupBy(*by).agg(F.count("*").alias("rows"), F.avg(F.pow(F.col(probability) - F.col("_y"), 2)).alias("brier"))
-    return brier.join(curve, by).select(*by, "rows", "positives", "brier", ratio(F.col("_ap"), F.col("positives")).alias("average_precision"), ratio(F.col("_captured"), F.col("positives")).alias("capture"))
+    return joined_on(brier, curve, by, "inner").select(*by, "rows", "positives", "brier", ratio(F.col("_ap"), F.col("positives")).alias("average_precision"), ratio(F.col("_captured"), F.col("positives")).alias("capture"))
 
 
 def calibration(rows: DataFrame, by: list[str], target: str, probability: str, bins: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio, when_chain
-from panelshift.operators.ordering import hash_numbered
+from panelshift.operators.ordering import hash_numbered, with_quantiles
 from panelshift.session import cut_lineage
 
 THRESHOLDS = (150, 400, 700)
@@ -49,12 +49,12 @@ def threshold_decomposition(transitions: DataFrame, thresholds: tuple[int, ...]
     o, n = F.col("old_score"), F.col("new_score")
     each = transitions.select("*", F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold"))
     before, after = F.coalesce(o >= F.col("threshold"), F.lit(False)), F.coalesce(n >= F.col("threshold"), F.lit(False))
-    return each.groupBy("threshold").agg(
+    sums = each.groupBy("threshold").agg(
         F.count_if(before).alias("old_edges"), F.count_if(after).alias("new_edges"), F.count_if(before & after).alias("common_edges"),
         F.count_if(before & ~after & n.isNotNull()).alias("fell_below"), F.count_if(before & n.isNull()).alias("removed"),
         F.count_if(after & ~before & o.isNotNull()).alias("rose_above"), F.count_if(after & o.isNull()).alias("added"),
-        F.percentile(F.when(before & after, F.abs(n - o)), 0.5).alias("median_common_change"),
     )
+    return with_quantiles(sums, each.select("threshold", F.when(before & after, F.abs(n - o)).alias("change")), ["threshold"], {"median_common_change": ("change", 0.5)})
 
 
 def edit_classes(transitions: DataFrame, anchors: DataFrame, modules: DataFrame, threshold: float) -> DataFrame:

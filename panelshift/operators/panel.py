@@ -1,8 +1,8 @@
 """Tie-aware ranks and sets within panels.
 
 Ranks depend on a member only through its score, so they are computed on a ladder: one row per panel and distinct score with
-the number of members at and above it. The ladder is pre-aggregated on the map side and much smaller than the members;
-members meet it again by a join on (panel, score). No panel's members are sorted or gathered in one task.
+the number of members at and above it. The ladder is pre-aggregated on the map side and ordered range by range; members
+meet it again by a join on (panel, score). No panel's members or scores are sorted or gathered in one task.
 """
 
 from __future__ import annotations
@@ -11,25 +11,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio, when_chain
+from panelshift.operators.ordering import joined_on, value_range, with_quantiles
 
+# The tolerances of leader sets, and the edges and labels of margin bins (closed on the right).
 EPSILONS = (0.0, 1e-12, 1e-8, 1e-6, 1e-4, 1e-3)
+MARGIN_EDGES = (0.0, 1e-12, 1e-8, 1e-6, 1e-4, 1e-3, 1e-2, 5e-2, 1.0)
+MARGIN_LABELS = ("0", "(0, 1e-12]", "(1e-12, 1e-8]", "(1e-8, 1e-6]", "(1e-6, 1e-4]", "(1e-4, 1e-3]", "(1e-3, 1e-2]", "(1e-2, 5e-2]", "(5e-2, 1]")
 
 
 def ladder(members: DataFrame, panel: list[str], score: str) -> DataFrame:
-    """Per panel and distinct score: ties, above (members with a greater score), members (of the panel), step (1 = best). NULL scores are left out."""
-    steps = members.filter(F.col(score).isNotNull()).groupBy(*panel, score).agg(F.count("*").alias("ties"))
-    down = Window.partitionBy(*panel).orderBy(F.col(score).desc())
-    return steps.withColumns({
-        "above": F.coalesce(F.sum("ties").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "members": F.sum("ties").over(Window.partitionBy(*panel)),
-        "step": F.row_number().over(down),
-    })
+    """Per panel and distinct score: ties, above (members with a greater score), members (of the panel), step (1 = best). NULL scores are left out.
+
+    Scores are ordered within ranges of values, and the ranges of a panel by their sums, so that a panel of any size spreads over many tasks.
+    NULL is a panel's name like any other.
+    """
+    steps = members.filter(F.col(score).isNotNull()).groupBy(*panel, value_range(F.col(score)).alias("_range"), score).agg(F.count("*").alias("ties"))
+    whole = Window.partitionBy(*panel)
+    better = whole.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy(*panel, "_range").agg(F.sum("ties").alias("_m"), F.count("*").alias("_s"))
+    offsets = sums.select(*panel, "_range", F.coalesce(F.sum("_m").over(better), F.lit(0)).alias("_above"), F.coalesce(F.sum("_s").over(better), F.lit(0)).alias("_step"), F.sum("_m").over(whole).alias("members"))
+    down = Window.partitionBy(*panel, "_range").orderBy(F.col(score).desc())
+    return joined_on(steps, offsets, [*panel, "_range"], "inner").select(
+        *panel, score, "ties", (F.col("_above") + F.sum("ties").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("ties")).alias("above"), "members",
+        (F.col("_step") + F.row_number().over(down)).alias("step"),
+    )
 
 
 def with_ladder(members: DataFrame, panel: list[str], score: str, prefix: str = "") -> DataFrame:
-    """Members with their ladder columns, named `prefix`ties, `prefix`above, `prefix`members and `prefix`step."""
+    """Members with their ladder columns, named `prefix`ties, `prefix`above, `prefix`members and `prefix`step; NULL scores are left out."""
     steps = ladder(members, panel, score).withColumnsRenamed({c: f"{prefix}{c}" for c in ("ties", "above", "members", "step")})
-    return members.join(steps, [*panel, score])
+    return joined_on(members.filter(F.col(score).isNotNull()), steps, [*panel, score], "inner")
 
 
 def average_rank(prefix: str = "") -> Column:
@@ -69,19 +80,22 @@ def top_set_comparison(members: DataFrame, panel: list[str], cutoffs: tuple[int,
 
 
 def epsilon_leaders(members: DataFrame, panel: list[str], member: str, epsilons: tuple[float, ...] = EPSILONS) -> DataFrame:
-    """Per panel and epsilon: members within epsilon of the best score in either release, the change of that set and its class."""
+    """Per panel and epsilon: members within epsilon of the best score in either release, the change of that set and its class.
+
+    A member's distance from the best score is all that counts, so each member is placed once, among the epsilons that reach it.
+    """
     best = members.groupBy(*panel).agg(F.max("old_score").alias("_o"), F.max("new_score").alias("_n"))
-    values = F.array(*[F.lit(e) for e in epsilons])
-    near = members.join(best, panel).withColumn("epsilon", F.explode(values)).select(
-        *panel, "epsilon", member, (F.col("old_score") >= F.col("_o") - F.col("epsilon")).alias("o"), (F.col("new_score") >= F.col("_n") - F.col("epsilon")).alias("n")
-    ).filter("o or n")
-    sets = near.groupBy(*panel, "epsilon").agg(F.count_if("o").alias("old_leaders"), F.count_if("n").alias("new_leaders"), F.count_if(F.col("o") & F.col("n")).alias("shared_leaders"))
+    reach = F.array(*[F.struct(F.lit(e).alias("epsilon"), (F.col("old_score") >= F.col("_o") - e).alias("_in_old"), (F.col("new_score") >= F.col("_n") - e).alias("_in_new")) for e in epsilons])
+    leaders = members.select(*panel, "old_score", "new_score").join(best, panel).select(*panel, F.inline(F.filter(reach, lambda x: x["_in_old"] | x["_in_new"])))
+    return leader_classes(set_overlap(leaders, [*panel, "epsilon"], F.col("_in_old"), F.col("_in_new")).withColumnsRenamed({"old_size": "old_leaders", "new_size": "new_leaders", "shared": "shared_leaders"}))
+
+
+def leader_classes(sets: DataFrame) -> DataFrame:
+    """The class of a change between leader sets, from their sizes and common members. The names of the classes."""
     o, n, s = F.col("old_leaders"), F.col("new_leaders"), F.col("shared_leaders")
-    taxonomy = when_chain(
-        ((o == n) & (s == o), "IDENTICAL"), ((s == o) & (n > o), "TIE_EXPANSION"), ((s == n) & (o > n), "TIE_CONTRACTION"),
-        ((o == 1) & (n == 1) & (s == 0), "UNIQUE_LEADER_REPLACEMENT"), (s == 0, "DISJOINT_REPLACEMENT"), otherwise="OVERLAPPING_LEADER_SET",
-    )
-    return sets.withColumns({"changed": (o != n) | (s != o), "jaccard": ratio(s, o + n - s), "taxonomy": taxonomy})
+    kept_old, kept_new = s == o, s == n
+    overlap = F.when(kept_old & kept_new, "IDENTICAL").when(kept_old, "TIE_EXPANSION").when(kept_new, "TIE_CONTRACTION").otherwise("OVERLAPPING_LEADER_SET")
+    return sets.withColumn("taxonomy", F.when(s > 0, overlap).otherwise(F.when(F.greatest(o, n) == 1, "UNIQUE_LEADER_REPLACEMENT").otherwise("DISJOINT_REPLACEMENT")))
 
 
 def leader_margins(members: DataFrame, panel: list[str], score: str) -> DataFrame:
@@ -94,10 +108,8 @@ def leader_margins(members: DataFrame, panel: list[str], score: str) -> DataFram
 
 
 def margin_bin(margin: Column) -> Column:
-    """Right-closed bins; the last one has no upper end."""
-    edges = [0.0, 1e-12, 1e-8, 1e-6, 1e-4, 1e-3, 1e-2, 5e-2]
-    labels = ["0", "(0, 1e-12]", "(1e-12, 1e-8]", "(1e-8, 1e-6]", "(1e-6, 1e-4]", "(1e-4, 1e-3]", "(1e-3, 1e-2]", "(1e-2, 5e-2]"]
-    return when_chain((margin.isNull(), None), *[(margin <= e, name) for e, name in zip(edges, labels)], otherwise="(5e-2, inf)")
+    """Bins closed on the right, NULL for a NULL margin; scores from 0 to 1 have no margin above the last bin, others are "above 1"."""
+    return when_chain((margin.isNull(), None), *[(margin <= e, name) for e, name in zip(MARGIN_EDGES, MARGIN_LABELS)], otherwise="above 1")
 
 
 def turnover_reasons(flagged: DataFrame, by: list[str]) -> DataFrame:
@@ -117,11 +129,9 @@ def turnover_reasons(flagged: DataFrame, by: list[str]) -> DataFrame:
 
 def score_changes(members: DataFrame, by: list[str]) -> DataFrame:
     """Mean, median, 90th percentile and largest absolute score change, and how many changed."""
-    change = F.abs(F.col("new_score") - F.col("old_score"))
-    return members.groupBy(*by).agg(
-        F.count("*").alias("members"), F.avg(change).alias("mean_change"), F.percentile(change, 0.5).alias("median_change"), F.percentile(change, 0.9).alias("q90_change"),
-        F.max(change).alias("max_change"), F.count_if(change > 0).alias("changed_members"),
-    )
+    rows, change = members.withColumn("_change", F.abs(F.col("new_score") - F.col("old_score"))), F.col("_change")
+    sums = rows.groupBy(*by).agg(F.count("*").alias("members"), F.avg(change).alias("mean_change"), F.max(change).alias("max_change"), F.count_if(change > 0).alias("changed_members"))
+    return with_quantiles(sums, rows, by, {"median_change": ("_change", 0.5), "q90_change": ("_change", 0.9)})
 
 
 def consensus_ranks(rankings: DataFrame, entity: list[str], member: str, source: str, score: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Agreement of two rankings of the same members: Pearson, Spearman, Kendall's tau-b and rank-biased overlap.
 
-Pearson and Spearman need sums only. Tau-b counts pairs of (old, new) cells: cells are equal score pairs with their number, cut into
-blocks of limited size along either score. Pairs in one old block, pairs in one new block and different old blocks, and pairs in
-different blocks on both sides (from block counts alone) add up to all pairs, so no panel is ever compared within one task.
+Pearson and Spearman need sums only. Tau-b counts pairs of (old, new) cells, equal score pairs with their number, digit by digit of their
+places on the two ladders: groups that agree in the higher digits hold a bounded number of cells, so no panel is ever compared within one
+task, and ties count for nothing before they are compared.
 Rank-biased overlap needs, for each depth, the members that both rankings have reached, a cumulative count over depths.
 """
 
@@ -14,12 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from panelshift.operators.ordering import joined_on
 from panelshift.operators.panel import average_rank, both_ladders, ladder
 from panelshift.session import cut_lineage
 
-BLOCK = 2048
+#: Base of the digits in which steps are compared; a group has at most FAN x FAN cells.
+FAN = 1024
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -39,85 +40,82 @@ def spearman(members: DataFrame, panel: list[str]) -> DataFrame:
     return ranked.groupBy(*panel).agg(F.count("*").alias("members"), F.when(scale > 0, (n * sxy - sx * sy) / F.sqrt(F.greatest(scale, F.lit(0.0)))).alias("spearman"))
 
 
-def _within(x: np.ndarray, y: np.ndarray, w: np.ndarray, xb: np.ndarray, different: bool) -> int:
-    """Concordant minus discordant pairs among weighted points, once each; with `different` only pairs of different old blocks."""
-    total, step = 0, 1024
-    for a in range(0, len(x), step):
-        for b in range(0, len(x), step):
-            s, t = slice(a, a + step), slice(b, b + step)
-            sign = np.sign(x[s, None] - x[None, t]) * np.sign(y[s, None] - y[None, t])
-            if different:
-                sign = sign * (xb[s, None] != xb[None, t])
-            total += int(w[s] @ sign @ w[t])
-    return total // 2
-
-
-def _excess_rows(done: list[tuple[pa.RecordBatch, int]], schema: T.StructType) -> Iterator[pa.RecordBatch]:
-    """Finished groups as rows of (panel, excess); each comes with one row that holds its panel."""
-    if done:
-        names = schema.fieldNames()
-        rows = pa.Table.from_batches([row.select(names[:-1]) for row, _ in done]).append_column(names[-1], pa.array([e for _, e in done], pa.int64()))
-        yield from rows.to_batches()
-
-
-def kendall_tau_b(members: DataFrame, panel: list[str], block: int = BLOCK) -> DataFrame:
-    """Tau-b per panel, corrected for ties on either side; NULL for fewer than two members or when one side is constant."""
-    cells = members.filter("old_score is not null and new_score is not null").groupBy(*panel, "old_score", "new_score").agg(F.count("*").alias("w"))
-
-    def blocks(score: str, name: str) -> DataFrame:
-        steps = ladder(members.filter("old_score is not null and new_score is not null"), panel, score)
-        return steps.select(*panel, score, F.floor(F.col("above") / block).alias(name), F.col("step").cast("long").alias(f"{name}_step"), "ties")
-
-    olds, news = blocks("old_score", "xb"), blocks("new_score", "yb")
-    olds, news = cut_lineage(olds), cut_lineage(news)
-    placed = cells.join(olds.drop("ties"), [*panel, "old_score"]).join(news.drop("ties"), [*panel, "new_score"]).select(*panel, "w", "xb", "yb", F.col("xb_step").alias("x"), F.col("yb_step").alias("y"))
-    placed = cut_lineage(placed)
-    schema = placed.select(*panel).schema.add("excess", "long")
-
-    several = placed.groupBy(*panel).agg(F.max("xb").alias("_m")).filter("_m > 0").drop("_m")  # only these have pairs across old blocks
-    spread = placed.join(several, panel, "left_semi")
-
-    def inside(points: DataFrame, keys: list[str], different: bool) -> DataFrame:
-        """Excess of concordant pairs within each group of (panel, keys); groups arrive whole and in turn, many to a task."""
-        group = F.xxhash64(*[x for k in [*panel, *keys] for x in (F.col(k).isNull(), F.col(k))])
-        ordered = points.repartition(*panel, *keys).sortWithinPartitions(*panel, *keys).select(*panel, "x", "y", "w", "xb", group.alias("_group"))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, first, held = None, None, []
-
-            def total() -> int:
-                return _within(*(np.concatenate([h[i] for h in held]) for i in range(4)), different)
-
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                groups = batch.column("_group").to_numpy()
-                columns = [batch.column(c).to_numpy() for c in ("x", "y", "w", "xb")]
-                starts = np.concatenate(([0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]))
-                done = []
-                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                    if groups[a] != last:
-                        if held:
-                            done.append((first, total()))
-                        last, first, held = groups[a], batch.slice(a, 1), []
-                    held.append([c[a:b] for c in columns])
-                yield from _excess_rows(done, schema)
-            if held:
-                yield from _excess_rows([(first, total())], schema)
-
-        return ordered.mapInArrow(count, schema)
-
-    between = spread.groupBy(*panel, "xb", "yb").agg(F.sum("w").alias("w")).select(*panel, F.col("xb").alias("x"), F.col("yb").alias("y"), "w", "xb")
-    parts = inside(placed, ["xb"], False).unionByName(inside(spread, ["yb"], True)).unionByName(inside(between, [], True))
-    excess = parts.groupBy(*panel).agg(F.sum("excess").alias("excess"))
+def _excess(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    """Concordant minus discordant pairs among weighted points, from the cumulative sums of their table of counts; equal coordinates count for nothing."""
+    rows, at_x = np.unique(x, return_inverse=True)
+    columns, at_y = np.unique(y, return_inverse=True)
+    if len(rows) < 2 or len(columns) < 2:
+        return 0
+    table = np.zeros((len(rows), len(columns)), np.int64)
+    np.add.at(table, (at_x, at_y), w)
+    below = np.zeros((len(rows), len(columns) + 1), np.int64)  # points of lesser rows by columns up to each
+    below[1:, 1:] = table.cumsum(0)[:-1].cumsum(1)
+    return int((table * (below[:, :-1] + below[:, 1:] - below[:, -1:])).sum())
 
-    def tied(steps: DataFrame, name: str) -> DataFrame:
-        return steps.groupBy(*panel).agg(F.sum("ties").alias(f"{name}_n"), F.sum(F.col("ties") * (F.col("ties") - 1) / 2).alias(name))
 
-    counts = tied(olds, "_tx").join(tied(news, "_ty"), panel)
+def kendall_tau_b(members: DataFrame, panel: list[str], fan: int = FAN) -> DataFrame:
+    """Tau-b per panel, corrected for ties on either side; NULL for fewer than two members or when one side is constant.
+
+    Members are merged to cells (old step, new step, number). Two cells differ in both steps, or the pair counts for nothing. The steps,
+    written to the base `fan`, agree from some digit on; the first digits from the top that differ, one for each score, give the pair's sign. So for
+    every pair of digit places, cells are merged by what is left of the steps from there on, and pairs are counted within groups that agree
+    above: at most fan x fan cells each, whatever the panel. Rows with a NULL score are left out.
+    """
+    known = members.filter("old_score is not null and new_score is not null")
+    cells = known.groupBy(*panel, "old_score", "new_score").agg(F.count("*").alias("w"))
+    olds, news = cut_lineage(ladder(known, panel, "old_score")), cut_lineage(ladder(known, panel, "new_score"))
+    placed = joined_on(joined_on(cells, olds.select(*panel, "old_score", F.col("step").alias("x")), [*panel, "old_score"], "inner"), news.select(*panel, "new_score", F.col("step").alias("y")), [*panel, "new_score"], "inner")
+
+    def tied(steps: DataFrame, name: str) -> DataFrame:
+        return steps.groupBy(*panel).agg(F.sum("ties").alias(f"{name}_n"), F.sum(F.col("ties") * (F.col("ties") - 1) / 2).alias(name), F.max("step").alias(f"{name}_steps"))
+
+    counts = cut_lineage(joined_on(tied(olds, "_tx"), tied(news, "_ty"), panel, "inner"))
+    places = F.ceil(F.log(F.greatest("_tx_steps", "_ty_steps") + 1) / F.log(F.lit(float(fan)))).cast("int")
+    several = counts.filter((F.col("_tx_steps") > 1) & (F.col("_ty_steps") > 1)).select(*panel, F.greatest(F.lit(1), places).alias("_places"))
+    digits = F.sequence(F.lit(0), F.col("_places") - 1)
+    power = F.pow(F.lit(float(fan)), F.col("_i")).cast("long"), F.pow(F.lit(float(fan)), F.col("_j")).cast("long")
+    rest = [F.floor(F.col(c) / p) for c, p in zip("xy", power)]
+    levels = joined_on(placed, several, panel, "inner").withColumn("_i", F.explode(digits)).withColumn("_j", F.explode(digits))
+    merged = levels.groupBy(*panel, "_i", "_j", rest[0].alias("x"), rest[1].alias("y")).agg(F.sum("w").alias("w"))
+    keys = [*panel, "_i", "_j", "_x", "_y"]
+    grouped = merged.withColumns({"_x": F.floor(F.col("x") / fan), "_y": F.floor(F.col("y") / fan)})
+    excess = _per_group(grouped, panel, keys).groupBy(*panel).agg(F.sum("excess").alias("excess"))
     pairs = F.col("_tx_n") * (F.col("_tx_n") - 1) / 2
     scale = (pairs - F.col("_tx")) * (pairs - F.col("_ty"))
-    return counts.join(excess, panel, "left").select(*panel, F.col("_tx_n").alias("members"), F.when(scale > 0, F.col("excess") / F.sqrt(scale)).alias("tau_b"))
+    return joined_on(counts, excess, panel).select(*panel, F.col("_tx_n").alias("members"), F.when(scale > 0, F.coalesce("excess", F.lit(0)) / F.sqrt(scale)).alias("tau_b"))
+
+
+def _per_group(points: DataFrame, panel: list[str], keys: list[str]) -> DataFrame:
+    """(panel, excess) of every group of `keys` with at least two points; groups arrive whole and in turn, many to a task."""
+    group = F.xxhash64(*[x for k in keys for x in (F.col(k).isNull(), F.col(k))])
+    ordered = points.withColumn("_group", group).repartition("_group").sortWithinPartitions("_group").select(*panel, "x", "y", "w", "_group")
+    schema = ordered.select(*panel).schema.add("excess", "long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            ids = table.column("_group").to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1))
+            yield from finished(table, starts, np.append(starts[1:], len(ids))[:-1])
+            held = table.slice(int(starts[-1])).combine_chunks().to_batches()[0]  # the last group may go on
+        if held is not None:
+            table = pa.Table.from_batches([held])
+            yield from finished(table, np.zeros(1, int), np.array([table.num_rows]))
+
+    def finished(table: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = starts[: len(ends)]
+        several = ends - starts > 1
+        starts, ends = starts[several], ends[several]
+        if len(starts):
+            x, y, w = (table.column(c).to_numpy() for c in ("x", "y", "w"))
+            total = pa.array([_excess(x[a:b], y[a:b], w[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64())
+            rows = table.select(panel).take(pa.array(starts)).append_column("excess", total)
+            yield from rows.cast(rows.schema).combine_chunks().to_batches()
+
+    return ordered.mapInArrow(count, schema)
 
 
 def rank_biased_overlap(members: DataFrame, panel: list[str], persistence: float = 0.9) -> DataFrame:

@@ -1,30 +1,26 @@
 """Bootstrap intervals over units (donors, panels) from a plan table of draws.
 
-A plan has one row per draw and unit with the number of times the unit is drawn. Plans come from a seeded generator, or from a hash
-of (draw, position), which any engine reproduces. Values meet the plan by unit, each draw is one grouped sum.
+A plan has one row per draw and unit with the number of times the unit is drawn. Plans come from a hash of (draw, position), which
+any engine reproduces. Values meet the plan by unit, each draw is one grouped sum. Percentiles are over draws, of which there are as
+many as the plan's parameter says, however many units there are.
 """
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio
-
-
-def seeded_plan(spark: SparkSession, units: int, draws: int, seed: int) -> DataFrame:
-    """(draw, unit_no, times) from Python's Mersenne twister; draws x units numbers are made on the driver, for plans that must equal a published one."""
-    generator = random.Random(seed)
-    rows = [(draw, generator.randrange(units)) for draw in range(draws) for _ in range(units)]
-    return spark.createDataFrame(rows, "draw int, unit_no int").groupBy("draw", "unit_no").agg(F.count("*").alias("times"))
+from panelshift.operators.ordering import hash_numbered
 
 
 def hashed_plan(units: DataFrame, unit: str, by: list[str], draws: int) -> DataFrame:
-    """(by, draw, unit, times): in every draw each of the group's n units picks the unit numbered md5(draw|number) mod n, generated in parallel."""
-    line = Window.partitionBy(*by).orderBy(unit)
-    numbered = units.select(*by, unit).distinct().withColumns({"_no": F.row_number().over(line) - 1, "_n": F.count("*").over(Window.partitionBy(*by))})
+    """(by, draw, unit, times): in every draw each of the group's n units picks the unit numbered md5(draw|number) mod n, generated in parallel.
+
+    Units are numbered from 0 in the order of the md5 of their name, then of the name. Repeated units count once, NULL units and groups are left out.
+    """
+    named = units.select(*by, unit).dropna().distinct()
+    numbered = hash_numbered(named, by, F.md5(F.col(unit).cast("string")), unit, "_no").join(named.groupBy(*by).agg(F.count("*").alias("_n")), by).withColumn("_no", F.col("_no") - 1)
     picks = numbered.select(*by, "_no", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("_no").cast("string"))), 1, 8), 16, 10).cast("long")
     chosen = picks.withColumn("_pick", hashed % F.col("_n")).groupBy(*by, "draw", F.col("_pick").alias("_no")).agg(F.count("*").alias("times"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio, when_chain
+from panelshift.operators.ordering import joined_on, running_sum, value_range, with_quantiles
 
 # Score tiers (open below, closed above), cut points, tolerance and the scale factor of the calibration.
 TIERS = ((0.0, 0.05, "score_gt_0_le_0_05"), (0.05, 0.2, "score_gt_0_05_le_0_20"), (0.2, 0.5, "score_gt_0_20_le_0_50"), (0.5, 0.75, "score_gt_0_50_le_0_75"), (0.75, 1.0, "score_gt_0_75_le_1_00"))
@@ -61,15 +62,16 @@ def score_summary(revisions: DataFrame) -> DataFrame:
         F.struct(F.lit("EVIDENCE_COUNT_STATUS").alias("summary_scope"), F.col("evidence_status").alias("summary_group")),
     )
     change, signed = F.col("absolute_change"), F.col("signed_change")
-    quantiles = F.percentile(change, F.array(*[F.lit(q) for q in (0.5, 0.75, 0.9, 0.95, 0.99)]))
-    found = revisions.select("*", F.inline(scopes)).groupBy(*GROUP, "summary_scope", "summary_group").agg(
+    levels = {"median": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95, "q99": 0.99}
+    wanted_quantiles = {"signed_median": ("signed_change", 0.5), "old_score_median": ("old_score", 0.5), "new_score_median": ("new_score", 0.5)} | {f"absolute_{n}": ("absolute_change", q) for n, q in levels.items()}
+    scoped, by = revisions.select("*", F.inline(scopes)), [*GROUP, "summary_scope", "summary_group"]
+    found = scoped.groupBy(*by).agg(
         F.count("*").alias("record_count"), F.countDistinct("canonical_disease_id").alias("disease_count"), F.countDistinct("canonical_target_id").alias("target_count"),
         ratio(F.count_if("exact_unchanged"), F.count("*")).alias("exact_unchanged_fraction"), ratio(F.count_if("near_unchanged"), F.count("*")).alias("near_unchanged_fraction"),
-        F.percentile(signed, 0.5).alias("signed_median"), quantiles.alias("_q"), F.max(change).alias("maximum_change"), *_cut_fractions(change, "change"),
-        F.percentile("old_score", 0.5).alias("old_score_median"), F.percentile("new_score", 0.5).alias("new_score_median"),
+        F.max(change).alias("maximum_change"), *_cut_fractions(change, "change"),
         F.count_if(signed > 0).alias("positive_count"), F.count_if(signed < 0).alias("negative_count"), F.count_if(signed == 0).alias("zero_count"),
     )
-    named = found.withColumns({f"absolute_{n}": F.col("_q")[i] for i, n in enumerate(("median", "q75", "q90", "q95", "q99"))}).drop("_q")
+    named = with_quantiles(found, scoped, by, wanted_quantiles)
     groups = revisions.select(*GROUP).distinct()
     wanted = F.array(
         F.struct(F.lit("OVERALL").alias("summary_scope"), F.lit("all").alias("summary_group")),
@@ -83,13 +85,9 @@ def score_summary(revisions: DataFrame) -> DataFrame:
 def scale_diagnostic(revisions: DataFrame) -> DataFrame:
     """Raw and rescaled absolute changes side by side, for pairs to which the rescaling applies."""
     both = revisions.filter("adjusted_change is not null")
-    levels = F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))
-    sums = both.groupBy(*GROUP).agg(
-        F.count("*").alias("record_count"), F.percentile("absolute_change", levels).alias("_r"), F.percentile("adjusted_change", levels).alias("_a"),
-        *_cut_fractions(F.col("absolute_change"), "raw"), *_cut_fractions(F.col("adjusted_change"), "adjusted"),
-    )
-    names = {f"{side}_{n}": F.col(f"_{side[0]}")[i] for side in ("raw", "adjusted") for i, n in enumerate(("median", "q90", "q99"))}
-    return sums.withColumns(names).drop("_r", "_a")
+    sums = both.groupBy(*GROUP).agg(F.count("*").alias("record_count"), *_cut_fractions(F.col("absolute_change"), "raw"), *_cut_fractions(F.col("adjusted_change"), "adjusted"))
+    levels = {"median": 0.5, "q90": 0.9, "q99": 0.99}
+    return with_quantiles(sums, both, GROUP, {f"{side}_{n}": (c, q) for side, c in (("raw", "absolute_change"), ("adjusted", "adjusted_change")) for n, q in levels.items()})
 
 
 def tier_summary(revisions: DataFrame, records: DataFrame) -> DataFrame:
@@ -97,8 +95,9 @@ def tier_summary(revisions: DataFrame, records: DataFrame) -> DataFrame:
     change, signed = F.col("absolute_change"), F.col("signed_change")
     stay = revisions.groupBy(*GROUP, "old_tier").agg(
         F.count("*").alias("pair_count"), F.countDistinct("canonical_disease_id").alias("disease_count"), F.countDistinct("canonical_target_id").alias("target_count"),
-        F.percentile(change, 0.5).alias("median_change"), F.percentile(change, 0.9).alias("q90_change"), F.count_if(signed > 0).alias("positive_count"), F.count_if(signed < 0).alias("negative_count"),
+        F.count_if(signed > 0).alias("positive_count"), F.count_if(signed < 0).alias("negative_count"),
     )
+    stay = with_quantiles(stay, revisions, [*GROUP, "old_tier"], {"median_change": ("absolute_change", 0.5), "q90_change": ("absolute_change", 0.9)})
     moved = records.groupBy("release_pair", score_tier(F.col("applicable_score")).alias("old_tier")).agg(*[F.count_if(F.col("context_class") == c).alias(f"{n}_count") for c, n in (("ENTRANT", "entrant"), ("EXIT", "exit"), ("MAPPING_AFFECTED", "remapped"))])
     return stay.join(moved, ["release_pair", "old_tier"], "left").fillna(0, ["entrant_count", "exit_count", "remapped_count"])
 
@@ -120,13 +119,13 @@ def dominant(rows: DataFrame, by: list[str], unit: str, weight: Column, out: str
 def weighted_quantile(rows: DataFrame, by: list[str], value: str, weight: str, levels: dict[str, float]) -> DataFrame:
     """The least value at which the cumulative weight reaches each level of the total (inverted distribution function).
 
-    Weights are summed per distinct value first, so only distinct values are ordered. Rows with a NULL value or a weight that is not
+    Weights are summed per distinct value first; distinct values are ordered range by range. Rows with a NULL value or a weight that is not
     above 0 are left out.
     """
     steps = rows.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    line = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = steps.withColumns({"_c": F.sum("_w").over(line), "_t": F.sum("_w").over(Window.partitionBy(*by))})
-    return summed.groupBy(*by).agg(*[F.min(F.when(F.col("_c").cast("double") + 1e-15 >= F.col("_t").cast("double") * q, F.col(value))).alias(n) for n, q in levels.items()])
+    summed = running_sum(steps.withColumn("_range", value_range(F.col(value))), by, "_range", [value], "_w", "_c")
+    total = steps.groupBy(*by).agg(F.sum("_w").alias("_t"))
+    return joined_on(summed, total, by, "inner").groupBy(*by).agg(*[F.min(F.when(F.col("_c").cast("double") + 1e-15 >= F.col("_t").cast("double") * q, F.col(value))).alias(n) for n, q in levels.items()])
 
 
 def area_summary(revisions: DataFrame, minimum_diseases: int = 20) -> DataFrame:
@@ -161,14 +160,18 @@ def tier_area_distribution(revisions: DataFrame) -> DataFrame:
 def concentration(revisions: DataFrame) -> DataFrame:
     """Shares of the dominant disease and target in the large changes, and the 90th percentile without them."""
     change = F.col("absolute_change")
-    base = revisions.groupBy(*GROUP).agg(F.count("*").alias("pair_count"), F.percentile(change, 0.9).alias("full_q90"), F.count_if(change >= LARGE).alias("large_count"))
+    base = revisions.groupBy(*GROUP).agg(F.count("*").alias("pair_count"), F.count_if(change >= LARGE).alias("large_count"))
     large = revisions.filter(change >= LARGE)
-    out = base
+    out, rows, without = base, revisions, {"full_q90": ("absolute_change", 0.9)}
     for unit, name in (("canonical_disease_id", "disease"), ("canonical_target_id", "target")):
         top = dominant(large, GROUP, unit, F.count("*"), f"dominant_{name}")
-        rest = revisions.join(top, GROUP).filter(F.col(unit) != F.col(f"dominant_{name}_id")).groupBy(*GROUP).agg(F.count("*").alias(f"without_{name}_count"), F.percentile(change, 0.9).alias(f"without_{name}_q90"))
-        out = out.join(top, GROUP, "left").join(rest, GROUP, "left").withColumn(f"maximum_{name}_share", ratio(F.col(f"dominant_{name}_weight"), F.col("large_count"))).withColumn(f"without_{name}_difference", F.col(f"without_{name}_q90") - F.col("full_q90"))
-    return out
+        out = out.join(top, GROUP, "left").withColumn(f"maximum_{name}_share", ratio(F.col(f"dominant_{name}_weight"), F.col("large_count")))
+        other = F.col(unit) != F.col(f"dominant_{name}_id")
+        rows = rows.join(F.broadcast(top.select(*GROUP, f"dominant_{name}_id")), GROUP, "left").withColumn(f"_{name}", F.when(other, change))  # a row per release pair and support
+        without |= {f"without_{name}_q90": (f"_{name}", 0.9)}
+    left = rows.groupBy(*GROUP).agg(*[F.nullif(F.count(f"_{n}"), F.lit(0)).alias(f"without_{n}_count") for n in ("disease", "target")])
+    whole = with_quantiles(out.join(left, GROUP), rows, GROUP, without)
+    return whole.withColumns({f"without_{n}_difference": F.col(f"without_{n}_q90") - F.col("full_q90") for n in ("disease", "target")})
 
 
 def trajectories(members: DataFrame, releases: list[str]) -> DataFrame:
@@ -207,11 +210,12 @@ def _labelled(both: DataFrame) -> DataFrame:
 
 def trajectory_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs per trajectory and starting tier (and all tiers), on the full grid, with fractions of the tier and of all; each within `by`."""
-    cells = rows.select("*", F.explode(F.array(F.col("starting_tier"), F.lit("all_score_tiers"))).alias("tier_group"))
+    cells = rows.select("*", F.abs("first_change").alias("_first"), F.abs("second_change").alias("_second"), F.explode(F.array(F.col("starting_tier"), F.lit("all_score_tiers"))).alias("tier_group"))
     counts = cells.groupBy(*by, "trajectory", "tier_group").agg(
         F.count("*").alias("pair_count"), F.countDistinct("canonical_disease_id").alias("disease_count"),
-        F.percentile(F.abs("first_change"), 0.5).alias("first_change_median"), F.percentile(F.abs("second_change"), 0.5).alias("second_change_median"),
     )
+    medians = {"first_change_median": ("_first", 0.5), "second_change_median": ("_second", 0.5)}
+    counts = with_quantiles(counts, cells, [*by, "trajectory", "tier_group"], medians)
     full = grid(rows.sparkSession, trajectory=TRAJECTORIES, tier_group=(*[t[2] for t in TIERS], "all_score_tiers"))
     if by:
         full = full.crossJoin(F.broadcast(counts.select(*by).distinct()))
@@ -222,16 +226,21 @@ def trajectory_summary(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def entrant_exit_summary(records: DataFrame) -> DataFrame:
-    """Entrants, exits and other records overall and per area (weighted): counts and applicable scores."""
-    overall = records.groupBy("release_pair", "context_class").agg(F.count("*").alias("record_count"), F.count("*").cast("double").alias("fractional_count"), F.countDistinct("canonical_disease_id").alias("disease_count"), F.percentile("applicable_score", 0.5).alias("score_median"))
-    by_area = with_areas(records).groupBy("release_pair", "context_class", "area_id").agg(F.count("*").alias("record_count"), F.sum("area_weight").cast("double").alias("fractional_count"), F.countDistinct("canonical_disease_id").alias("disease_count"), F.percentile("applicable_score", 0.5).alias("score_median"))
-    columns = ["summary_scope", "release_pair", "context_class", "area_id", "record_count", "fractional_count", "disease_count", "score_median"]
-    return overall.withColumns({"summary_scope": F.lit("overall"), "area_id": F.lit("")}).select(*columns).unionByName(by_area.withColumn("summary_scope", F.lit("area")).select(*columns))
+    """Entrants, exits and other records overall and per area (weighted): counts and applicable scores, NULL ones left out of the median."""
+    whole = records.select("*", F.lit("overall").alias("summary_scope"), F.lit("").alias("area_id"), F.lit(1).cast("decimal(38,18)").alias("area_weight"))
+    rows = whole.unionByName(with_areas(records).withColumn("summary_scope", F.lit("area")))
+    by = ["summary_scope", "release_pair", "context_class", "area_id"]
+    sums = rows.groupBy(*by).agg(F.count("*").alias("record_count"), F.sum("area_weight").cast("double").alias("fractional_count"), F.countDistinct("canonical_disease_id").alias("disease_count"))
+    return with_quantiles(sums, rows, by, {"score_median": ("applicable_score", 0.5)})
 
 
 def persistence_class(primary: Column, stable_eligible: Column, stable: Column, domain_eligible: Column, domain: Column) -> Column:
-    """How far a change of leaders is borne out on stable members and in a further domain."""
-    return when_chain(
-        (~primary, "NO_PRIMARY_CHANGE"), (stable_eligible & stable & domain_eligible & domain, "PERSISTS_IN_BOTH"), (stable_eligible & stable & domain_eligible, "PERSISTS_ON_STABLE_ONLY"),
-        (stable_eligible & stable, "PERSISTS_ON_STABLE_DOMAIN_UNAVAILABLE"), (stable_eligible & domain_eligible & domain, "PERSISTS_IN_DOMAIN_ONLY"), (stable_eligible, "NOT_BORNE_OUT"), otherwise="LAYERS_UNAVAILABLE",
-    )
+    """How far a change of leaders is borne out on stable members and in an evidence domain; a flag that is NULL or of an ineligible layer counts as no change.
+
+    Fixed values: the names of the classes.
+    """
+    no = F.lit(False)
+    p, s, d = F.coalesce(primary, no), F.coalesce(stable_eligible & stable, no), F.coalesce(domain_eligible & domain, no)
+    with_primary = F.when(s, F.when(d, "MIXED").otherwise("PERSISTS_STABLE_ENTITY")).when(d, "PERSISTS_EVIDENCE_DOMAIN").when(~F.coalesce(domain_eligible, no), "INSUFFICIENT_DOMAIN_SUPPORT")
+    with_primary = with_primary.when(F.coalesce(stable_eligible, no), "DISAPPEARS_AFTER_MAPPING_CONTROL").otherwise("OVERALL_ONLY")
+    return F.when(p, with_primary).otherwise(F.when(d & ~s, "DOMAIN_ONLY").otherwise("MIXED"))

@@ -97,7 +97,7 @@ def entrant_exit_records(transitions: DataFrame) -> DataFrame:
 
 
 def fixed_members(transitions: DataFrame, releases: list[str]) -> DataFrame:
-    """Members of fixed supports: PAIR_SPECIFIC (eligible in both releases) and ALL_RELEASES (eligible in every one)."""
+    """Members of fixed supports: PAIR_SUPPORT (eligible in both releases) and LASTING_SUPPORT (eligible in every release, named after the usual three)."""
     both = transitions.filter("old_eligible and new_eligible").select(
         "release_pair", "old_release", "new_release", "canonical_disease_id", "canonical_target_id", "old_score", "new_score", "old_evidence_count", "new_evidence_count",
         F.col("stable_entity").alias("stable_member"), "mapping_affected", "areas",
@@ -105,7 +105,7 @@ def fixed_members(transitions: DataFrame, releases: list[str]) -> DataFrame:
     steps = len(releases) - 1
     whole = both.groupBy("canonical_disease_id", "canonical_target_id").agg(F.count("*").alias("_n"), F.bool_and("stable_member").alias("_stable")).filter(F.col("_n") == steps)
     lasting = both.join(whole, ["canonical_disease_id", "canonical_target_id"]).withColumn("stable_member", F.col("_stable")).drop("_n", "_stable")
-    return both.select(F.lit("PAIR_SPECIFIC").alias("support_name"), "*").unionByName(lasting.select(F.lit("ALL_RELEASES").alias("support_name"), *both.columns))
+    return both.select(F.lit(PAIR_SUPPORT).alias("support_name"), "*").unionByName(lasting.select(F.lit(LASTING_SUPPORT).alias("support_name"), *both.columns))
 
 
 def fixed_registry(members: DataFrame, primary: int = 30) -> DataFrame:
@@ -147,7 +147,7 @@ def exclusion_registry(canonical: DataFrame, registry: DataFrame, diseases: Data
         return df.filter(~F.col("mapping_status").isin(*usable)).select(F.lit(scope).alias("exclusion_scope"), "release_id", F.lit("").alias("release_pair"), F.col("source_id").alias("unit_id"), F.col("mapping_status").alias("reason"))
 
     rows = canonical.filter("not eligible").select(F.lit("ASSOCIATION").alias("exclusion_scope"), "release_id", F.lit("").alias("release_pair"), F.concat_ws("|", "disease_id", "target_id").alias("unit_id"), F.col("exclusion_reason").alias("reason"))
-    panels = registry.filter("support_name = 'PAIR_SPECIFIC' and exclusion_reason <> ''").select(F.lit("FIXED_PANEL").alias("exclusion_scope"), F.lit("").alias("release_id"), "release_pair", F.col("canonical_disease_id").alias("unit_id"), F.col("exclusion_reason").alias("reason"))
+    panels = registry.filter((F.col("support_name") == PAIR_SUPPORT) & (F.col("exclusion_reason") != "")).select(F.lit("FIXED_PANEL").alias("exclusion_scope"), F.lit("").alias("release_id"), "release_pair", F.col("canonical_disease_id").alias("unit_id"), F.col("exclusion_reason").alias("reason"))
     return entities(diseases, "DISEASE_MAPPING").unionByName(entities(targets, "TARGET_MAPPING")).unionByName(rows).unionByName(panels)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import clean_disease, clean_target, is_finite
 from panelshift.operators import allocation, evaluation, panel, rank_correlation, revision, scenario, selection, snapshots
+from panelshift.operators.ordering import exact_quantiles, with_quantiles
 from panelshift.plans.release_queries import _rounded
 from panelshift.session import cut_lineage
 from panelshift.sources.tables import load
@@ -21,31 +22,28 @@ SIGNALS = {"leader_change": 0.05, "top_10_jaccard_below": 0.9, "low_overlap": 0.
 def members(spark: SparkSession, d: str) -> DataFrame:
     """One row per panel and target with both scores above 0 and at most 1: the one loaded last, of equal ones the greatest.
 
-    Most queries read them more than once, so they are stored as a table.
+    The grouping's exchange serves all uses within a query.
     """
     rows = load(spark, d, "fixed_ranking_panel_members", [*P, TARGET, "old_score", "new_score", "old_evidence_count", "new_evidence_count", "stable_entity_member", "canonical_therapeutic_area_ids", "loaded_at"])
     clean = rows.withColumns({"canonical_disease_id": clean_disease("canonical_disease_id"), TARGET: clean_target(TARGET)})
     valid = [is_finite(F.col(c)) & (F.col(c) > 0) & (F.col(c) <= 1) for c in ("old_score", "new_score")]
     values = ["new_score", "old_score", "new_evidence_count", "old_evidence_count", "stable_entity_member", "canonical_therapeutic_area_ids"]
     last = snapshots.latest_rows(clean.filter(valid[0] & valid[1]), "support_name", ["release_pair", "canonical_disease_id", TARGET], "loaded_at", values)
-    return cut_lineage(last.withColumnRenamed("canonical_therapeutic_area_ids", "areas"))
+    return last.withColumnRenamed("canonical_therapeutic_area_ids", "areas")
 
 
 def rank_displacements(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(panel.rank_displacements(members(spark, d), P).select(*P, TARGET, "old_rank", "new_rank", "displacement"))
 
 
-def _displacement_summary(spark: SparkSession, d: str) -> DataFrame:
-    moved = panel.rank_displacements(members(spark, d), P)
-    return moved.groupBy(*P).agg(
-        F.count("*").alias("members"), F.max("old_step").alias("old_distinct"), F.percentile("displacement", 0.5).alias("median_displacement"),
-        F.percentile("displacement", 0.9).alias("q90_displacement"), F.max("displacement").alias("max_displacement"), F.min("areas").alias("areas"),
-    )
+def _displacement_summary(rows: DataFrame) -> DataFrame:
+    moved = cut_lineage(panel.rank_displacements(rows, P).select(*P, "displacement", "areas"))
+    sums = moved.groupBy(*P).agg(F.count("*").alias("members"), F.max("displacement").alias("max_displacement"), F.min("areas").alias("areas"))
+    return with_quantiles(sums, moved, P, {"median_displacement": ("displacement", 0.5), "q90_displacement": ("displacement", 0.9)})
 
 
 def displacement_summary(spark: SparkSession, d: str) -> DataFrame:
-    moved = panel.rank_displacements(members(spark, d), P)
-    return _rounded(moved.groupBy(*P).agg(F.count("*").alias("members"), F.percentile("displacement", 0.5).alias("median_displacement"), F.percentile("displacement", 0.9).alias("q90_displacement"), F.max("displacement").alias("max_displacement")))
+    return _rounded(_displacement_summary(members(spark, d)).drop("areas"))
 
 
 def top_set_comparison(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +83,7 @@ def signal_assessment(spark: SparkSession, d: str) -> DataFrame:
     rows = members(spark, d)
     by = P[:2]
     tops = panel.top_set_comparison(rows, P, (10,))
-    moved = panel.rank_displacements(rows, P).groupBy(*P).agg(F.percentile("displacement", 0.9).alias("q90"))
+    moved = exact_quantiles(panel.rank_displacements(rows, P), P, {"q90": ("displacement", 0.9)})
     one = tops.groupBy(*by).agg(
         F.avg(F.when(F.col("cutoff") == 0, F.col("changed").cast("double"))).alias("leader_change"),
         F.avg(F.when(F.col("cutoff") == 10, (F.col("jaccard") < SIGNALS["top_10_jaccard_below"]).cast("double"))).alias("low_overlap"),
@@ -97,7 +95,7 @@ def signal_assessment(spark: SparkSession, d: str) -> DataFrame:
 
 def area_displacement(spark: SparkSession, d: str) -> DataFrame:
     """Area-weighted quantiles of the panels' median displacement."""
-    rows = revision.with_areas(_displacement_summary(spark, d))
+    rows = revision.with_areas(_displacement_summary(members(spark, d)))
     by = [*P[:2], "area_id"]
     sums = rows.groupBy(*by).agg(F.count("*").alias("panels"), F.sum("area_weight").cast("double").alias("weight"))
     return _rounded(sums.join(revision.weighted_quantile(rows, by, "median_displacement", "area_weight", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), by, "left"))
@@ -292,7 +290,7 @@ _TOPS = f"""{_RANKED}, sets AS (SELECT {_BY}, k, m, o_in, n_in FROM (SELECT *, u
 
 def _margins(c: str) -> str:
     return f"""SELECT {_ID}, '{'old' if c == 'o' else 'new'}_score' AS margin_of, leaders, round(best, 9) AS best_score, {_r('margin')} AS margin, CASE WHEN margin IS NULL THEN NULL WHEN margin <= 0 THEN '0' WHEN margin <= 1e-12 THEN '(0, 1e-12]' WHEN margin <= 1e-8 THEN '(1e-12, 1e-8]' WHEN margin <= 1e-6 THEN '(1e-8, 1e-6]'
-WHEN margin <= 1e-4 THEN '(1e-6, 1e-4]' WHEN margin <= 1e-3 THEN '(1e-4, 1e-3]' WHEN margin <= 1e-2 THEN '(1e-3, 1e-2]' WHEN margin <= 5e-2 THEN '(1e-2, 5e-2]' ELSE '(5e-2, inf)' END AS margin_bin FROM
+WHEN margin <= 1e-4 THEN '(1e-6, 1e-4]' WHEN margin <= 1e-3 THEN '(1e-4, 1e-3]' WHEN margin <= 1e-2 THEN '(1e-3, 1e-2]' WHEN margin <= 5e-2 THEN '(1e-2, 5e-2]' WHEN margin <= 1 THEN '(5e-2, 1]' ELSE 'above 1' END AS margin_bin FROM
 (SELECT *, CASE WHEN leaders > 1 THEN 0.0 ELSE best - second END margin FROM (SELECT {_BY}, count(*) FILTER ({c} = b) leaders, max({c}) best, max({c}) FILTER ({c} < b) AS second FROM (SELECT *, max({c}) OVER (PARTITION BY {_BY}) b FROM pm) GROUP BY {_BY}))"""
 
 

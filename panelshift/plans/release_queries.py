@@ -142,7 +142,7 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.trajectory_summary(revision.trajectories(members(spark, d).filter("support_name = 'PAIR_SPECIFIC'"), releases(spark, d)[:3])))
+    return _rounded(revision.trajectory_summary(revision.trajectories(members(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'"), releases(spark, d)[:3])))
 
 
 def entrant_exit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -174,21 +174,26 @@ def turnover_decomposition(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(padded.select("release_pair", "reason", "panels", (F.col("panels") / F.col("_all")).alias("fraction")))
 
 
-def persistence_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a change of leaders holds on stable members and on members with at least five pieces of evidence in both releases."""
+def persistence_classes(spark: SparkSession, d: str, evidence: int = 5) -> DataFrame:
+    """Whether a change of leaders holds on stable members and in an evidence domain, each where at least 30 targets with two distinct scores make a panel.
+
+    The given tables name no evidence domains; members with at least `evidence` pieces of evidence in both releases stand for one.
+    """
     by = ["release_pair", "canonical_disease_id"]
-    rows = _kept(members(spark, d).filter("support_name = 'PAIR_SPECIFIC'"))
-    domain = rows.filter((F.col("old_evidence_count") >= 5) & (F.col("new_evidence_count") >= 5))
-    layers = [epsilon_leaders(x, by, "canonical_target_id", (0.0,)).select(*by, F.col("changed").alias(n)) for n, x in (("primary_changed", rows), ("stable_changed", rows.filter("stable_member")), ("domain_changed", domain))]
-    joined = layers[0].join(layers[1], by, "left").join(layers[2], by, "left")
-    s, m = F.col("stable_changed"), F.col("domain_changed")
-    kind = revision.persistence_class(F.col("primary_changed"), s.isNotNull(), F.coalesce(s, F.lit(False)), m.isNotNull(), F.coalesce(m, F.lit(False)))
-    return joined.withColumn("persistence_class", kind)
+    rows = _kept(members(spark, d).filter(F.col("support_name") == support.PAIR_SUPPORT))
+    layers = {"primary": F.lit(True), "stable": F.col("stable_member"), "domain": F.coalesce((F.col("old_evidence_count") >= evidence) & (F.col("new_evidence_count") >= evidence), F.lit(False))}
+    layered = rows.select("*", F.explode(F.array_compact(F.array(*[F.when(holds, n) for n, holds in layers.items()]))).alias("layer"))
+    changes = epsilon_leaders(layered, ["layer", *by], "canonical_target_id", (0.0,)).select("layer", *by, "changed")
+    sizes = layered.groupBy("layer", *by).agg(F.count("*").alias("n"), F.least(F.countDistinct("old_score"), F.countDistinct("new_score")).alias("distinct"))
+    both = changes.join(sizes, ["layer", *by]).withColumn("eligible", (F.col("n") >= 30) & (F.col("distinct") >= support.MIN_DISTINCT))
+    wide = both.groupBy(*by).agg(*[F.max(F.when(F.col("layer") == n, F.col(c))).alias(f"{n}_{c}") for n in layers for c in ("changed", "eligible")])
+    flags = wide.withColumns({f"{n}_eligible": F.coalesce(f"{n}_eligible", F.lit(False)) for n in ("stable", "domain")}).drop("primary_eligible")
+    return flags.withColumn("persistence_class", revision.persistence_class(*[F.col(c) for c in ("primary_changed", "stable_eligible", "stable_changed", "domain_eligible", "domain_changed")]))
 
 
 def change_intervals(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
     """Bootstrap intervals of a release pair's mean absolute change and share of changed scores, panels drawn with replacement."""
-    per_panel = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC'").groupBy("release_pair", "canonical_disease_id").agg(F.avg("absolute_change").alias("mean_change"), F.avg((~F.col("exact_unchanged")).cast("double")).alias("changed_share")))
+    per_panel = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'").groupBy("release_pair", "canonical_disease_id").agg(F.avg("absolute_change").alias("mean_change"), F.avg((~F.col("exact_unchanged")).cast("double")).alias("changed_share")))
     plan = resampling.hashed_plan(per_panel, "canonical_disease_id", ["release_pair"], n)
     draws = resampling.draw_means(per_panel, plan, ["release_pair"], "canonical_disease_id", ["mean_change", "changed_share"])
     return _rounded(resampling.percentile_intervals(per_panel, draws, ["release_pair"], ["mean_change", "changed_share"]))
@@ -196,7 +201,7 @@ def change_intervals(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
 
 def changed_pair_ratio(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
     """Changed pairs over all pairs of a release pair, with a bootstrap interval of the ratio of sums over panels."""
-    panels = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC'").groupBy("release_pair", "canonical_disease_id").agg(F.count_if(~F.col("exact_unchanged")).alias("changed"), F.count("*").alias("pairs")))
+    panels = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'").groupBy("release_pair", "canonical_disease_id").agg(F.count_if(~F.col("exact_unchanged")).alias("changed"), F.count("*").alias("pairs")))
     draws = resampling.draw_ratios(panels, resampling.hashed_plan(panels, "canonical_disease_id", ["release_pair"], n), ["release_pair"], "canonical_disease_id", "changed", "pairs", "changed_ratio")
     whole = panels.groupBy("release_pair").agg((F.sum("changed") / F.sum("pairs")).alias("estimate"))
     ends = draws.groupBy("release_pair").agg(F.percentile("changed_ratio", F.array(F.lit(0.025), F.lit(0.975))).alias("_e"))
@@ -215,7 +220,7 @@ def changed_pair_ratio_2000(spark: SparkSession, d: str) -> DataFrame:
 
 def trajectory_summary_all(spark: SparkSession, d: str) -> DataFrame:
     """`trajectory_summary` of every three consecutive releases."""
-    rows = revision.all_trajectories(members(spark, d).filter("support_name = 'PAIR_SPECIFIC'"), releases(spark, d))
+    rows = revision.all_trajectories(members(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'"), releases(spark, d))
     return _rounded(revision.trajectory_summary(_kept(rows), ("release_span",)))
 
 
@@ -284,7 +289,7 @@ _RECORDS = """records AS (SELECT *, CASE WHEN context_class = 'ENTRANT' THEN new
 _FIXED = f"""{_TRANS},
 both_in AS (SELECT release_pair, d, t, old_score, new_score, old_evidence_count, new_evidence_count, stable_entity stable_member, mapping_affected, areas FROM trans WHERE old_eligible AND new_eligible),
 lasting AS (SELECT d, t, bool_and(stable_member) s FROM both_in GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) - 1 FROM rel)),
-fixed AS (SELECT 'PAIR_SPECIFIC' support_name, * FROM both_in UNION ALL SELECT 'ALL_RELEASES', b.* REPLACE (s AS stable_member) FROM both_in b JOIN lasting USING (d, t)),
+fixed AS (SELECT 'PAIR_SPECIFIC_PERSISTENT' support_name, * FROM both_in UNION ALL SELECT 'THREE_RELEASE_PERSISTENT', b.* REPLACE (s AS stable_member) FROM both_in b JOIN lasting USING (d, t)),
 registry AS (SELECT support_name, release_pair, d canonical_disease_id, count(*) target_count, count(DISTINCT old_score) old_distinct_scores, count(DISTINCT new_score) new_distinct_scores, count(*) FILTER (stable_member) stable_target_count,
   count(DISTINCT old_score) FILTER (stable_member) stable_old_distinct_scores, count(DISTINCT new_score) FILTER (stable_member) stable_new_distinct_scores, min(areas) areas FROM fixed GROUP BY 1, 2, 3),
 judged AS (SELECT *, target_count >= 20 AND old_distinct_scores >= 2 AND new_distinct_scores >= 2 eligible_20, target_count >= 30 AND old_distinct_scores >= 2 AND new_distinct_scores >= 2 eligible_30,
@@ -332,7 +337,7 @@ count(*) >= 5 AS top_5_estimable, count(*) >= 10 AS top_10_estimable, count(*) >
     "exclusion_registry": f"""WITH {_FIXED} SELECT 'DISEASE_MAPPING' AS exclusion_scope, release_id, '' AS release_pair, source_id AS unit_id, mapping_status AS reason FROM xd WHERE mapping_status NOT IN ('EXACT_ID', 'MAPPED')
 UNION ALL SELECT 'TARGET_MAPPING', release_id, '', source_id, mapping_status FROM xt WHERE mapping_status NOT IN ('EXACT_ID', 'MAPPED')
 UNION ALL SELECT 'ASSOCIATION', release_id, '', disease_id || '|' || target_id, exclusion_reason FROM canon WHERE NOT eligible
-UNION ALL SELECT 'FIXED_PANEL', '', release_pair, canonical_disease_id, exclusion_reason FROM judged WHERE support_name = 'PAIR_SPECIFIC' AND exclusion_reason <> ''""",
+UNION ALL SELECT 'FIXED_PANEL', '', release_pair, canonical_disease_id, exclusion_reason FROM judged WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT' AND exclusion_reason <> ''""",
     "support_flow": f"""WITH {_FIXED}, base AS (SELECT release_id, count(*) n0, count(*) FILTER (mapping_eligible) n1, count(*) FILTER (eligible) n2, sum(CASE WHEN isfinite(score) THEN score::DECIMAL(38,18) END) m0,
 sum(CASE WHEN isfinite(score) THEN score::DECIMAL(38,18) END) FILTER (mapping_eligible) m1, sum(CASE WHEN eligible THEN score::DECIMAL(38,18) END) m2 FROM canon GROUP BY 1),
 flow AS (SELECT 'ASSOCIATION' AS unit, release_id AS scope, unnest(['RAW_ASSOCIATIONS', 'CANONICAL_MAPPINGS', 'ELIGIBLE']) AS stage, unnest([n0, n1, n2]) AS units, n0 AS of_units, unnest([m0, m1, m2])::DOUBLE AS score_mass FROM base
@@ -372,7 +377,7 @@ FROM base b LEFT JOIN dd ON dd.rn = 1 AND dd.release_pair = b.release_pair AND d
 SELECT b.release_pair, b.support_name, pair_count, {_r('full_q90')} AS full_q90, large_count, wd.u AS dominant_disease_id, wd.n AS dominant_disease_weight, nullif(wd.c, 0) AS without_disease_count, {_r('wd.q')} AS without_disease_q90, {_r('wd.n / large_count')} AS maximum_disease_share,
 {_r('wd.q - full_q90')} AS without_disease_difference, wt.u AS dominant_target_id, wt.n AS dominant_target_weight, nullif(wt.c, 0) AS without_target_count, {_r('wt.q')} AS without_target_q90, {_r('wt.n / large_count')} AS maximum_target_share, {_r('wt.q - full_q90')} AS without_target_difference
 FROM base b LEFT JOIN w_disease wd USING (release_pair, support_name) LEFT JOIN w_target wt USING (release_pair, support_name)""",
-    "trajectory_summary": f"""WITH {_FIXED}, pairs AS (SELECT r || '_to_' || nxt p, no FROM rel), a AS (SELECT * FROM fixed JOIN pairs ON p = release_pair AND no = 1 WHERE support_name = 'PAIR_SPECIFIC'), b AS (SELECT * FROM fixed JOIN pairs ON p = release_pair AND no = 2 WHERE support_name = 'PAIR_SPECIFIC'),
+    "trajectory_summary": f"""WITH {_FIXED}, pairs AS (SELECT r || '_to_' || nxt p, no FROM rel), a AS (SELECT * FROM fixed JOIN pairs ON p = release_pair AND no = 1 WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT'), b AS (SELECT * FROM fixed JOIN pairs ON p = release_pair AND no = 2 WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT'),
 moves AS (SELECT a.d, a.t, a.old_score, a.new_score - a.old_score f, b.new_score - a.new_score s FROM a JOIN b USING (d, t)),
 states AS (SELECT *, CASE WHEN abs(f) <= 1e-12 THEN 'stable' WHEN f > 0 THEN 'increase' ELSE 'decrease' END s1, CASE WHEN abs(s) <= 1e-12 THEN 'stable' WHEN s > 0 THEN 'increase' ELSE 'decrease' END s2 FROM moves),
 cells AS (SELECT *, CASE WHEN s1 = 'stable' AND s2 = 'stable' THEN 'stable-stable' WHEN 'stable' IN (s1, s2) THEN 'one-stable-one-changing' ELSE s1 || '-' || s2 END trajectory, unnest([{_tier('old_score')}, 'all_score_tiers']) tier_group FROM states),
@@ -387,13 +392,15 @@ UNION ALL SELECT 'area', release_pair, context_class, area_id, count(*), {_r('su
 flags AS (SELECT release_pair, d, old_eligible o, new_eligible n, mapping_affected m, CASE WHEN bo IS NOT NULL THEN coalesce(old_eligible AND old_score = bo, false) END oi, CASE WHEN bn IS NOT NULL THEN coalesce(new_eligible AND new_score = bn, false) END ni FROM s JOIN best USING (release_pair, d)),
 found AS (SELECT release_pair, d, bool_or(oi IS NULL OR ni IS NULL) missing, count(*) FILTER (oi <> ni) moved, list_sort(list_distinct(list(CASE WHEN m THEN 'MAPPING_AFFECTED' WHEN o AND n THEN 'PERSISTENT_PAIR_RERANKING' WHEN n THEN 'ENTRANT' ELSE 'EXIT' END) FILTER (oi <> ni))) r FROM flags GROUP BY 1, 2)
 SELECT release_pair, d AS canonical_disease_id, moved, CASE WHEN missing THEN 'UNRESOLVED' WHEN moved = 0 THEN 'UNCHANGED' WHEN len(r) = 1 THEN r[1] ELSE 'MIXED' END AS reason FROM found""",
-    "persistence_classes": f"""WITH {_FIXED}, base AS (SELECT * FROM fixed WHERE support_name = 'PAIR_SPECIFIC'), lay AS (SELECT 1 l, * FROM base UNION ALL SELECT 2, * FROM base WHERE stable_member UNION ALL SELECT 3, * FROM base WHERE old_evidence_count >= 5 AND new_evidence_count >= 5),
-best AS (SELECT *, max(old_score) OVER (PARTITION BY l, release_pair, d) bo, max(new_score) OVER (PARTITION BY l, release_pair, d) bn FROM lay), ch AS (SELECT l, release_pair, d, bool_or((old_score = bo) <> (new_score = bn)) c FROM best GROUP BY 1, 2, 3),
-j AS (SELECT release_pair, d, a.c p, b.c s, e.c m FROM (SELECT * FROM ch WHERE l = 1) a LEFT JOIN (SELECT * FROM ch WHERE l = 2) b USING (release_pair, d) LEFT JOIN (SELECT * FROM ch WHERE l = 3) e USING (release_pair, d))
-SELECT release_pair, d AS canonical_disease_id, p AS primary_changed, s AS stable_changed, m AS domain_changed, CASE WHEN NOT p THEN 'NO_PRIMARY_CHANGE' WHEN s AND m THEN 'PERSISTS_IN_BOTH' WHEN s AND m IS NOT NULL THEN 'PERSISTS_ON_STABLE_ONLY' WHEN s THEN 'PERSISTS_ON_STABLE_DOMAIN_UNAVAILABLE'
-WHEN s IS NOT NULL AND m THEN 'PERSISTS_IN_DOMAIN_ONLY' WHEN s IS NOT NULL THEN 'NOT_BORNE_OUT' ELSE 'LAYERS_UNAVAILABLE' END AS persistence_class FROM j""",
-    "change_intervals": f"""WITH {_REV}, panels AS (SELECT release_pair, d, avg(absolute_change) mean_change, avg((NOT exact_unchanged)::INT::DOUBLE) changed_share FROM rev WHERE support_name = 'PAIR_SPECIFIC' GROUP BY 1, 2),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY release_pair ORDER BY d) - 1 no, count(*) OVER (PARTITION BY release_pair) n FROM panels),
+    "persistence_classes": f"""WITH {_FIXED}, base AS (SELECT * FROM fixed WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT'), lay AS (SELECT 1 l, * FROM base UNION ALL SELECT 2, * FROM base WHERE stable_member UNION ALL SELECT 3, * FROM base WHERE old_evidence_count >= 5 AND new_evidence_count >= 5),
+best AS (SELECT *, max(old_score) OVER (PARTITION BY l, release_pair, d) bo, max(new_score) OVER (PARTITION BY l, release_pair, d) bn FROM lay),
+ch AS (SELECT l, release_pair, d, bool_or((old_score = bo) <> (new_score = bn)) c, count(*) >= 30 AND count(DISTINCT old_score) >= 2 AND count(DISTINCT new_score) >= 2 e FROM best GROUP BY 1, 2, 3),
+j AS (SELECT release_pair, d, a.c p, b.c s, coalesce(b.e, false) se, x.c m, coalesce(x.e, false) me FROM (SELECT * FROM ch WHERE l = 1) a LEFT JOIN (SELECT * FROM ch WHERE l = 2) b USING (release_pair, d) LEFT JOIN (SELECT * FROM ch WHERE l = 3) x USING (release_pair, d)),
+k AS (SELECT *, se AND coalesce(s, false) sx, me AND coalesce(m, false) mx FROM j)
+SELECT release_pair, d AS canonical_disease_id, p AS primary_changed, s AS stable_changed, se AS stable_eligible, m AS domain_changed, me AS domain_eligible, CASE WHEN p AND sx AND mx THEN 'MIXED' WHEN p AND sx THEN 'PERSISTS_STABLE_ENTITY' WHEN p AND mx THEN 'PERSISTS_EVIDENCE_DOMAIN'
+WHEN p AND NOT me THEN 'INSUFFICIENT_DOMAIN_SUPPORT' WHEN p AND se THEN 'DISAPPEARS_AFTER_MAPPING_CONTROL' WHEN p THEN 'OVERALL_ONLY' WHEN mx AND NOT sx THEN 'DOMAIN_ONLY' ELSE 'MIXED' END AS persistence_class FROM k""",
+    "change_intervals": f"""WITH {_REV}, panels AS (SELECT release_pair, d, avg(absolute_change) mean_change, avg((NOT exact_unchanged)::INT::DOUBLE) changed_share FROM rev WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT' GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY release_pair ORDER BY md5(d), d) - 1 no, count(*) OVER (PARTITION BY release_pair) n FROM panels),
 picks AS (SELECT release_pair, draw, ('0x' || substr(md5(draw || '|' || no), 1, 8))::BIGINT % n pick FROM numbered, (SELECT unnest(range(200)) draw)),
 draws AS (SELECT p.release_pair, draw, avg(mean_change) mc, avg(changed_share) cs FROM picks p JOIN numbered m ON m.release_pair = p.release_pair AND m.no = pick GROUP BY 1, 2),
 ends AS (SELECT release_pair, 'mean_change' measure, quantile_cont(mc, 0.025) lo, quantile_cont(mc, 0.975) hi, count(*) n FROM draws GROUP BY 1 UNION ALL SELECT release_pair, 'changed_share', quantile_cont(cs, 0.025), quantile_cont(cs, 0.975), count(*) FROM draws GROUP BY 1),
@@ -403,8 +410,8 @@ SELECT release_pair, measure, {_r('e')} AS estimate, {_r('lo')} AS lower, {_r('h
 
 ORACLE["turnover_decomposition"] = f"""WITH found AS ({ORACLE['native_turnover']}), reasons AS (SELECT unnest([{', '.join(f"'{r}'" for r in REASONS)}]) AS reason), totals AS (SELECT release_pair, count(*) a FROM found GROUP BY 1)
 SELECT t.release_pair, r.reason, count(f.reason) AS panels, round(count(f.reason) / any_value(a), 9) AS fraction FROM totals t CROSS JOIN reasons r LEFT JOIN found f ON f.release_pair = t.release_pair AND f.reason = r.reason GROUP BY 1, 2"""
-ORACLE["changed_pair_ratio"] = f"""WITH {_REV}, panels AS (SELECT release_pair, d, count(*) FILTER (NOT exact_unchanged) c, count(*) k FROM rev WHERE support_name = 'PAIR_SPECIFIC' GROUP BY 1, 2),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY release_pair ORDER BY d) - 1 no, count(*) OVER (PARTITION BY release_pair) n FROM panels),
+ORACLE["changed_pair_ratio"] = f"""WITH {_REV}, panels AS (SELECT release_pair, d, count(*) FILTER (NOT exact_unchanged) c, count(*) k FROM rev WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT' GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY release_pair ORDER BY md5(d), d) - 1 no, count(*) OVER (PARTITION BY release_pair) n FROM panels),
 picks AS (SELECT release_pair, draw, ('0x' || substr(md5(draw || '|' || no), 1, 8))::BIGINT % n pick FROM numbered, (SELECT unnest(range(200)) draw)),
 draws AS (SELECT p.release_pair, draw, sum(c) / sum(k) x FROM picks p JOIN numbered m ON m.release_pair = p.release_pair AND m.no = pick GROUP BY 1, 2),
 whole AS (SELECT release_pair, sum(c) / sum(k) e FROM panels GROUP BY 1)

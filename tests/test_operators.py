@@ -33,7 +33,7 @@ def pearson(x, y):
     return None if scale == 0 else float(x @ y) / scale
 
 
-@pytest.mark.parametrize("block", [2, 5, 2048])
+@pytest.mark.parametrize("block", [2, 5, 1024])
 def test_rank_agreement(spark, block):
     random.seed(block)
     panels = {p: [(random.randint(0, 6) / 8, random.randint(0, 6) / 8) for _ in range(n)] for p, n in (("a", 40), ("b", 3), ("c", 1), ("d", 25))}
@@ -58,6 +58,37 @@ def test_rank_agreement(spark, block):
         assert rbo[p] == pytest.approx(overlap, abs=1e-9)
 
 
+def test_tau_of_a_large_panel(spark):
+    n = 300_000
+    df = spark.range(n).select(F.lit("hot").alias("p"), (F.col("id") / n).alias("old_score"), F.lit(0.5).alias("new_score"))
+    assert rank_correlation.kendall_tau_b(df, ["p"]).first()["tau_b"] is None
+    turned = df.withColumn("new_score", F.when(F.col("old_score") < 0.5, F.col("old_score") + 0.5).otherwise(F.col("old_score") - 0.5))  # halves swapped
+    assert rank_correlation.kendall_tau_b(turned, ["p"]).first()["tau_b"] == pytest.approx(1 - 2 * (n / 2) ** 2 / (n * (n - 1) / 2))
+
+
+def test_exact_quantiles(spark):
+    random.seed(9)
+    data = [(g, random.choice([None, float("nan"), -0.0, 1.0, 1e-12, -3.5, random.gauss(0, 1e3), random.random()]), random.random()) for g in ("a", "b", None) for _ in range(200)] + [("none", None, 1.0)]
+    df = spark.createDataFrame(data, "g string, v double, w double").repartition(5).withColumns({"_c": F.lit("clash"), "_n": F.lit(0)})
+    wanted = {"low": ("v", 0.0), "mid": ("v", 0.5), "q": ("v", 0.37), "w_high": ("w", 0.99)}
+    got = {r["g"]: r for r in ordering.exact_quantiles(df, ["g"], wanted).collect()}
+    for g in ("a", "b", None, "none"):
+        for out, (column, level) in wanted.items():
+            values = [r[1 if column == "v" else 2] for r in data if r[0] == g]
+            values = [v for v in values if v is not None and v == v]
+            assert got[g][out] == (pytest.approx(float(np.quantile(values, level)), rel=1e-12) if values else None)
+    assert ordering.exact_quantiles(df.limit(0), ["g"], wanted).count() == 0
+
+
+def test_ladder_equals_counting(spark):
+    random.seed(5)
+    data = [(p, random.choice([None, 0.0, 0.5, random.random(), random.random() * 1e-9, -random.random()])) for p in ("a", "b", None) for _ in range(80)]
+    got = {(r["p"], r["s"]): (r["ties"], r["above"], r["members"], r["step"]) for r in panel.ladder(spark.createDataFrame(data, "p string, s double"), ["p"], "s").collect()}
+    for p in ("a", "b", None):
+        own = [s for q, s in data if q == p and s is not None]
+        assert {s: got[p, s] for s in set(own)} == {s: (own.count(s), sum(x > s for x in own), len(own), 1 + len({x for x in own if x > s})) for s in set(own)}
+
+
 def test_top_sets_are_null_when_too_small(spark):
     df = spark.createDataFrame([("a", i, 1.0, float(i)) for i in range(4)], "p string, i int, old_score double, new_score double")
     got = {r["cutoff"]: r for r in panel.top_set_comparison(df, ["p"], (2, 5)).collect()}
@@ -95,8 +126,6 @@ def test_weighted_quantile(spark):
 
 
 def test_plans(spark):
-    plan = resampling.seeded_plan(spark, 5, 20, 7)
-    assert {r["n"] for r in plan.groupBy("draw").agg(F.sum("times").alias("n")).collect()} == {5}
     units = spark.createDataFrame([("g", i, float(i)) for i in range(6)], "g string, u int, v double")
     hashed = resampling.hashed_plan(units, "u", ["g"], 50)
     assert {r["n"] for r in hashed.groupBy("draw").agg(F.sum("times").alias("n")).collect()} == {6}
