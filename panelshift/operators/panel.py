@@ -54,7 +54,15 @@ def in_top(k: int, prefix: str = "") -> Column:
 
 
 def both_ladders(members: DataFrame, panel: list[str], old: str = "old_score", new: str = "new_score") -> DataFrame:
-    return with_ladder(with_ladder(members, panel, old, "old_"), panel, new, "new_")
+    """Members that have both scores with the ladder columns of either, `old_` and `new_`; both ladders are built in one pass."""
+    known = members.filter(F.col(old).isNotNull() & F.col(new).isNotNull())
+    sides = F.array(F.struct(F.lit("old_").alias("_side"), F.col(old).cast("double").alias("_score")), F.struct(F.lit("new_").alias("_side"), F.col(new).cast("double").alias("_score")))
+    steps = ladder(known.select(*panel, F.inline(sides)), ["_side", *panel], "_score")
+    out = known
+    for side, score in (("old_", old), ("new_", new)):
+        own = steps.filter(F.col("_side") == side).select(*panel, F.col("_score").alias(score), *[F.col(c).alias(f"{side}{c}") for c in ("ties", "above", "members", "step")])
+        out = joined_on(out, own, [*panel, score], "inner")
+    return out
 
 
 def rank_displacements(members: DataFrame, panel: list[str]) -> DataFrame:

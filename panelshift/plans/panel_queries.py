@@ -73,9 +73,19 @@ def score_changes(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Spearman's coefficient, Kendall's tau-b and rank-biased overlap of every panel."""
-    rows = members(spark, d)
-    rho, tau = rank_correlation.spearman(rows, P), rank_correlation.kendall_tau_b(rows, P).drop("members")
-    return _rounded(rho.join(tau, P).join(rank_correlation.rank_biased_overlap(rows, P, 0.9), P))
+    ranked = _ranked(members(spark, d))
+    rho, tau = rank_correlation.spearman(ranked, P), rank_correlation.kendall_tau_b(ranked, P).drop("members")
+    return _rounded(rho.join(tau, P).join(rank_correlation.rank_biased_overlap(ranked, P, 0.9), P))
+
+
+def overlap_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Rank-biased overlap of every panel in two variants for three persistences, with its bounds."""
+    return _rounded(rank_correlation.overlap_bounds(_ranked(members(spark, d)), P))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Places of all members on both ladders, stored for the measures that share them."""
+    return cut_lineage(panel.both_ladders(rows, P).select(*P, *[f"{side}_{c}" for side in ("old", "new") for c in ("ties", "above", "members", "step")]))
 
 
 def signal_assessment(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +262,7 @@ def scenario_outcomes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rank_displacements, displacement_summary, top_set_comparison, top_set_members, epsilon_leaders, leader_margins, score_changes, rank_agreement, signal_assessment, area_displacement, consensus_ranks,
+        rank_displacements, displacement_summary, top_set_comparison, top_set_members, epsilon_leaders, leader_margins, score_changes, rank_agreement, overlap_bounds, signal_assessment, area_displacement, consensus_ranks,
         fractional_allocation, allocation_gap, allocation_change, label_bounds, contrast_bounds, arm_mass, stable_allocation, mean_allocation, donor_means, panel_influence, change_concentration, matched_prefix,
         leader_regret, nondominated_targets, margin_warnings, prediction_metrics, prediction_calibration, disease_folds, chosen_predictor, held_out_prediction, change_census, scenario_outcomes,
     )
@@ -364,3 +374,13 @@ bool_or(coalesce(o = bo, false) <> coalesce(n = bn, false)) AS leaders_changed F
 
 ORACLE["change_census"] = f"""WITH {_PM}, c AS (SELECT {_BY}, round(n - o, 9) + 0.0 x FROM pm) SELECT {_ID}, count(*) AS members, count(*) FILTER (x < 0) AS negative, count(*) FILTER (x = 0) AS zero, count(*) FILTER (x > 0) AS positive,
 quantile_disc(x, 0.25) AS q25, quantile_disc(x, 0.5) AS q50, quantile_disc(x, 0.75) AS q75 FROM c GROUP BY {_BY}"""
+
+_DEPTHS = f"""{_RANKED}, depths AS (SELECT DISTINCT {_BY}, m, unnest(range(1, m + 1)) AS depth FROM ranked),
+reach AS (SELECT x.support_name, x.release_pair, x.d, x.m, depth, sum(CASE WHEN depth >= ro AND depth >= rn THEN 1 ELSE 0 END) w0, sum(CASE WHEN depth >= ro THEN 1 ELSE 0 END) w1, sum(CASE WHEN depth >= rn THEN 1 ELSE 0 END) w2,
+  sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (depth - ro + 1) / co::DOUBLE)) * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (depth - rn + 1) / cn::DOUBLE))) b0, sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (depth - ro + 1) / co::DOUBLE)) ** 2) b1,
+  sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (depth - rn + 1) / cn::DOUBLE)) ** 2) b2 FROM depths x JOIN ranked r ON r.support_name = x.support_name AND r.release_pair = x.release_pair AND r.d = x.d GROUP BY ALL),
+agree AS (SELECT {_BY}, m, depth, v AS variant, CASE WHEN v = 'w' THEN 2.0::DOUBLE * w0 / (w1 + w2) ELSE b0 / sqrt(b1 * b2) END a FROM reach, (SELECT unnest(['w', 'b']) v)),
+seen AS (SELECT {_BY}, m, variant, p AS persistence, sum(a * p ** depth) s FROM agree, (SELECT unnest([0.9::DOUBLE, 0.8, 0.95]) p) GROUP BY ALL),
+tails AS (SELECT m, p, sum(p ** k / k) t FROM (SELECT m, p, unnest(range(m + 1, m + 900)) k FROM (SELECT DISTINCT m, persistence p FROM seen)) GROUP BY ALL),
+bounds AS (SELECT seen.*, (1 - persistence) / persistence * (s + seen.m * t) lo, (1 - persistence) / persistence * (s + persistence ** (seen.m + 1) / (1 - persistence)) hi FROM seen JOIN tails ON tails.m = seen.m AND p = persistence)"""
+ORACLE["overlap_bounds"] = f"WITH {_DEPTHS} SELECT {_ID}, variant, persistence, {_r('lo')} AS least, {_r('hi')} AS most, {_r('hi')} AS extrapolated, {_r('hi - lo')} AS residual FROM bounds"

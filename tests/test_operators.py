@@ -39,9 +39,10 @@ def test_rank_agreement(spark, block):
     panels = {p: [(random.randint(0, 6) / 8, random.randint(0, 6) / 8) for _ in range(n)] for p, n in (("a", 40), ("b", 3), ("c", 1), ("d", 25))}
     panels["same"] = [(0.5, i / 4) for i in range(4)]
     df = spark.createDataFrame([(p, i, o, n) for p, rows in panels.items() for i, (o, n) in enumerate(rows)], "p string, i int, old_score double, new_score double")
-    tau = {r["p"]: r["tau_b"] for r in rank_correlation.kendall_tau_b(df, ["p"], block).collect()}
-    rho = {r["p"]: r["spearman"] for r in rank_correlation.spearman(df, ["p"]).collect()}
-    rbo = {r["p"]: r["rbo"] for r in rank_correlation.rank_biased_overlap(df, ["p"]).collect()}
+    ranked_rows = panel.both_ladders(df, ["p"]).cache()
+    tau = {r["p"]: r["tau_b"] for r in rank_correlation.kendall_tau_b(ranked_rows, ["p"], block).collect()}
+    rho = {r["p"]: r["spearman"] for r in rank_correlation.spearman(ranked_rows, ["p"]).collect()}
+    rbo = {r["p"]: r["rbo"] for r in rank_correlation.rank_biased_overlap(ranked_rows, ["p"]).collect()}
     for p, rows in panels.items():
         x, y = zip(*rows)
         pairs = list(itertools.combinations(range(len(rows)), 2))
@@ -61,9 +62,9 @@ def test_rank_agreement(spark, block):
 def test_tau_of_a_large_panel(spark):
     n = 300_000
     df = spark.range(n).select(F.lit("hot").alias("p"), (F.col("id") / n).alias("old_score"), F.lit(0.5).alias("new_score"))
-    assert rank_correlation.kendall_tau_b(df, ["p"]).first()["tau_b"] is None
+    assert rank_correlation.kendall_tau_b(panel.both_ladders(df, ["p"]), ["p"]).first()["tau_b"] is None
     turned = df.withColumn("new_score", F.when(F.col("old_score") < 0.5, F.col("old_score") + 0.5).otherwise(F.col("old_score") - 0.5))  # halves swapped
-    assert rank_correlation.kendall_tau_b(turned, ["p"]).first()["tau_b"] == pytest.approx(1 - 2 * (n / 2) ** 2 / (n * (n - 1) / 2))
+    assert rank_correlation.kendall_tau_b(panel.both_ladders(turned, ["p"]), ["p"]).first()["tau_b"] == pytest.approx(1 - 2 * (n / 2) ** 2 / (n * (n - 1) / 2))
 
 
 def test_exact_quantiles(spark):
