@@ -17,7 +17,9 @@ from panelshift.functions.scalars import is_finite
 from panelshift.session import cut_lineage
 
 #: First round: bins per power of two. Later rounds: bins between the ends of a bin.
-PER_OCTAVE, SPLIT, SALTS = 64, 1024, 8
+PER_OCTAVE, SPLIT = 64, 1024
+#: Distinct (key, value) rows of a bin that meet it under one salt.
+PER_SALT = 1_000_000
 
 
 def _first_bin(v):
@@ -42,7 +44,7 @@ def per_key_ranks(df: DataFrame, keys: list[str], value: str, quantiles: dict[st
         .withColumn("_bin", _first_bin(F.col("_v")))
     )
     histogram = (
-        data.groupBy(*names, "_bin").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        data.groupBy(*names, "_bin").agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
     found = F.col("_bin").isNotNull()
     totals = histogram.groupBy(*names).agg(
@@ -62,9 +64,9 @@ def per_key_ranks(df: DataFrame, keys: list[str], value: str, quantiles: dict[st
             .withColumn("_before", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
             .withColumn("_all", F.sum("_n").over(whole))
             .withColumn("_w", F.explode(F.array(*wanted)))
-            .select(*names, "_bin", "_n", "_lo", "_hi", "_before", "_w._t", "_w._cut", F.greatest(F.lit(1), F.ceil(F.col("_w._q") * F.col("_all"))).cast("long").alias("_rank"))
+            .select(*names, "_bin", "_n", "_d", "_lo", "_hi", "_before", "_w._t", "_w._cut", F.greatest(F.lit(1), F.ceil(F.col("_w._q") * F.col("_all"))).cast("long").alias("_rank"))
         )
-        active = cut_lineage(_holding(bins).select(*names, "_t", "_cut", "_bin", "_n", "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank")))
+        active = cut_lineage(_holding(bins).select(*names, "_t", "_cut", "_bin", "_n", "_d", "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank")))
         rows = data
         on = [*names, "_bin"]
         while True:
@@ -97,18 +99,22 @@ def _holding(bins: DataFrame) -> DataFrame:
 
 
 def _refine(rows: DataFrame, active: DataFrame, names: list[str], on: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Split each active bin: the rows in it, the smaller active bins, and what the cuts gain from bins wholly above them."""
-    spread = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(*[F.col(n).alias(f"{n}r") for n in names], F.col("_t").alias("_tr"), F.col("_bin").alias("_binr"), "_salt", "_cut", "_lo", "_hi", "_rank")
+    """Split each active bin: the rows in it, the smaller active bins, and what the cuts gain from bins wholly above them.
+
+    Salts follow the fullest active bin, a number that the bins' counts give, so no salt of any bin holds more than PER_SALT rows on average.
+    """
+    salts = F.lit(1 + (active.agg(F.max("_d")).first()[0] or 0) // PER_SALT)
+    spread = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(*[F.col(n).alias(f"{n}r") for n in names], F.col("_t").alias("_tr"), F.col("_bin").alias("_binr"), "_salt", "_cut", "_lo", "_hi", "_rank")
     same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in on])
-    joined = rows.withColumn("_salted", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int")).join(spread, same & (F.col("_salted") == F.col("_salt")))
+    joined = rows.withColumn("_salted", F.pmod(F.xxhash64("_v"), salts).cast("int")).join(spread, same & (F.col("_salted") == F.col("_salt")))
     place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (SPLIT - 1))
     inside = joined.select(*names, F.col("_tr").alias("_t"), "_v", "_n", place.alias("_bin"), "_cut", "_rank")
     kept = cut_lineage(inside)
-    histogram = kept.groupBy(*names, "_t", "_bin").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_cut").alias("_cut"), F.first("_rank").alias("_rank"))
+    histogram = kept.groupBy(*names, "_t", "_bin").agg(F.sum("_n").alias("_n"), F.count("*").alias("_d"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_cut").alias("_cut"), F.first("_rank").alias("_rank"))
     along = Window.partitionBy(*names, "_t").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = histogram.withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
     above = bins.filter(F.col("_cut").isNotNull() & (F.col("_lo") >= F.col("_cut"))).groupBy(*names, "_t").agg(F.sum("_n").cast("double").alias("_result"))
-    smaller = cut_lineage(_holding(bins).select(*names, "_t", "_cut", "_bin", "_n", "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank")))
+    smaller = cut_lineage(_holding(bins).select(*names, "_t", "_cut", "_bin", "_n", "_d", "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank")))
     return kept.select(*names, "_t", "_v", "_n", "_bin"), smaller, above
 
 
@@ -128,7 +134,10 @@ def linked_partners(links: DataFrame, scope: str, left: str, right: str, score:
 
 
 def key_shares(df: DataFrame, scope: str, key: str, value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
-    """Each key's rows, its share of the scope's rows (rows with a NULL key are in the total) and value quantiles."""
-    ranks = per_key_ranks(df, [scope, key], value, quantiles)
+    """Each key's rows, its share of the scope's rows (rows with a NULL key are in the total) and value quantiles.
+
+    Without quantiles there is no rank to resolve: a key's rows are the total of its histogram, which partial sums give at once.
+    """
+    ranks = per_key_ranks(df, [scope, key], value, quantiles) if quantiles else df.groupBy(scope, key).agg(F.count("*").alias("n_rows"))
     total = ranks.groupBy(F.col(scope).alias("_scope")).agg(F.sum("n_rows").alias("_total"))
     return ranks.join(total, F.col(scope).eqNullSafe(F.col("_scope"))).withColumn("share", F.col("n_rows") / F.col("_total")).drop("_scope", "_total")
