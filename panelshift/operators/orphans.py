@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BITS, PROBES, SEGMENT_WORDS = 2**28, 4, 1024
+from panelshift.operators.bits import bit_words
+from panelshift.session import cut_lineage
+
+MAX_BITS, PROBES = 2**28, 4
 
 
 class BloomFilter:
@@ -22,15 +25,7 @@ class BloomFilter:
     def __init__(self, keys: DataFrame, columns: list[str], bits_per_key: int = 12):
         n = max(1, keys.count())
         self.bits = min(MAX_BITS, 2 ** max(16, math.ceil(math.log2(n * bits_per_key))))
-        word = F.shiftright("_p", 6)
-        segments = (
-            keys.select(F.explode(self._positions(columns)).alias("_p"))
-            .groupBy(word.alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_p").bitwiseAND(63).cast("int"))).alias("_b"))
-            .groupBy(F.floor(F.col("_w") / SEGMENT_WORDS).alias("_s")).agg(F.collect_list(F.struct("_w", "_b")).alias("_words"))
-        )
-        words = np.zeros(self.bits // 64, np.int64)
-        for row in segments.toLocalIterator():
-            words[[x["_w"] for x in row["_words"]]] = [x["_b"] for x in row["_words"]]
+        words = bit_words(keys.select(F.explode(self._positions(columns)).alias("_p")), "_p", self.bits)
         self._words = keys.sparkSession.sparkContext.broadcast(words)
 
     def _positions(self, columns: list[str]) -> Column:
@@ -59,9 +54,9 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     the filter of all releases does not hold is NEVER at once; the others are joined exactly.
     """
     refs = references.filter(F.col("ref_key").isNotNull() & F.col("release_id").isNotNull()).select("ref_table", "ref_field", "key_kind", "release_id", "ref_key").distinct()
-    known = parents.filter((F.col("key") != "") & F.col("release_id").isNotNull()).groupBy("key_kind", "key").agg(F.collect_set("release_id").alias("releases"))
+    known = cut_lineage(parents.filter((F.col("key") != "") & F.col("release_id").isNotNull()).groupBy("key_kind", "key").agg(F.collect_set("release_id").alias("releases")))
     bloom = BloomFilter(known, ["key_kind", "key"])
-    tested = refs.withColumn("_maybe", bloom.maybe(["key_kind", "ref_key"]))
+    tested = cut_lineage(cut_lineage(refs).withColumn("_maybe", bloom.maybe(["key_kind", "ref_key"])))  # stored before and after, so that each distinct key is tested once
     never = tested.filter(~F.col("_maybe")).select("ref_table", "ref_field", "release_id", "ref_key", F.lit("NEVER").alias("orphan_kind"))
     rest = tested.filter("_maybe").join(known.withColumnRenamed("key", "ref_key"), ["key_kind", "ref_key"], "left")
     earlier, later = F.array_min("releases") < F.col("release_id"), F.array_max("releases") > F.col("release_id")
