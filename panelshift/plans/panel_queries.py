@@ -80,7 +80,8 @@ def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 def overlap_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Rank-biased overlap of every panel in two variants for three persistences, with its bounds."""
-    return _rounded(rank_correlation.overlap_bounds(_ranked(members(spark, d)), P))
+    bounds = rank_correlation.overlap_bounds(_ranked(members(spark, d)), P)
+    return bounds.withColumns({c: F.round(c, 8) for c in ("least", "most", "extrapolated", "residual")})
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -383,4 +384,4 @@ agree AS (SELECT {_BY}, m, depth, v AS variant, CASE WHEN v = 'w' THEN 2.0::DOUB
 seen AS (SELECT {_BY}, m, variant, p AS persistence, sum(a * p ** depth) s FROM agree, (SELECT unnest([0.9::DOUBLE, 0.8, 0.95]) p) GROUP BY ALL),
 tails AS (SELECT m, p, sum(p ** k / k) t FROM (SELECT m, p, unnest(range(m + 1, m + 900)) k FROM (SELECT DISTINCT m, persistence p FROM seen)) GROUP BY ALL),
 bounds AS (SELECT seen.*, (1 - persistence) / persistence * (s + seen.m * t) lo, (1 - persistence) / persistence * (s + persistence ** (seen.m + 1) / (1 - persistence)) hi FROM seen JOIN tails ON tails.m = seen.m AND p = persistence)"""
-ORACLE["overlap_bounds"] = f"WITH {_DEPTHS} SELECT {_ID}, variant, persistence, {_r('lo')} AS least, {_r('hi')} AS most, {_r('hi')} AS extrapolated, {_r('hi - lo')} AS residual FROM bounds"
+ORACLE["overlap_bounds"] = f"WITH {_DEPTHS} SELECT {_ID}, variant, persistence, round(lo, 8) AS least, round(hi, 8) AS most, round(hi, 8) AS extrapolated, round(hi - lo, 8) AS residual FROM bounds"
