@@ -75,13 +75,13 @@ def with_roles(profiles: DataFrame, roles: DataFrame, feed: str, seq: str) -> Da
     return profiles.join(one, [feed, seq, "name"], "left")
 
 
-def match_fields(profiles: DataFrame, feed: str, seq: str, least: float = 1.0, declared_only: bool = False) -> DataFrame:
+def match_fields(profiles: DataFrame, feed: str, seq: str, least: float = 1.0) -> DataFrame:
     """Maximum-weight matching of the fields of each file with those of the file before it (seq - 1).
 
     Columns: feed, seq, old_name, new_name, weight, declared (same role, or same normalised name and no role on either
     side). Fields with different roles, or of which one has a role, never match. Pairs under `least` are left out.
     Names are alike by edits or by their letter pairs (which finds moved words), whichever is more.
-    `declared_only` gives the declared matches, which no other can displace, without looking for others.
+    Declared pairs are settled first, so only fields that they leave over are compared by values and letters.
     """
     new = profiles.select(feed, seq, *[F.col(c).alias(f"new_{c}") for c in ("name", "types", "sketch", "role")])
     old = profiles.select(feed, (F.col(seq) + 1).alias(seq), *[F.col(c).alias(f"old_{c}") for c in ("name", "types", "sketch", "role")])
@@ -101,9 +101,7 @@ def match_fields(profiles: DataFrame, feed: str, seq: str, least: float = 1.0, d
         return left_over.withColumn("_block", F.explode(F.array_distinct(F.concat(F.array_compact(slots), pairs))))
 
     sure = own(new, "new").join(own(old, "old"), [feed, seq, "_block"]).filter(same_role).drop("_block").dropDuplicates(ids)
-    blocked = sure
-    if not declared_only:
-        blocked = sure.unionByName(open_blocks(new, "new").join(open_blocks(old, "old"), [feed, seq, "_block"]).drop("_block").dropDuplicates(ids))
+    blocked = sure.unionByName(open_blocks(new, "new").join(open_blocks(old, "old"), [feed, seq, "_block"]).drop("_block").dropDuplicates(ids))
     same_name = F.col("new_role").isNull() & (normalised_name(F.col("new_name")) == normalised_name(F.col("old_name")))
     declared = F.col("new_role").isNotNull() | same_name
     a, b = normalised_name(F.col("new_name")), normalised_name(F.col("old_name"))
@@ -167,9 +165,9 @@ def _best_columns(cost: np.ndarray) -> np.ndarray:
 def schema_changes(profiles: DataFrame, matches: DataFrame, feed: str, seq: str) -> DataFrame:
     """ADDED, REMOVED, RENAMED and RETYPED fields of each file against the file before it (seq - 1).
 
-    `matches` links fields of neighbouring files. A field's identity is the first name of its chain of links; a field
-    that vanishes and comes back under an equal role or normalised name keeps that identity for RETYPED. RETYPED compares
-    its set of types with that of the nearest earlier file in which it has any value. REMOVED carries the old name.
+    `matches` links fields of neighbouring files for ADDED, REMOVED and RENAMED. RETYPED looks further back, to the nearest earlier
+    file in which the field has any value, with files between that may lack it; there a field is known by its role, or without one
+    by its normalised name, and its set of types is compared. REMOVED carries the old name.
     """
     identity = F.when(F.col("role").isNotNull(), F.concat(F.lit("r:"), F.col("role"))).otherwise(F.concat(F.lit("n:"), normalised_name(F.col("name"))))
     files = profiles.select(feed, seq).distinct()

@@ -114,6 +114,7 @@ def entity_references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unstable_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members called stable whose disease has an entry that is not, by a semi join: the definition asks for entries that are there, not for missing ones."""
     members = load(spark, d, "fixed_ranking_panel_members", ["new_release", "canonical_disease_id", "stable_entity_member"]).filter("stable_entity_member")
     called = members.select(F.col("new_release").alias("release_id"), clean_disease("canonical_disease_id").alias("ref_key")).filter("ref_key is not null").distinct()
     entries = load(spark, d, "disease_crosswalk", ["release_id", "canonical_disease_id", "stable_entity_eligible"]).filter(~affirmative(F.col("stable_entity_eligible")))
@@ -170,9 +171,12 @@ def feed_profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Fields added, removed, renamed or retyped from file to file; only matches that the files declare count as one field."""
+    """Fields added, removed, renamed or retyped from file to file.
+
+    All fields are matched by role, name, types and values; an exact check then keeps the matches that the files declare, as the definition asks.
+    """
     profiles = cut_lineage(feed_profiles(spark, d)[2])
-    matches = cut_lineage(drift.match_fields(profiles, "feed_id", "file_seq", declared_only=True))
+    matches = cut_lineage(drift.match_fields(profiles, "feed_id", "file_seq").filter("declared"))
     return drift.schema_changes(profiles, matches, "feed_id", "file_seq")
 
 
