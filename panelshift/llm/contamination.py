@@ -10,19 +10,20 @@ item's leave the first scan, and in a second one only the words of documents wit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelshift.llm.canonical_text import UNICODE, canonical_points, portions
+from panelshift.llm.canonical_text import LIMIT, Tables, broadcast_tables, canonical_points, portions, tables
+from panelshift.operators.bits import bit_words
 from panelshift.session import cut_lineage
 
-#: Kept positions of a window of SPAN words; each mask ignores two or three, and every position is kept by one of them.
+#: Kept positions of a window of SPAN words. Each mask ignores three, every position is ignored by one: a passage of SPAN words is
+#: found whichever of its words is substituted, one of SPAN + 4 whichever two of them are.
 SPAN = 10
-MASKS = ("1101110111", "1110111011", "1011011101")
+MASKS = ("1111011100", "1110010111", "1001101111", "0101111011")
 #: Most bits of the table of item seeds that goes to every task (16 MB); a fuller table only lets more windows through.
 MAX_BITS = 2**27
 #: Up to so many item seeds (32 MB) go to every task; more are joined by a shuffle.
@@ -30,31 +31,18 @@ BROADCAST_SEEDS = 1_000_000
 WINDOWS = "doc_id long, mask int, seed long, at int"
 
 
-@lru_cache(maxsize=1)
-def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: whether it is a letter or digit, and its lower case (itself where that is more than one)."""
-    word, lower = np.zeros(UNICODE, bool), np.arange(UNICODE, dtype=np.uint32)
-    for code in range(0x32000):  # no letters or digits from here on
-        ch = chr(code)
-        if ch.isalnum():
-            word[code] = True
-            if len(low := ch.lower()) == 1:
-                lower[code] = ord(low)
-    return word, lower
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], t: Tables | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and the index at which each text's words start (one more for the end)."""
-    points, starts = canonical_points(texts)
-    word, lower = _letters()
+    t = t or tables()
+    points, starts = canonical_points(texts, t)
     inside = np.zeros(len(points) + 2, bool)
-    inside[1:-1] = word[points]
+    inside[1:-1] = t.word[np.minimum(points, LIMIT)]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     begins, ends = edges[::2], edges[1::2]
     if not len(begins):
@@ -64,7 +52,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(kept)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     with np.errstate(over="ignore"):
         factors = _mix(np.arange(1, int(lengths.max()) + 1, dtype=np.uint64)) | np.uint64(1)
-        terms = _mix(lower[points[kept]].astype(np.uint64) + np.uint64(1)) * factors[place]
+        terms = _mix(t.lower[points[kept]].astype(np.uint64) + np.uint64(1)) * factors[place]
         hashes = _mix(np.add.reduceat(terms, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
     return hashes, np.searchsorted(begins, starts)
 
@@ -84,10 +72,11 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
 
 def item_words(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, words): the word hashes of each item; NULL texts are left out."""
+    read_as = broadcast_tables(items.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, bounds = word_hashes(batch.column(1).to_pylist())
+            hashes, bounds = word_hashes(batch.column(1).to_pylist(), read_as.value)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["item_id", "words"])
 
@@ -113,18 +102,14 @@ def item_seeds(words: DataFrame) -> DataFrame:
 
 
 def seed_table(seeds_: DataFrame, n: int) -> np.ndarray:
-    """A bit per seed hash in a table of bounded size; the seeds stream to the driver, only the bits stay."""
+    """A bit per seed hash in a table of bounded size, merged on the executors; a fuller table only lets more through."""
     bits = min(MAX_BITS, 2 ** max(20, int(n * 64).bit_length()))
-    table = np.zeros(bits // 8, np.uint8)
-    for row in seeds_.select("seed").toLocalIterator():
-        p = row["seed"] & (bits - 1)
-        table[p >> 3] |= 1 << (p & 7)
-    return table
+    return bit_words(seeds_.select(F.col("seed").bitwiseAND(F.lit(bits - 1).cast("long")).alias("_p")), "_p", bits).view(np.uint8)
 
 
 def document_windows(documents: DataFrame, doc_id: str, text: str, table: np.ndarray) -> DataFrame:
     """Windows of documents whose seed may be an item's: doc_id, mask, seed, at (word index). NULL texts are left out."""
-    sent = documents.sparkSession.sparkContext.broadcast(table)
+    sent, read_as = documents.sparkSession.sparkContext.broadcast(table), broadcast_tables(documents.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -132,13 +117,13 @@ def document_windows(documents: DataFrame, doc_id: str, text: str, table: np.nda
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for part in portions(texts):
-                yield _windows(ids[part], texts[part], bits, low)
+                yield _windows(ids[part], texts[part], bits, low, read_as.value)
 
     return documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(read, WINDOWS)
 
 
-def _windows(ids: np.ndarray, texts: list[str], bits: np.ndarray, low: np.uint64) -> pa.RecordBatch:
-    hashes, bounds = word_hashes(texts)
+def _windows(ids: np.ndarray, texts: list[str], bits: np.ndarray, low: np.uint64, t: Tables) -> pa.RecordBatch:
+    hashes, bounds = word_hashes(texts, t)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for m, mask in enumerate(MASKS):
         s = seeds(hashes, mask)
@@ -154,7 +139,7 @@ def _windows(ids: np.ndarray, texts: list[str], bits: np.ndarray, low: np.uint64
 
 def document_words(documents: DataFrame, doc_id: str, text: str, table: np.ndarray) -> DataFrame:
     """(doc_id, words): the word hashes of documents whose id may be in a table of bits (`seed_table`); NULL texts are left out."""
-    sent = documents.sparkSession.sparkContext.broadcast(table)
+    sent, read_as = documents.sparkSession.sparkContext.broadcast(table), broadcast_tables(documents.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -164,7 +149,7 @@ def document_words(documents: DataFrame, doc_id: str, text: str, table: np.ndarr
             own = batch.filter(pa.array(((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)))
             texts = own.column(1).to_pylist()
             for part in portions(texts):
-                hashes, bounds = word_hashes(texts[part])
+                hashes, bounds = word_hashes(texts[part], read_as.value)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([own.column(0).slice(part.start, len(texts[part])), lists], ["doc_id", "words"])
 
@@ -179,7 +164,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_i
     words on one alignment, substituted words skipped. Items shorter than SPAN words, empty and NULL texts have no row. Repeated documents or
     items count like others; other columns are ignored.
     """
-    words = item_words(items, item_id, text)
+    words = cut_lineage(item_words(items, item_id, text).filter(F.size("words") >= SPAN))  # shorter ones have no window; the seeds' number bounds the rest
     item_side = item_seeds(words)
     n = item_side.count()
     windows = document_windows(documents, doc_id, text, seed_table(item_side, n))

@@ -9,16 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelshift.llm.canonical_text import canonical_strings, portions
+from panelshift.llm.canonical_text import broadcast_tables, canonical_strings, portions
 from panelshift.session import cut_lineage
 
-#: Documents of one form that a task pairs at most with those of another spelling before the form is salted.
-PER_SALT = 100_000
+#: Documents of one spelling that are joined under one salt with as many of another.
+PER_SALT = 3_000
 
 
 def canonical_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, form, spelling): digests of a document's canonical form and of its very text; NULL texts are left out. No text leaves the tasks."""
 
+    read_as = broadcast_tables(documents.sparkSession)
+
     def digest(value: str) -> bytes:
         return blake2b(value.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -27,7 +29,7 @@ def canonical_classes(documents: DataFrame, doc_id: str, text: str) -> DataFrame
             texts = batch.column(1).to_pylist()
             for part in portions(texts):
                 own = texts[part]
-                columns = [batch.column(0).slice(part.start, len(own)), pa.array([digest(f) for f in canonical_strings(own)], pa.binary()), pa.array([digest(t) for t in own], pa.binary())]
+                columns = [batch.column(0).slice(part.start, len(own)), pa.array([digest(f) for f in canonical_strings(own, read_as.value)], pa.binary()), pa.array([digest(t) for t in own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "form", "spelling"])
 
     known = documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
@@ -38,17 +40,25 @@ def disguised_pairs(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """(doc_id_a, doc_id_b), a < b: documents of one canonical form and different texts.
 
     Exact copies make no pair with each other, but each copy pairs with every document that differs from it in characters only.
-    Forms with one spelling drop out on counts alone; of the others, documents of a form with many are salted. Documents
-    with equal ids and NULL or lone texts make no pair; an empty table gives no rows.
+    Spellings of a form are paired first, so forms with one spelling drop out and only documents that make a pair are ever joined; documents of two
+    spellings meet by salts on either side, each salt in a block of bounded size. Documents with equal ids and NULL or lone texts make no
+    pair; an empty table gives no rows.
     """
-    classes = cut_lineage(canonical_classes(documents, doc_id, text))
-    mixed = classes.groupBy("form").agg(F.min("spelling").alias("_least"), F.max("spelling").alias("_most"), F.count("*").alias("_n")).filter("_least <> _most")
-    salted = mixed.select("form", (F.floor(F.col("_n") / PER_SALT) + 1).cast("int").alias("_salts"))
-    members = classes.join(salted, "form")
-    left = members.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), "_salts").cast("int")).select("form", "_salt", F.col("doc_id").alias("doc_id_a"), F.col("spelling").alias("_sa"))
-    right = members.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select("form", "_salt", F.col("doc_id").alias("doc_id_b"), F.col("spelling").alias("_sb"))
-    pairs = left.join(right, ["form", "_salt"]).filter((F.col("_sa") != F.col("_sb")) & (F.col("doc_id_a") < F.col("doc_id_b")))
-    return pairs.select("doc_id_a", "doc_id_b").distinct()
+    classes = cut_lineage(canonical_classes(documents, doc_id, text).distinct())
+    spellings = classes.groupBy("form", "spelling").agg(F.count("*").alias("n"))
+    mixed = spellings.groupBy("form").agg(F.count("*").alias("_s")).filter("_s > 1").select("form")
+    several = cut_lineage(spellings.join(mixed, "form"))
+    sides = [several.select("form", F.col("spelling").alias(f"_s{x}"), (1 + F.floor((F.col("n") - 1) / PER_SALT)).cast("int").alias(f"_n{x}")) for x in "ab"]
+    pairs = sides[0].join(sides[1], "form").filter("_sa < _sb")
+
+    def members(x: str, other: str) -> DataFrame:
+        """Documents of one spelling of each pair, in their block of it and once for every block of the other."""
+        own = classes.select("form", F.col("spelling").alias(f"_s{x}"), F.col("doc_id").alias(f"_d{x}"))
+        blocks = own.join(pairs, ["form", f"_s{x}"]).withColumn(f"_p{x}", F.pmod(F.xxhash64(f"_d{x}"), f"_n{x}").cast("int"))
+        return blocks.withColumn(f"_p{other}", F.explode(F.sequence(F.lit(0), F.col(f"_n{other}") - 1))).select("form", "_sa", "_sb", "_pa", "_pb", f"_d{x}")
+
+    found = members("a", "b").join(members("b", "a"), ["form", "_sa", "_sb", "_pa", "_pb"]).filter("_da <> _db")
+    return found.select(F.least("_da", "_db").alias("doc_id_a"), F.greatest("_da", "_db").alias("doc_id_b")).distinct()
 
 
 def class_members(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

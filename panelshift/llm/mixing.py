@@ -1,6 +1,6 @@
 """Mixing documents of several sources to target weights by weighted fair queueing.
 
-Documents are shuffled by a hash. A document's virtual finish time is its source's cumulative tokens divided by the source's
+Documents are shuffled by an md5 hash. A document's virtual finish time is its source's cumulative tokens divided by the source's
 weight; further uses of a document follow after all documents of its source. Taking all uses in the order of their finish times until
 the budget is spent gives each source its share for as long as it lasts. Cumulative sums are made in two steps: sums
 per range of hashes (or of finish times) first, whose prefix sums are small, then within each range; no source or range of
@@ -17,6 +17,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +83,12 @@ def clean_source(source: Column) -> Column:
 
 
 def token_sizes(documents: DataFrame, doc_id: str, source: str, text: str, vocabulary: str) -> DataFrame:
-    """(doc_id, source, tokens) with clean sources, stored once; a NULL or empty text has 0 tokens."""
+    """(doc_id, source, tokens) with clean sources, stored once; a NULL or empty text has 0 tokens. Spark sends the vocabulary file to the workers."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(vocabulary)
+        count = token_counter(SparkFiles.get(name))
         for batch in batches:
             tokens = [count(t) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], ["doc_id", "source", "tokens"])
@@ -101,8 +104,8 @@ def finish_times(sizes: DataFrame, weights: DataFrame, seed: int = 0) -> DataFra
     above 0 or no use allowed, are left out.
     """
     used = weights.filter((F.col("target_share") > 0) & (F.col("max_repeats") > 0)).select("source", "target_share", "max_repeats")
-    rows = sizes.join(F.broadcast(used), "source").withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id"))
-    placed = rows.withColumn("_range", F.shiftrightunsigned("_hash", 52).cast("int")).withColumn("_hash", F.shiftrightunsigned("_hash", 1))
+    rows = sizes.join(F.broadcast(used), "source").withColumn("_hash", F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("doc_id").cast("string"))))
+    placed = rows.withColumn("_range", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
     ordered = running_sum(placed, ["source"], "_range", ["_hash", "doc_id"], "tokens", "_sum")
     totals = sizes.groupBy("source").agg(F.sum("tokens").alias("_total"))
     again = ordered.join(F.broadcast(totals.join(used.select("source"), "source", "left_semi")), "source").withColumn("use_no", F.explode(F.sequence(F.lit(1), "max_repeats")))

@@ -1,5 +1,6 @@
 """Top items, evaluation leaks, mixing and canonical text against brute force, and their edge cases."""
 
+import itertools
 import random
 import re
 import unicodedata
@@ -66,11 +67,24 @@ def test_form_equals_character_by_character(texts):
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
 def test_composed_and_decomposed_agree(text):
-    text = "".join(c for c in text if not 0x1100 <= ord(c) <= 0x11FF and not 0xA960 <= ord(c) <= 0xA97F and not 0xAC00 <= ord(c) <= 0xD7FF)
     nfc, nfd = (canonical_text.canonical_strings([unicodedata.normalize(n, text)]) for n in ("NFC", "NFD"))
     assert nfc == nfd
 
 
+def test_hangul_and_further_look_alikes():
+    for text in ("한국어 글", "각", "가", "값\u1100"):
+        assert canonical_text.canonical_strings([unicodedata.normalize("NFD", text)]) == [unicodedata.normalize("NFC", text)] == canonical_text.canonical_strings([text])
+    assert canonical_text.canonical_strings(["가\u11a8", "\u1100\u1161\u11a8x", "\u1161\u1100"]) == ["각", "각x", "\u1161\u1100"]
+    assert canonical_text.canonical_strings(["ӀӏҮүϹϲϳ"]) == ["IlYyCcj"]
+
+
+def test_one_disguised_copy_among_many(spark):
+    n = 100_000
+    df = spark.range(n + 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "ﬁne").otherwise("fine").alias("text"))
+    pairs = lookalikes.disguised_pairs(df)
+    assert pairs.count() == n and pairs.filter("doc_id_a <> 7 and doc_id_b <> 7").count() == 0
+
+
 def test_portions_cover_everything():
     texts = ["", "a" * 5, "b" * 50, "", "c" * 3, "d" * 3]
     assert [t for part in canonical_text.portions(texts, 6) for t in texts[part]] == texts
@@ -135,6 +149,19 @@ def test_leaks_equal_brute_force(spark):
     assert contamination.leaked_passages(docs, its.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length, changed, least", [(10, 1, 1.0), (12, 1, 1.0), (14, 2, 1.0), (10, 2, 0.2)])
+def test_recall_of_substituted_passages(spark, length, changed, least):
+    """Every choice of substituted words in a passage of a longer item, one document each; two words in ten are beyond what the masks promise."""
+    item = [f"w{i}" for i in range(30)]
+    docs = []
+    for k, places in enumerate(itertools.combinations(range(length), changed)):
+        passage = [f"x{i}" if i in places else w for i, w in enumerate(item[8 : 8 + length])]
+        docs.append((k, " ".join([f"a{i}" for i in range(12)] + passage + [f"b{i}" for i in range(12)])))
+    found = contamination.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    recall = found.filter(F.col("overlap") == length - changed).count() / len(docs)
+    assert recall >= least
+
+
 def test_substituted_words_are_tolerated(spark):
     passage = [f"w{i}" for i in range(24)]
     changed = [w if i % 8 != 5 else "x" for i, w in enumerate(passage)]
@@ -184,6 +211,23 @@ def test_top_items_equal_brute_force(spark):
 # mixing
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
+def test_query_without_sql(spark, name):
+    rows = queries.QUERIES[name](spark, FOLDER)
+    if name == "p7_overlaps":
+        assert {(r["doc_id"], r["item_id"]) for r in rows.filter("longest_run >= 10").collect()} == {tuple(r) for r in queries.p7_found(spark, FOLDER).collect()}
+    elif name == "p8_report":
+        got = rows.collect()
+        assert sum(r["actual_share"] for r in got) == pytest.approx(1) and {r["source"] for r in queries.p8_found(spark, FOLDER).collect()} <= {r["source"] for r in got if r["actual_share"] < r["target_share"]}
+    else:
+        taken = {r["source"]: r["t"] for r in rows.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+        assert name == "p8_mixture" and taken == {mixing_name(r["source"]): r["taken_tokens"] for r in queries.p8_report(spark, FOLDER).collect() if r["taken_tokens"]}
+
+
+def mixing_name(source: str) -> str:
+    return source.strip().lower().replace("-", "_")
+
+
 def vocabulary() -> str:
     return f"{mixing.tokenizer_folder()}/{queries.VOCABULARY}"
 
