@@ -57,3 +57,30 @@ def simultaneous_band(values: DataFrame, draws: DataFrame, by: list[str], column
     deviation = draws.select(*by, "draw", stacked).join(point, [*by, "measure"]).withColumn("_t", F.when(F.col("se") > 0, F.abs(F.col("x") - F.col("estimate")) / F.col("se")))
     largest = deviation.groupBy(*by, "draw").agg(F.max("_t").alias("_t")).groupBy(*by).agg(F.percentile("_t", level).alias("critical"))
     return point.join(largest, by, "left").withColumns({"lower": F.col("estimate") - F.coalesce("critical", F.lit(0.0)) * F.col("se"), "upper": F.col("estimate") + F.coalesce("critical", F.lit(0.0)) * F.col("se")})
+
+
+def ratio_intervals(values: DataFrame, plan: DataFrame, by: list[str], unit: str, numerator: str, denominator: str) -> DataFrame:
+    """Per group: the ratio of sums, its standard error from the units' influence, the percentile interval over draws, and how many draws have no ratio.
+
+    A unit's influence is (numerator - ratio * denominator) over the mean denominator. Undefined draws are counted and take no part in the interval.
+    """
+    whole = values.groupBy(*by).agg(ratio(F.sum(numerator), F.sum(denominator)).alias("estimate"), F.count("*").alias("_n"), F.sum(denominator).alias("_d"))
+    spread = values.join(whole, by).groupBy(*by).agg(F.sum(F.pow(F.col(numerator) - F.col("estimate") * F.col(denominator), 2)).alias("_s"))
+    draws = draw_ratios(values, plan, by, unit, numerator, denominator, "_x")
+    ends = draws.groupBy(*by).agg(F.percentile("_x", F.array(F.lit(0.025), F.lit(0.975))).alias("_e"), F.count("*").alias("draws"), F.count_if(F.col("_x").isNull()).alias("undefined_draws"))
+    se = ratio(F.sqrt(F.col("_s") * ratio(F.col("_n"), F.col("_n") - 1)), F.col("_d"))
+    return whole.join(spread, by).join(ends, by, "left").select(*by, "estimate", se.alias("se"), F.col("_e")[0].alias("lower"), F.col("_e")[1].alias("upper"), "draws", "undefined_draws")
+
+
+def selection_optimism(values: DataFrame, draws: DataFrame, by: list[str], options: list[str]) -> DataFrame:
+    """Per group: the option with the greatest mean (the first of equal ones), that mean, its optimism and the mean corrected by it.
+
+    In every draw the best option is chosen anew; the optimism is the mean, over draws, of what the chosen one has there more than over all units.
+    """
+    point = values.groupBy(*by).agg(*[F.avg(o).alias(f"_p_{o}") for o in options])
+    greatest = F.greatest(*[F.col(f"_p_{o}") for o in options])
+    named = F.coalesce(*[F.when(F.col(f"_p_{o}") == greatest, F.lit(o)) for o in options])
+    best = F.greatest(*[F.round(o, 12) for o in options])
+    gain = F.coalesce(*[F.when(F.round(o, 12) == best, F.col(o) - F.col(f"_p_{o}")) for o in options])
+    optimism = draws.join(point, by).groupBy(*by).agg(F.avg(gain).alias("optimism"))
+    return point.join(optimism, by).select(*by, named.alias("chosen"), greatest.alias("apparent"), "optimism", (greatest - F.col("optimism")).alias("corrected"))
