@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio, when_chain
 from panelshift.operators.ordering import hash_numbered, with_quantiles
+from panelshift.operators.panel import ladder
 from panelshift.session import cut_lineage
 
 THRESHOLDS = (150, 400, 700)
@@ -93,35 +94,106 @@ def matched_controls(candidates: DataFrame, wanted: DataFrame, strata: list[str]
     return hash_numbered(candidates.join(need, strata), strata, digest, item, "_no").filter("_no <= _need").drop("_no", "_need")
 
 
-def propagate(edges: DataFrame, evidence: DataFrame, smoothing: float = 3.0, iterations: int = 10, every: int = 5, tolerance: float | None = None) -> DataFrame:
-    """Damped propagation r <- d * (P r) + (1 - d) * q on an unweighted graph, started at q.
+def _recurrence(edges: DataFrame, evidence: DataFrame, by: list[str], smoothing: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes with degree, damping d and evidence share q, and the directed ways, both stored."""
+    ways = both_directions(edges, by)
+    degree = ways.groupBy(*by, "node").agg(F.count("*").alias("degree"))
+    given = evidence.groupBy(*by, "node").agg(F.sum("evidence").alias("evidence"))
+    total = given.groupBy(*by).agg(F.sum("evidence").alias("_total"))
+    both = degree.join(given, [*by, "node"], "full")
+    nodes = (both.join(F.broadcast(total), by, "left") if by else both.crossJoin(F.broadcast(total))).select(  # a row per graph
+        *by, "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce(ratio(F.col("evidence"), F.col("_total")), F.lit(0.0)).alias("q")
+    )
+    return cut_lineage(nodes.withColumn("d", F.col("degree") / (F.col("degree") + smoothing))), cut_lineage(ways)
+
+
+def _step(state: DataFrame, ways: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, _in): what each node gets from its neighbours."""
+    given = state.select(*by, "node", (F.col("score") / F.greatest("degree", F.lit(1))).alias("_x"))
+    return ways.join(given, [*by, "node"]).groupBy(*by, F.col("neighbour").alias("node")).agg(F.sum("_x").alias("_in"))
+
+
+def propagate(edges: DataFrame, evidence: DataFrame, smoothing: float = 3.0, iterations: int = 10, every: int = 5, tolerance: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Damped propagation r <- d * (P r) + (1 - d) * q on unweighted graphs, one for each value of `by`, started at q.
 
     P passes a node's value in equal parts to its neighbours; d is degree / (degree + smoothing); q is evidence over its sum (isolated and
     unknown nodes have evidence 0). One join and one sum per iteration; the lineage is cut every few iterations. With a
-    tolerance, it ends at the first cut where the last step's L2 change is under it; `iterations` steps without that are an
-    error. Columns: node, score.
+    tolerance, it ends at the first cut where the last step's L2 change is under it in every graph; `iterations` steps without that are an
+    error. Columns: by, node, score.
     """
-    ways = both_directions(edges, [])
-    degree = ways.groupBy("node").agg(F.count("*").alias("degree"))
-    given = evidence.groupBy("node").agg(F.sum("evidence").alias("evidence"))
-    total = given.agg(F.sum("evidence")).first()[0] or 1.0
-    nodes = degree.join(given, "node", "full").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), (F.coalesce("evidence", F.lit(0.0)) / float(total)).alias("q"))
-    fixed = cut_lineage(nodes.withColumn("d", F.col("degree") / (F.col("degree") + smoothing)))
-    out_edges = cut_lineage(ways)
-    state = fixed.select("node", "degree", "d", "q", F.col("q").alias("score"))
+    ids = [*by, "node"]
+    fixed, ways = _recurrence(edges, evidence, list(by), smoothing)
+    state = fixed.withColumn("score", F.col("q"))
     for i in range(1, iterations + 1):
-        sent = out_edges.join(state.select("node", (F.col("score") / F.greatest("degree", F.lit(1))).alias("_x")), "node").groupBy(F.col("neighbour").alias("node")).agg(F.sum("_x").alias("_in"))
         new = F.col("d") * F.coalesce("_in", F.lit(0.0)) + (1 - F.col("d")) * F.col("q")
         # only a step whose change is measured needs the score before it
-        old = state.select("node", "degree", "d", "q", F.col("score").alias("before")) if tolerance is not None and i % every == 0 else fixed.withColumn("before", F.lit(None).cast("double"))
-        state = old.join(sent, "node", "left").select("node", "degree", "d", "q", new.alias("score"), "before")
+        old = state.select(*ids, "degree", "d", "q", F.col("score").alias("before")) if tolerance is not None and i % every == 0 else fixed.withColumn("before", F.lit(None).cast("double"))
+        state = old.join(_step(state, ways, list(by)), ids, "left").select(*ids, "degree", "d", "q", new.alias("score"), "before")
         if i % every == 0 and (i < iterations or tolerance is not None):
             state = cut_lineage(state)
-            if tolerance is not None and sqrt(state.agg(F.sum((F.col("score") - F.col("before")) ** 2)).first()[0] or 0.0) < tolerance:
-                return state.select("node", "score")
+            if tolerance is not None:
+                changes = state.groupBy(*by).agg(F.sum((F.col("score") - F.col("before")) ** 2).alias("_c"))
+                if sqrt(changes.agg(F.max("_c")).first()[0] or 0.0) < tolerance:
+                    return state.select(*ids, "score")
     if tolerance is not None:
         raise ArithmeticError(f"no convergence to {tolerance} in {iterations} steps")
-    return state.select("node", "score")
+    return state.select(*ids, "score")
+
+
+def propagation_certificate(edges: DataFrame, evidence: DataFrame, scores: DataFrame, smoothing: float = 3.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """How far scores can be from the fixed point of `propagate`, per graph: residual_l1, operator_l1 (the largest share that a node passes on after damping), error_bound.
+
+    One step of the recurrence gives the residual; the L1 distance to the fixed point is at most residual_l1 / (1 - operator_l1). Rounding is not counted.
+    """
+    ids = [*by, "node"]
+    fixed, ways = _recurrence(edges, evidence, list(by), smoothing)
+    state = fixed.join(scores.select(*ids, "score"), ids, "left").fillna(0.0, ["score"])
+    new = F.col("d") * F.coalesce("_in", F.lit(0.0)) + (1 - F.col("d")) * F.col("q")
+    residual = state.join(_step(state, ways, list(by)), ids, "left").groupBy(*by).agg(F.sum(F.abs(new - F.col("score"))).alias("residual_l1"))
+    received = ways.join(fixed.select(*by, F.col("node").alias("neighbour"), F.col("d").alias("_d")), [*by, "neighbour"]).groupBy(*ids).agg(F.avg("_d").alias("_share"))
+    operator = received.groupBy(*by).agg(F.max("_share").alias("operator_l1"))
+    both = residual.join(operator, list(by), "left") if by else residual.crossJoin(operator)  # a row per graph
+    whole = both.fillna(0.0, ["operator_l1"])
+    return whole.withColumn("error_bound", F.col("residual_l1") / (1 - F.col("operator_l1")))
+
+
+def cutoff_certificate(scores: DataFrame, bounds: DataFrame, by: list[str], budget: int) -> DataFrame:
+    """Whether the first `budget` nodes by score are certain: the gap to the next score exceeds twice the error bound, or there is no next one.
+
+    Columns: by, query_size, cutoff_gap (NULL without a next one), cutoff_tied, certified.
+    """
+    steps = ladder(scores, by, "score")
+    at = F.max(F.when(F.col("above") < budget, F.struct((-F.col("score")).alias("s"), F.col("ties").alias("t"), (F.col("above") + F.col("ties")).alias("reach"))))
+    sums = steps.groupBy(*by).agg(F.max("members").alias("query_size"), at.alias("_at"), F.max(F.when(F.col("above") >= budget, F.col("score"))).alias("_next"))
+    complete = F.col("query_size") <= budget
+    gap = F.when(~complete, F.when(F.col("_at.reach") > budget, 0.0).otherwise(-F.col("_at.s") - F.col("_next")))
+    return sums.join(bounds.select(*by, "error_bound"), by).select(
+        *by, "query_size", gap.alias("cutoff_gap"), F.when(complete, 0).otherwise(F.col("_at.t")).cast("long").alias("cutoff_tied"), (complete | (gap > 2 * F.col("error_bound"))).alias("certified")
+    )
+
+
+def edit_features(edits: DataFrame, transitions: DataFrame, degrees: DataFrame, cap: float = 800.0) -> DataFrame:
+    """Per edit class: added and removed edges, share between modules, mean log degree of the ends, mean change of cost (1000 less the capped score), log of the count."""
+    ends = edits.join(transitions, ["node_a", "node_b"])
+    for e in ("a", "b"):
+        ends = ends.join(degrees.select(F.col("node").alias(f"node_{e}"), F.col("degree").alias(f"_g{e}")), f"node_{e}", "left")
+    cost = F.when(F.col("edit") == "ADDED", 1000 - F.least("new_score", F.lit(cap))).otherwise(F.least("old_score", F.lit(cap)) - 1000)
+    log_degree = (F.log1p(F.coalesce("_ga", F.lit(0))) + F.log1p(F.coalesce("_gb", F.lit(0)))) / 2
+    return ends.groupBy("edit_class").agg(
+        F.count_if(F.col("edit") == "ADDED").alias("added_edges"), F.count_if(F.col("edit") == "REMOVED").alias("removed_edges"), F.avg(F.col("edit_class").endswith("B").cast("double")).alias("between_module_fraction"),
+        F.avg(log_degree).alias("mean_end_log_degree"), F.avg(cost).alias("mean_cost_change"), F.log1p(F.count("*").cast("double")).alias("log_edit_count"),
+    )
+
+
+def balance(treated: DataFrame, controls: DataFrame, measures: list[str], limit: float = 0.1) -> DataFrame:
+    """Per measure: both means, the standardised mean difference (over the root of the mean variance) and whether it is within the limit; equal constants differ by 0."""
+    sides = treated.select(F.lit(1).alias("_t"), *measures).unionByName(controls.select(F.lit(0).alias("_t"), *measures))
+    each = sides.select("_t", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])))
+    sums = each.groupBy("measure").agg(*[f(F.when(F.col("_t") == t, F.col("x"))).alias(f"{n}_{s}") for t, s in ((1, "treated"), (0, "controls")) for f, n in ((F.avg, "mean"), (F.var_samp, "variance"))])
+    scale = F.sqrt((F.col("variance_treated") + F.col("variance_controls")) / 2)
+    difference = F.col("mean_treated") - F.col("mean_controls")
+    smd = F.when(scale > 0, difference / scale).otherwise(F.when(difference == 0, 0.0))
+    return sums.select("measure", "mean_treated", "mean_controls", smd.alias("difference"), F.coalesce(F.abs(smd) <= limit, F.lit(False)).alias("balanced"))
 
 
 def neighbour_change(old: DataFrame, new: DataFrame) -> DataFrame:
