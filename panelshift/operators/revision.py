@@ -175,17 +175,10 @@ def concentration(revisions: DataFrame) -> DataFrame:
 
 
 def trajectories(members: DataFrame, releases: list[str]) -> DataFrame:
-    """Pairs eligible in three consecutive releases: the direction of both changes and the tier they start from."""
-    a, b, c = releases
-    first, second = (members.filter(F.col("release_pair") == f"{x}_to_{y}") for x, y in ((a, b), (b, c)))
-    ids = ["canonical_disease_id", "canonical_target_id"]
-    both = first.select(*ids, "old_score", F.col("new_score").alias("middle_score")).join(second.select(*ids, F.col("new_score")), ids)
+    """Pairs eligible in three consecutive releases: the direction of both changes and the tier they start from, for every such span in one grouping.
 
-    return _labelled(both)
-
-
-def all_trajectories(members: DataFrame, releases: list[str]) -> DataFrame:
-    """`trajectories` of every three consecutive releases in one grouping, with release_span; members has a pair once per release pair."""
+    `members` has a pair once per release pair; fewer than three releases give no rows.
+    """
     spans = [(f"{a}_to_{b}_to_{c}", f"{x}_to_{y}", side) for a, b, c in zip(releases, releases[1:], releases[2:]) for x, y, side in ((a, b, 1), (b, c, 2))]
     known = F.array(*[F.struct(F.lit(s).alias("release_span"), F.lit(p).alias("_pair"), F.lit(i).alias("_side")) for s, p, i in spans or [("", "", 0)]])
     ids = ["release_span", "canonical_disease_id", "canonical_target_id"]

@@ -148,17 +148,7 @@ def propagation_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_alignment(spark: SparkSession, d: str) -> DataFrame:
-    """Source targets of the first release aligned with those of the second; crosswalk rows of one canonical id propose links."""
-    rows = load(spark, d, "target_crosswalk", ["release_id", "source_target_id", "canonical_target_id", "stable_entity_eligible"])
-    clean = rows.select("release_id", clean_target("source_target_id").alias("id"), F.nullif(clean_target("canonical_target_id"), F.lit("")).alias("c"), affirmative(F.col("stable_entity_eligible")).alias("s"))
-    first, second = (clean.filter(F.col("release_id") == r) for r in releases(spark, d)[:2])
-    kind = F.when(F.col("s"), "REPLACEMENT").otherwise("CROSS_REFERENCE")
-    proposals = first.select(F.col("id").alias("old_id"), "c").join(second.select(F.col("id").alias("new_id"), "c", kind.alias("kind")), "c")
-    return identity.align_identities(first, second, proposals.select("old_id", "new_id", "kind"))
-
-
-def identity_alignment_all(spark: SparkSession, d: str) -> DataFrame:
-    """`identity_alignment` of every pair of consecutive releases."""
+    """Source targets of each release aligned with those of the next; crosswalk rows of one canonical id propose links."""
     rows = load(spark, d, "target_crosswalk", ["release_id", "source_target_id", "canonical_target_id", "stable_entity_eligible"])
     clean = rows.select("release_id", clean_target("source_target_id").alias("id"), F.nullif(clean_target("canonical_target_id"), F.lit("")).alias("c"), affirmative(F.col("stable_entity_eligible")).alias("s"))
     sides = cut_lineage(identity.with_release_pairs(clean, "release_id", releases(spark, d)))
@@ -181,7 +171,7 @@ def unique_inverse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (canonical_edges, degree_registry, edge_transitions, threshold_decomposition, edit_classes, edit_burden, edited_graph, neighbour_change, matched_controls, control_balance, edit_features, propagation, propagation_converged, propagation_certificate, propagation_cutoff, identity_alignment, identity_alignment_all, reference_forms, unique_inverse)
+    for f in (canonical_edges, degree_registry, edge_transitions, threshold_decomposition, edit_classes, edit_burden, edited_graph, neighbour_change, matched_controls, control_balance, edit_features, propagation, propagation_converged, propagation_certificate, propagation_cutoff, identity_alignment, reference_forms, unique_inverse)
 }
 
 # The same in SQL.
@@ -233,13 +223,13 @@ FROM edits LEFT JOIN deg x ON x.node = a LEFT JOIN deg y ON y.node = b GROUP BY
     "propagation_cutoff": f"""WITH {_CERTIFIED}, k AS (SELECT archive_id, sc, row_number() OVER (PARTITION BY archive_id ORDER BY sc DESC) no, count(*) OVER (PARTITION BY archive_id) q, count(*) OVER (PARTITION BY archive_id, sc) ties FROM r3),
 g AS (SELECT archive_id, max(q) q, max(sc) FILTER (no = 10) - max(sc) FILTER (no = 11) gap, max(ties) FILTER (no = 10) t FROM k GROUP BY 1)
 SELECT archive_id, q AS query_size, CASE WHEN q > 10 THEN round(gap, 9) END AS cutoff_gap, CASE WHEN q > 10 THEN t ELSE 0 END AS cutoff_tied, q <= 10 OR gap > 2 * bound AS certified FROM g JOIN cert USING (archive_id)""",
-    "identity_alignment": f"""WITH rel AS (SELECT release_id r, row_number() OVER (ORDER BY release_id) no FROM (SELECT DISTINCT release_id FROM association_support WHERE release_id IS NOT NULL)),
-x AS (SELECT no, {_CLEAN.format('source_target_id')} id, nullif({_CLEAN.format('canonical_target_id')}, '') c, coalesce(lower(trim(stable_entity_eligible)) IN ('true', '1'), false) s FROM target_crosswalk JOIN rel ON r = release_id),
-olds AS (SELECT DISTINCT id FROM x WHERE no = 1 AND id IS NOT NULL), news AS (SELECT DISTINCT id FROM x WHERE no = 2 AND id IS NOT NULL), exact AS (SELECT id FROM olds INTERSECT SELECT id FROM news),
-prop AS (SELECT DISTINCT a.id o, b.id n, CASE WHEN b.s THEN 2 ELSE 1 END k FROM x a JOIN x b ON a.c = b.c AND a.no = 1 AND b.no = 2 WHERE a.id NOT IN (FROM exact) AND b.id NOT IN (FROM exact)),
-links AS (SELECT DISTINCT o, n FROM prop p WHERE k = (SELECT max(k) FROM prop z WHERE z.o = p.o)), deg AS (SELECT *, count(*) OVER (PARTITION BY o) od, count(*) OVER (PARTITION BY n) nd FROM links),
-st AS (SELECT o, max(n) n, max(greatest(od, nd)) g FROM deg GROUP BY 1)
-SELECT id AS old_id, CASE WHEN id IN (FROM exact) THEN id WHEN g = 1 THEN n END AS new_id, CASE WHEN id IN (FROM exact) THEN 'EXACT' WHEN g = 1 THEN 'MAPPED' WHEN g > 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END AS alignment FROM olds LEFT JOIN st ON o = id""",
+    "identity_alignment": f"""WITH rel AS (SELECT release_id r, lead(release_id) OVER (ORDER BY release_id) x FROM (SELECT DISTINCT release_id FROM association_support WHERE release_id IS NOT NULL)),
+x AS (SELECT release_id r, {_CLEAN.format('source_target_id')} id, nullif({_CLEAN.format('canonical_target_id')}, '') c, coalesce(lower(trim(stable_entity_eligible)) IN ('true', '1'), false) s FROM target_crosswalk),
+olds AS (SELECT DISTINCT rel.r || '_to_' || rel.x p, id FROM rel JOIN x ON x.r = rel.r WHERE rel.x IS NOT NULL AND id IS NOT NULL), news AS (SELECT DISTINCT rel.r || '_to_' || rel.x p, id FROM rel JOIN x ON x.r = rel.x WHERE id IS NOT NULL), exact AS (SELECT * FROM olds INTERSECT SELECT * FROM news),
+prop AS (SELECT DISTINCT rel.r || '_to_' || rel.x p, a.id o, b.id n, CASE WHEN b.s THEN 2 ELSE 1 END k FROM rel JOIN x a ON a.r = rel.r JOIN x b ON b.r = rel.x AND a.c = b.c), open_ AS (SELECT * FROM prop WHERE (p, o) NOT IN (FROM exact) AND (p, n) NOT IN (FROM exact)),
+links AS (SELECT DISTINCT p, o, n FROM open_ q WHERE k = (SELECT max(k) FROM open_ z WHERE z.o = q.o AND z.p = q.p)), deg AS (SELECT *, count(*) OVER (PARTITION BY p, o) od, count(*) OVER (PARTITION BY p, n) nd FROM links),
+st AS (SELECT p, o, max(n) n, max(greatest(od, nd)) g FROM deg GROUP BY 1, 2)
+SELECT olds.p AS release_pair, id AS old_id, CASE WHEN (olds.p, id) IN (FROM exact) THEN id WHEN g = 1 THEN n END AS new_id, CASE WHEN (olds.p, id) IN (FROM exact) THEN 'EXACT' WHEN g = 1 THEN 'MAPPED' WHEN g > 1 THEN 'AMBIGUOUS' ELSE 'UNMATCHED' END AS alignment FROM olds LEFT JOIN st ON o = id AND st.p = olds.p""",
     "reference_forms": r"""WITH ids AS (SELECT DISTINCT source_disease_id, trim(source_disease_id) i FROM disease_crosswalk WHERE source_disease_id IS NOT NULL),
 forms AS (SELECT source_disease_id, unnest(list_distinct(list_filter([i, CASE WHEN contains(i, ':') THEN CASE WHEN upper(split_part(i, ':', 1)) = 'ORPHA' THEN 'Orphanet' ELSE split_part(i, ':', 1) END || '_' || regexp_extract(i, '^[^:]*:(.*)$', 1) END,
 CASE WHEN contains(i, '/') THEN regexp_extract(i, '[^/]*$') END], lambda x: x IS NOT NULL AND x <> ''))) AS form FROM ids) SELECT form, count(*) AS ids FROM forms GROUP BY 1""",

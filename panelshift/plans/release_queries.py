@@ -76,9 +76,10 @@ def state_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def membership_partition(spark: SparkSession, d: str) -> DataFrame:
-    rows, names = canonical(spark, d).filter("eligible"), releases(spark, d)
-    sides = [rows.filter(F.col("release_id") == r) for r in names[-2:]]
-    return identity.membership_partition(*sides, PAIR).groupBy("canonical_disease_id", "membership").agg(F.count("*").alias("pairs"))
+    """Pairs that persist, enter or exit, per panel and pair of consecutive releases."""
+    rows = _kept(canonical(spark, d).filter("eligible"))
+    found = identity.membership_partitions(rows, "release_id", releases(spark, d), PAIR)
+    return found.groupBy("release_pair", "canonical_disease_id", "membership").agg(F.count("*").alias("pairs"))
 
 
 def fixed_members(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +143,10 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.trajectory_summary(revision.trajectories(members(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'"), releases(spark, d)[:3])))
+    """Directions of both changes of pairs that every three consecutive releases have, per span of releases."""
+    names = releases(spark, d)
+    fixed = support.fixed_members(_kept(support.state_transitions(canonical(spark, d), names)), names).filter(F.col("support_name") == support.PAIR_SUPPORT)
+    return _rounded(revision.trajectory_summary(_kept(revision.trajectories(fixed, names)), ("release_span",)))
 
 
 def entrant_exit_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +195,7 @@ def persistence_classes(spark: SparkSession, d: str, evidence: int = 5) -> DataF
     return flags.withColumn("persistence_class", revision.persistence_class(*[F.col(c) for c in ("primary_changed", "stable_eligible", "stable_changed", "domain_eligible", "domain_changed")]))
 
 
-def change_intervals(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
+def change_intervals(spark: SparkSession, d: str, n: int = 2000) -> DataFrame:
     """Bootstrap intervals of a release pair's mean absolute change and share of changed scores, panels drawn with replacement."""
     per_panel = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'").groupBy("release_pair", "canonical_disease_id").agg(F.avg("absolute_change").alias("mean_change"), F.avg((~F.col("exact_unchanged")).cast("double")).alias("changed_share")))
     plan = resampling.hashed_plan(per_panel, "canonical_disease_id", ["release_pair"], n)
@@ -199,7 +203,7 @@ def change_intervals(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
     return _rounded(resampling.percentile_intervals(per_panel, draws, ["release_pair"], ["mean_change", "changed_share"]))
 
 
-def changed_pair_ratio(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
+def changed_pair_ratio(spark: SparkSession, d: str, n: int = 2000) -> DataFrame:
     """Changed pairs over all pairs of a release pair, with a bootstrap interval of the ratio of sums over panels."""
     panels = _kept(revisions(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'").groupBy("release_pair", "canonical_disease_id").agg(F.count_if(~F.col("exact_unchanged")).alias("changed"), F.count("*").alias("pairs")))
     draws = resampling.draw_ratios(panels, resampling.hashed_plan(panels, "canonical_disease_id", ["release_pair"], n), ["release_pair"], "canonical_disease_id", "changed", "pairs", "changed_ratio")
@@ -208,35 +212,12 @@ def changed_pair_ratio(spark: SparkSession, d: str, n: int = 200) -> DataFrame:
     return _rounded(whole.join(ends, "release_pair").select("release_pair", "estimate", F.col("_e")[0].alias("lower"), F.col("_e")[1].alias("upper")))
 
 
-def change_intervals_2000(spark: SparkSession, d: str) -> DataFrame:
-    """`change_intervals` from 2000 draws."""
-    return change_intervals(spark, d, 2000)
-
-
-def changed_pair_ratio_2000(spark: SparkSession, d: str) -> DataFrame:
-    """`changed_pair_ratio` from 2000 draws."""
-    return changed_pair_ratio(spark, d, 2000)
-
-
-def trajectory_summary_all(spark: SparkSession, d: str) -> DataFrame:
-    """`trajectory_summary` of every three consecutive releases."""
-    rows = revision.all_trajectories(members(spark, d).filter("support_name = 'PAIR_SPECIFIC_PERSISTENT'"), releases(spark, d))
-    return _rounded(revision.trajectory_summary(_kept(rows), ("release_span",)))
-
-
-def membership_partition_all(spark: SparkSession, d: str) -> DataFrame:
-    """`membership_partition` of every pair of consecutive releases."""
-    found = identity.membership_partitions(canonical(spark, d).filter("eligible"), "release_id", releases(spark, d), PAIR)
-    return found.groupBy("release_pair", "canonical_disease_id", "membership").agg(F.count("*").alias("pairs"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         crosswalk_statuses, canonical_associations, state_transitions, membership_partition, fixed_members, fixed_registry, native_registry, exclusion_registry, support_flow,
         entrant_exit_records, pair_revisions, score_summary, scale_diagnostic, score_tier_summary, tier_area_distribution, area_summary, concentration, trajectory_summary,
         entrant_exit_summary, native_turnover, turnover_decomposition, persistence_classes, change_intervals, changed_pair_ratio,
-        change_intervals_2000, changed_pair_ratio_2000, trajectory_summary_all, membership_partition_all,
     )
 }
 
@@ -327,9 +308,8 @@ UNION ALL SELECT 'target', release_id, mapping_status, count(*), count(*) FILTER
     "canonical_associations": f"WITH {_CANON} SELECT release_id, disease_id, target_id, canonical_disease_id, canonical_target_id, score, evidence_count, association_state, mapping_eligible, stable_entity, exclusion_reason, eligible FROM canon",
     "state_transitions": f"""WITH {_TRANS} SELECT release_pair, d AS canonical_disease_id, t AS canonical_target_id, old_state, new_state, old_eligible, new_eligible, old_score, new_score, old_evidence_count, new_evidence_count, mapping_affected,
 stable_entity, transition_class FROM trans""",
-    "membership_partition": f"""WITH {_TRANS}, last2 AS (SELECT canonical_disease_id d, canonical_target_id t, bool_or(release_id = (SELECT r FROM rel ORDER BY no DESC LIMIT 1 OFFSET 1)) o, bool_or(release_id = (SELECT max(r) FROM rel)) n FROM canon
-WHERE eligible AND release_id IN (SELECT r FROM rel ORDER BY no DESC LIMIT 2) GROUP BY 1, 2)
-SELECT d AS canonical_disease_id, CASE WHEN o AND n THEN 'PERSISTENT' WHEN n THEN 'ENTERING' ELSE 'EXITING' END AS membership, count(*) AS pairs FROM last2 GROUP BY 1, 2""",
+    "membership_partition": f"""WITH {_TRANS}, e AS (SELECT r || '_to_' || nxt release_pair, canonical_disease_id d, canonical_target_id t, bool_or(release_id = r) o, bool_or(release_id = nxt) n FROM rel JOIN canon ON release_id IN (r, nxt) WHERE nxt IS NOT NULL AND eligible GROUP BY 1, 2, 3)
+SELECT release_pair, d AS canonical_disease_id, CASE WHEN o AND n THEN 'PERSISTENT' WHEN n THEN 'ENTERING' ELSE 'EXITING' END AS membership, count(*) AS pairs FROM e GROUP BY 1, 2, 3""",
     "fixed_members": f"WITH {_FIXED} SELECT * EXCLUDE (d, t, areas), d AS canonical_disease_id, t AS canonical_target_id FROM fixed",
     "fixed_registry": f"WITH {_FIXED} SELECT * FROM judged",
     "native_registry": f"""WITH {_CANON} SELECT release_id, canonical_disease_id, count(*) AS target_count, count(DISTINCT score) AS distinct_scores, count(*) FILTER (stable_entity) AS stable_target_count, min(areas) AS areas,
@@ -377,14 +357,15 @@ FROM base b LEFT JOIN dd ON dd.rn = 1 AND dd.release_pair = b.release_pair AND d
 SELECT b.release_pair, b.support_name, pair_count, {_r('full_q90')} AS full_q90, large_count, wd.u AS dominant_disease_id, wd.n AS dominant_disease_weight, nullif(wd.c, 0) AS without_disease_count, {_r('wd.q')} AS without_disease_q90, {_r('wd.n / large_count')} AS maximum_disease_share,
 {_r('wd.q - full_q90')} AS without_disease_difference, wt.u AS dominant_target_id, wt.n AS dominant_target_weight, nullif(wt.c, 0) AS without_target_count, {_r('wt.q')} AS without_target_q90, {_r('wt.n / large_count')} AS maximum_target_share, {_r('wt.q - full_q90')} AS without_target_difference
 FROM base b LEFT JOIN w_disease wd USING (release_pair, support_name) LEFT JOIN w_target wt USING (release_pair, support_name)""",
-    "trajectory_summary": f"""WITH {_FIXED}, pairs AS (SELECT r || '_to_' || nxt p, no FROM rel), a AS (SELECT * FROM fixed JOIN pairs ON p = release_pair AND no = 1 WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT'), b AS (SELECT * FROM fixed JOIN pairs ON p = release_pair AND no = 2 WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT'),
-moves AS (SELECT a.d, a.t, a.old_score, a.new_score - a.old_score f, b.new_score - a.new_score s FROM a JOIN b USING (d, t)),
+    "trajectory_summary": f"""WITH {_FIXED}, spans AS (SELECT r || '_to_' || nxt p1, nxt || '_to_' || lead(nxt) OVER (ORDER BY r) p2, r || '_to_' || nxt || '_to_' || lead(nxt) OVER (ORDER BY r) release_span FROM rel),
+moves AS (SELECT release_span, a.d, a.t, a.old_score, a.new_score - a.old_score f, b.new_score - a.new_score s FROM spans JOIN fixed a ON a.release_pair = p1 JOIN fixed b ON b.release_pair = p2 AND a.d = b.d AND a.t = b.t
+  WHERE a.support_name = 'PAIR_SPECIFIC_PERSISTENT' AND b.support_name = 'PAIR_SPECIFIC_PERSISTENT'),
 states AS (SELECT *, CASE WHEN abs(f) <= 1e-12 THEN 'stable' WHEN f > 0 THEN 'increase' ELSE 'decrease' END s1, CASE WHEN abs(s) <= 1e-12 THEN 'stable' WHEN s > 0 THEN 'increase' ELSE 'decrease' END s2 FROM moves),
 cells AS (SELECT *, CASE WHEN s1 = 'stable' AND s2 = 'stable' THEN 'stable-stable' WHEN 'stable' IN (s1, s2) THEN 'one-stable-one-changing' ELSE s1 || '-' || s2 END trajectory, unnest([{_tier('old_score')}, 'all_score_tiers']) tier_group FROM states),
-counts AS (SELECT trajectory, tier_group, count(*) n, count(DISTINCT d) dc, quantile_cont(abs(f), 0.5) fm, quantile_cont(abs(s), 0.5) sm FROM cells GROUP BY 1, 2),
-full_grid AS (SELECT * FROM (SELECT unnest([{', '.join(f"'{t}'" for t in revision.TRAJECTORIES)}]) trajectory), (SELECT unnest([{', '.join(f"'{t[2]}'" for t in revision.TIERS)}, 'all_score_tiers']) tier_group))
-SELECT trajectory, tier_group, coalesce(n, 0) AS pair_count, coalesce(dc, 0) AS disease_count, {_r('fm')} AS first_change_median, {_r('sm')} AS second_change_median, {_r('coalesce(coalesce(n, 0) / nullif(sum(n) OVER (PARTITION BY tier_group), 0), 0.0)::DOUBLE')} AS within_tier_fraction,
-{_r("coalesce(coalesce(n, 0) / nullif((SELECT sum(n) FROM counts WHERE tier_group = 'all_score_tiers'), 0), 0.0)::DOUBLE")} AS overall_fraction FROM full_grid LEFT JOIN counts USING (trajectory, tier_group)""",
+counts AS (SELECT release_span, trajectory, tier_group, count(*) n, count(DISTINCT d) dc, quantile_cont(abs(f), 0.5) fm, quantile_cont(abs(s), 0.5) sm FROM cells GROUP BY 1, 2, 3),
+full_grid AS (SELECT * FROM (SELECT DISTINCT release_span FROM counts), (SELECT unnest([{', '.join(f"'{t}'" for t in revision.TRAJECTORIES)}]) trajectory), (SELECT unnest([{', '.join(f"'{t[2]}'" for t in revision.TIERS)}, 'all_score_tiers']) tier_group))
+SELECT release_span, trajectory, tier_group, coalesce(n, 0) AS pair_count, coalesce(dc, 0) AS disease_count, {_r('fm')} AS first_change_median, {_r('sm')} AS second_change_median, {_r('coalesce(coalesce(n, 0) / nullif(sum(n) OVER (PARTITION BY release_span, tier_group), 0), 0.0)::DOUBLE')} AS within_tier_fraction,
+{_r("coalesce(coalesce(n, 0) / nullif(sum(n) FILTER (tier_group = 'all_score_tiers') OVER (PARTITION BY release_span), 0), 0.0)::DOUBLE")} AS overall_fraction FROM full_grid LEFT JOIN counts USING (release_span, trajectory, tier_group)""",
     "entrant_exit_summary": f"""WITH {_TRANS}, {_RECORDS}, ra AS (SELECT *, 1.0::DOUBLE / len(l) w, unnest(l) area_id FROM (SELECT *, list_distinct(list_filter(string_split(areas, ';'), lambda x: x <> '')) l FROM records) WHERE len(l) > 0)
 SELECT 'overall' AS summary_scope, release_pair, context_class, '' AS area_id, count(*) AS record_count, count(*)::DOUBLE AS fractional_count, count(DISTINCT d) AS disease_count, {_r('quantile_cont(applicable_score, 0.5)')} AS score_median FROM records GROUP BY 2, 3
 UNION ALL SELECT 'area', release_pair, context_class, area_id, count(*), {_r('sum(w)')}, count(DISTINCT d), {_r('quantile_cont(applicable_score, 0.5)')} FROM ra GROUP BY 2, 3, 4""",
@@ -401,7 +382,7 @@ SELECT release_pair, d AS canonical_disease_id, p AS primary_changed, s AS stabl
 WHEN p AND NOT me THEN 'INSUFFICIENT_DOMAIN_SUPPORT' WHEN p AND se THEN 'DISAPPEARS_AFTER_MAPPING_CONTROL' WHEN p THEN 'OVERALL_ONLY' WHEN mx AND NOT sx THEN 'DOMAIN_ONLY' ELSE 'MIXED' END AS persistence_class FROM k""",
     "change_intervals": f"""WITH {_REV}, panels AS (SELECT release_pair, d, avg(absolute_change) mean_change, avg((NOT exact_unchanged)::INT::DOUBLE) changed_share FROM rev WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT' GROUP BY 1, 2),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY release_pair ORDER BY md5(d), d) - 1 no, count(*) OVER (PARTITION BY release_pair) n FROM panels),
-picks AS (SELECT release_pair, draw, ('0x' || substr(md5(draw || '|' || no), 1, 8))::BIGINT % n pick FROM numbered, (SELECT unnest(range(200)) draw)),
+picks AS (SELECT release_pair, draw, ('0x' || substr(md5(draw || '|' || no), 1, 8))::BIGINT % n pick FROM numbered, (SELECT unnest(range(2000)) draw)),
 draws AS (SELECT p.release_pair, draw, avg(mean_change) mc, avg(changed_share) cs FROM picks p JOIN numbered m ON m.release_pair = p.release_pair AND m.no = pick GROUP BY 1, 2),
 ends AS (SELECT release_pair, 'mean_change' measure, quantile_cont(mc, 0.025) lo, quantile_cont(mc, 0.975) hi, count(*) n FROM draws GROUP BY 1 UNION ALL SELECT release_pair, 'changed_share', quantile_cont(cs, 0.025), quantile_cont(cs, 0.975), count(*) FROM draws GROUP BY 1),
 point AS (SELECT release_pair, 'mean_change' measure, avg(mean_change) e FROM panels GROUP BY 1 UNION ALL SELECT release_pair, 'changed_share', avg(changed_share) FROM panels GROUP BY 1)
@@ -412,7 +393,7 @@ ORACLE["turnover_decomposition"] = f"""WITH found AS ({ORACLE['native_turnover']
 SELECT t.release_pair, r.reason, count(f.reason) AS panels, round(count(f.reason) / any_value(a), 9) AS fraction FROM totals t CROSS JOIN reasons r LEFT JOIN found f ON f.release_pair = t.release_pair AND f.reason = r.reason GROUP BY 1, 2"""
 ORACLE["changed_pair_ratio"] = f"""WITH {_REV}, panels AS (SELECT release_pair, d, count(*) FILTER (NOT exact_unchanged) c, count(*) k FROM rev WHERE support_name = 'PAIR_SPECIFIC_PERSISTENT' GROUP BY 1, 2),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY release_pair ORDER BY md5(d), d) - 1 no, count(*) OVER (PARTITION BY release_pair) n FROM panels),
-picks AS (SELECT release_pair, draw, ('0x' || substr(md5(draw || '|' || no), 1, 8))::BIGINT % n pick FROM numbered, (SELECT unnest(range(200)) draw)),
+picks AS (SELECT release_pair, draw, ('0x' || substr(md5(draw || '|' || no), 1, 8))::BIGINT % n pick FROM numbered, (SELECT unnest(range(2000)) draw)),
 draws AS (SELECT p.release_pair, draw, sum(c) / sum(k) x FROM picks p JOIN numbered m ON m.release_pair = p.release_pair AND m.no = pick GROUP BY 1, 2),
 whole AS (SELECT release_pair, sum(c) / sum(k) e FROM panels GROUP BY 1)
 SELECT w.release_pair, round(any_value(e), 9) AS estimate, round(quantile_cont(x, 0.025), 9) AS lower, round(quantile_cont(x, 0.975), 9) AS upper FROM whole w JOIN draws USING (release_pair) GROUP BY 1"""
