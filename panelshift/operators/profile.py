@@ -3,7 +3,8 @@
 1. A listing of the files gives (path, length) without reading content; tasks read the footers, one row per row group.
    Where a row group's statistics show a single value of each grouping column, its rows all belong to that group.
 2. Per row group and column, exact NULL counts and extrema are taken from the footer when they are present and the row
-   group has one group; text columns are read as dictionaries and patterns are tested on the entries only.
+   group has one group. A chunk of NULLs only is known from them and isn't read; sums, fractions and NaN are in no statistics, so other
+   chunks are read as dictionaries: patterns, ranges and fractions are tested on the entries, which are the distinct values too.
 3. Row identifiers (and, in mixed row groups, the grouping columns) are read only when an entry, a NULL or an extremum
    shows that an offending row is there.
 
@@ -21,7 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelshift.session import cut_lineage
+
 CHUNKS = "path string, row_group int, n_rows long, one_group boolean, group_values array<string>, null_counts array<long>, lows array<double>, highs array<double>"
+#: Row groups that a task reads, once there are more than two for every core.
+CHUNKS_A_TASK = 8
 FACTS = "group_values array<string>, kind string, column_name string, finding string, row_id long, text_value string, n long, nulls long, sound long, total double, lo double, hi double"
 
 
@@ -82,7 +87,9 @@ def chunk_facts(chunks: DataFrame, checks: Checks) -> DataFrame:
             for chunk in batch.itertuples(index=False):
                 yield _facts_of(chunk, checks)
 
-    return chunks.filter("n_rows > 0").repartition(chunks.sparkSession.sparkContext.defaultParallelism * 2, "path", "row_group").mapInPandas(read, FACTS)
+    known = cut_lineage(chunks.filter("n_rows > 0"))
+    parts = max(1, min(known.count(), max(2 * known.sparkSession.sparkContext.defaultParallelism, known.count() // CHUNKS_A_TASK)))
+    return known.repartition(parts, F.xxhash64("path", "row_group")).mapInPandas(read, FACTS)
 
 
 def _facts_of(chunk, checks: Checks) -> pd.DataFrame:
@@ -107,37 +114,43 @@ def _facts_of(chunk, checks: Checks) -> pd.DataFrame:
             out.append(pd.DataFrame({"group_values": [labels[g] for g in group_of[mask]], "kind": "row", "column_name": column, "finding": finding, "row_id": ids[mask]}))
 
     for i, column in enumerate(checks.columns):
-        known_nulls = chunk.null_counts[i]
-        data = file.read_row_group(chunk.row_group, columns=[column]).column(0).combine_chunks()
-        null = np.zeros(chunk.n_rows, bool) if known_nulls == 0 else np.asarray(data.is_null())
+        known_nulls, n = chunk.null_counts[i], chunk.n_rows
+        low, high = chunk.lows[i], chunk.highs[i]
+        if known_nulls == n:  # the footer tells all; extrema don't tell whether a NaN is there
+            null, entries, codes = np.ones(n, bool), np.array([], dtype=object if column in checks.patterns else float), np.zeros(n, np.int64)
+        else:
+            data = file.read_row_group(chunk.row_group, columns=[column]).column(0).combine_chunks()
+            data = data.chunk(0) if hasattr(data, "chunk") else data
+            null = np.zeros(n, bool) if known_nulls == 0 else np.asarray(data.is_null())
+            coded = data if column in checks.patterns else data.cast("float64").dictionary_encode()
+            entries = np.array(coded.dictionary.to_pylist(), dtype=object if column in checks.patterns else float)
+            codes = coded.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        there = ~null
         rows(null, column, "NULL_VALUE")
         stat = {"kind": "stat", "column_name": column, "n": sizes, "nulls": np.bincount(group_of[null], minlength=len(labels))}
+
+        def marked(bad_entry) -> np.ndarray:
+            return bad_entry[codes] & there if len(bad_entry) and bad_entry.any() else np.zeros(n, bool)
+
         if column in checks.patterns:
-            data = data.chunk(0) if hasattr(data, "chunk") else data
-            entries = np.array(data.dictionary.to_pylist() or [""], dtype=object)
-            codes = data.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             whole = re.compile(checks.patterns[column])
-            bad_entry = np.array([whole.fullmatch(x) is None for x in entries])
-            bad = bad_entry[codes] & ~null if bad_entry.any() else np.zeros(chunk.n_rows, bool)
-            rows(bad, column, "PATTERN")
-            used = np.unique(group_of[~null] * len(entries) + codes[~null])
-            values, at = entries[used % len(entries)], used // len(entries)
+            rows(marked(np.array([whole.fullmatch(x) is None for x in entries], bool)), column, "PATTERN")
         else:
             least, most = checks.ranges[column]
-            x = data.cast("float64").fill_null(0).to_numpy(zero_copy_only=False)
-            clean_range = not chunk.lows[i] is None and chunk.lows[i] >= least and chunk.highs[i] <= most and known_nulls is not None
-            outside = np.zeros(chunk.n_rows, bool) if clean_range and not np.isnan(x).any() else ~((x >= least) & (x <= most)) & ~null
-            broken = np.isfinite(x) & (x != np.floor(x)) & ~null
-            rows(outside, column, "OUT_OF_RANGE")
-            rows(broken, column, "NOT_INTEGER")
-            ok, there = ~(null | outside | broken), ~null
+            outside_entry, broken_entry = ~((entries >= least) & (entries <= most)), np.isfinite(entries) & (entries != np.floor(entries))
+            rows(marked(outside_entry), column, "OUT_OF_RANGE")
+            rows(marked(broken_entry), column, "NOT_INTEGER")
+            ok = there & ~marked(outside_entry | broken_entry)
+            x = entries[codes] if len(entries) else np.zeros(n)
             stat |= {"sound": np.bincount(group_of[ok], minlength=len(labels)), "total": np.bincount(group_of[ok], weights=x[ok], minlength=len(labels))}
-            if chunk.one_group and chunk.lows[i] is not None:
-                stat |= {"lo": np.array([chunk.lows[i]]), "hi": np.array([chunk.highs[i]])}
+            if chunk.one_group and low is not None:
+                stat |= {"lo": np.array([low]), "hi": np.array([high])}
             else:
                 stat |= {k: pd.Series(x[there]).groupby(group_of[there]).agg(f).reindex(range(len(labels))).to_numpy() for k, f in (("lo", "min"), ("hi", "max"))}
-            pairs = pd.DataFrame({"g": group_of[there], "x": x[there]}).drop_duplicates()
-            values, at = pairs["x"].map(repr).to_numpy(object), pairs["g"].to_numpy()
+        used = np.unique(group_of[there] * max(len(entries), 1) + codes[there])
+        values, at = entries[used % max(len(entries), 1)], used // max(len(entries), 1)
+        if column in checks.ranges:
+            values = np.array([repr(float(v)) for v in values], dtype=object)
         out.append(pd.DataFrame({"group_values": labels} | stat))
         out.append(pd.DataFrame({"group_values": [labels[g] for g in at], "kind": "value", "column_name": column, "text_value": values}))
     names = [x.split()[0] for x in FACTS.split(", ")]
