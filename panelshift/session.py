@@ -40,13 +40,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recomputation. The application owns its tables: `drop_intermediates` or the end of a `scratch` block removes them, and so
     does the end of the application.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/panelshift-{uuid.uuid4().hex}"
+    path = intermediate_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def intermediate_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the shared folder, removed like the tables of `cut_lineage`."""
+    path = f"{shared_folder(spark)}/panelshift-{uuid.uuid4().hex}{suffix}"
     if not _written:
         atexit.register(drop_intermediates, spark)
     _written.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def drop_intermediates(spark: SparkSession, since: int = 0) -> None:

@@ -12,10 +12,16 @@ def write_ordered(df: DataFrame, path: str, order: list[str], partition_by: list
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists") -> None:
-    """CSV with header; doubles keep all their digits."""
-    doubles = {c: F.format_string("%.17g", F.col(c)) for c, kind in df.dtypes if kind == "double"}
-    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(doubles).write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists", separator: str = ",", compression: str = "none", null: str = "") -> None:
+    """CSV with header; doubles keep all their digits. NULL is written as `null`; while that is the empty text, empty texts are read back as NULL."""
+    doubles = {c: F.when(F.col(c).isNotNull(), F.format_string("%.17g", F.col(c))) for c, kind in df.dtypes if kind == "double"}
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(doubles)
+    ordered.write.mode(mode).option("header", True).option("sep", separator).option("compression", compression).option("nullValue", null).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_json_lines(df: DataFrame, path: str, order: list[str], mode: str = "errorifexists") -> None:
+    """One JSON object a line, compressed; NULL fields are written as null."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).option("compression", "gzip").option("ignoreNullFields", False).json(path)
 
 
 def append_checked(df: DataFrame, path: str) -> None:

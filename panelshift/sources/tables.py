@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,8 +23,8 @@ def load(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return require_columns(df, columns).select(*columns) if columns else df
 
 
-def read_rows(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Parquet, JSON lines, CSV or TSV by suffix, compressed or not; text formats want an explicit schema."""
+def read_rows(spark: SparkSession, path: str, schema=None, null: str = "") -> DataFrame:
+    """Parquet, JSON lines, CSV or TSV by suffix, compressed or not; text formats want an explicit schema. Fields of separated texts that read `null` are NULL."""
     kind = path.removesuffix(".gz").rsplit(".", 1)[-1].lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind == "parquet":
@@ -33,7 +33,7 @@ def read_rows(spark: SparkSession, path: str, schema=None) -> DataFrame:
         return reader.option("mode", "FAILFAST").json(path)
     if kind in ("csv", "tsv", "txt"):
         separator = {"csv": ",", "tsv": "\t", "txt": " "}[kind]
-        return reader.option("header", True).option("sep", separator).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+        return reader.option("header", True).option("sep", separator).option("nullValue", null).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     raise ValueError(f"unknown format: {path}")
 
 
@@ -52,3 +52,9 @@ def release_union(spark: SparkSession, parts: dict[str, str], renames: dict[str,
 def violations(df: DataFrame, condition) -> int:
     """Rows for which `condition` is not true."""
     return df.filter(~F.coalesce(condition, F.lit(False))).count()
+
+
+def rule_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, violations): rows for which each condition is not true, all rules in one pass."""
+    counts = df.agg(*[F.count_if(~F.coalesce(condition, F.lit(False))).alias(name) for name, condition in rules.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in rules])))

@@ -2,11 +2,11 @@
 
 import pytest
 
-from panelshift.plans import data_checks, graph_queries, layer_queries, native_queries, panel_queries, release_queries
+from panelshift.plans import data_checks, graph_queries, layer_queries, native_queries, panel_queries, release_queries, source_queries
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (data_checks, release_queries, native_queries, panel_queries, layer_queries, graph_queries)
+MODULES = (data_checks, release_queries, native_queries, panel_queries, layer_queries, graph_queries, source_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
 
