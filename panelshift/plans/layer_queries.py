@@ -281,22 +281,117 @@ def cluster_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def selection_optimism(spark: SparkSession, d: str) -> DataFrame:
     """How much the better of two measures of the old release gains from being chosen: chosen anew in each draw, its mean there minus that over all panels."""
-    rows = members(spark, d).filter(F.col("support_name") == PRIMARY)
-    hits = F.col("new_above") < BUDGET
-    ranked = panel.both_ladders(rows.withColumn("evidence", F.coalesce("old_evidence_count", F.lit(0)).cast("double")), P)
-    ranked = panel.with_ladder(ranked, P, "evidence", "e_")
-    shares = [(F.count_if(hits & (F.col(f"{s}above") < BUDGET)) / F.count_if(hits)).alias(n) for s, n in (("old_", "by_score"), ("e_", "by_evidence"))]
-    values = cut_lineage(_rounded(ranked.groupBy(*P[1:]).agg(*shares)))
+    values = _capture_values(spark, d)
     names = ["by_score", "by_evidence"]
     draws = resampling.draw_means(values, resampling.hashed_plan(values, "canonical_disease_id", ["release_pair"], DRAWS), ["release_pair"], "canonical_disease_id", names)
     return _rounded(resampling.selection_optimism(values, cut_lineage(draws), ["release_pair"], names))
 
 
+def category_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Returned, positive, zero and unknown mass of either allocation by the targets' biotype and over all, and their changes, per support and release pair."""
+    biotypes = load(spark, d, "target_crosswalk", ["canonical_target_id", "source_biotype"]).select(clean_target("canonical_target_id").alias(TARGET), "source_biotype").filter(F.col(TARGET) != "")
+    kinds = biotypes.groupBy(TARGET).agg(F.min("source_biotype").alias("biotype"))
+    rows = members(spark, d)
+    label = F.when(F.col("old_evidence_count").eqNullSafe(F.col("new_evidence_count")), F.col("stable_entity_member").cast("int"))
+    parts = None
+    for side in ("old", "new"):
+        part = _allocated(rows, f"{side}_score").select(*P[:2], TARGET, "weight", label.alias("label"), F.lit(side).alias("side"))
+        parts = part if parts is None else parts.unionByName(part)
+    placed = parts.join(kinds, TARGET, "left").withColumn("category", F.explode(F.array(F.coalesce("biotype", F.lit("NONE")), F.lit("ALL"))))
+    masses = {"returned": F.lit(True), "positive": F.col("label") == 1, "zero": F.col("label") == 0, "unknown": F.col("label").isNull()}
+    sums = placed.groupBy(*P[:2], "category").agg(*[F.sum(F.when((F.col("side") == s) & m, F.col("weight")).otherwise(0.0)).alias(f"{s}_{n}") for s in ("old", "new") for n, m in masses.items()])
+    return _rounded(sums.withColumns({f"{n}_change": F.col(f"new_{n}") - F.col(f"old_{n}") for n in masses}))
+
+
+def paired_updates(spark: SparkSession, d: str) -> DataFrame:
+    """Targets whose weight changes in two consecutive release pairs of a disease, in the same or in opposite direction, and the mass that moves back and on."""
+    changes = _weight_changes(spark, d).select(*P, TARGET, "weight")
+    ends = changes.withColumns({"_from": F.split_part("release_pair", F.lit("_to_"), F.lit(1)), "_to": F.split_part("release_pair", F.lit("_to_"), F.lit(2))})
+    stored = cut_lineage(ends)
+    first = stored.select("support_name", "canonical_disease_id", TARGET, F.col("release_pair").alias("first_pair"), F.col("_to").alias("_at"), F.col("weight").alias("_a"))
+    second = stored.select("support_name", "canonical_disease_id", TARGET, F.col("release_pair").alias("second_pair"), F.col("_from").alias("_at"), F.col("weight").alias("_b"))
+    both = first.join(second, ["support_name", "canonical_disease_id", TARGET, "_at"])
+    opposed, moved = F.signum("_a") != F.signum("_b"), F.least(F.abs("_a"), F.abs("_b"))
+    sums = both.groupBy("support_name", "first_pair", "second_pair").agg(F.count_if(opposed).alias("opposing"), F.count_if(~opposed).alias("shared"), F.sum(F.when(opposed, moved).otherwise(0.0)).alias("opposing_mass"), F.sum(F.when(~opposed, moved).otherwise(0.0)).alias("shared_mass"))
+    return _rounded(sums)
+
+
+def selection_table(spark: SparkSession, d: str) -> DataFrame:
+    """Targets that both supports have, by whether the new allocation of either gives them weight, per release pair."""
+    rows = members(spark, d).filter(F.col("support_name").isin(PRIMARY, OTHER))
+    chosen = _allocated(rows, "new_score").select(*P, TARGET, F.lit(True).alias("_in"))
+    flags = rows.select(*P, TARGET).join(chosen, [*P, TARGET], "left").groupBy(*P[1:], TARGET).agg(*[F.max(F.when(F.col("support_name") == s, F.coalesce("_in", F.lit(False)))).alias(n) for s, n in ((PRIMARY, "in_primary"), (OTHER, "in_other"))])
+    return flags.dropna().groupBy("release_pair", "in_primary", "in_other").agg(F.count("*").alias("targets"))
+
+
+def affine_features(spark: SparkSession, d: str) -> DataFrame:
+    """Per panel: slope and intercept of the new score on the old one, the share of variance they leave, NULL without variance of the old score."""
+    rows = members(spark, d)
+    sums = rows.groupBy(*P).agg(F.regr_slope("new_score", "old_score").alias("slope"), F.regr_intercept("new_score", "old_score").alias("intercept"), F.regr_r2("new_score", "old_score").alias("_r2"), F.var_pop("new_score").alias("_vy"), F.var_pop("old_score").alias("_vx"))
+    real = F.col("_vx") > 1e-12  # else a constant old score could keep a rounding error for variance
+    return sums.select(*P, *[F.when(real, F.round(c, 6)).alias(c) for c in ("slope", "intercept")], F.when(real & (F.col("_vy") > 1e-12), F.round(1 - F.col("_r2"), 6)).alias("unexplained"))
+
+
+def hit_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    """Change of stable mass from the old to the new allocation: mean, mean of its size, and the share of panels where it reaches one slot."""
+    rows = members(spark, d)
+    flag = F.coalesce(F.col("stable_entity_member"), F.lit(False)).cast("int")
+    moved = _weight_changes(spark, d).join(rows.select(*P, TARGET, flag.alias("_f")), [*P, TARGET]).groupBy(*P).agg(F.round(F.sum(F.col("weight") * F.col("_f")), 9).alias("_c"))
+    panels = rows.select(*P).distinct().join(moved, P, "left").fillna(0.0, ["_c"])
+    size = F.abs("_c")
+    return _rounded(panels.groupBy(*P[:2]).agg(F.count("*").alias("panels"), F.avg("_c").alias("mean_change"), F.avg(size).alias("mean_size"), F.avg((size >= 1).cast("double")).alias("one_hit_fraction")))
+
+
+def ordered_output_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Panels with the same order, and with the same roster, of their first targets, per support, release pair and length."""
+    sums = ordered_outputs(spark, d).groupBy(*P[:2], "k").agg(F.count("*").alias("panels"), F.count_if("same_order").alias("same_order"), F.count_if("same_roster").alias("same_roster"))
+    return _rounded(sums.withColumns({"order_fraction": F.col("same_order") / F.col("panels"), "roster_fraction": F.col("same_roster") / F.col("panels")}))
+
+
+def _capture_values(spark: SparkSession, d: str) -> DataFrame:
+    """Per primary panel: the share of the new top targets that the old score, and that the old evidence, puts on top."""
+    rows = members(spark, d).filter(F.col("support_name") == PRIMARY).withColumn("evidence", F.coalesce("old_evidence_count", F.lit(0)).cast("double"))
+    hits = F.col("new_above") < BUDGET
+    ranked = panel.with_ladder(panel.both_ladders(rows, P), P, "evidence", "e_")
+    shares = [(F.count_if(hits & (F.col(f"{s}above") < BUDGET)) / F.count_if(hits)).alias(n) for s, n in (("old_", "by_score"), ("e_", "by_evidence"))]
+    return cut_lineage(_rounded(ranked.groupBy(*P[1:]).agg(*shares)))
+
+
+def left_out_choice(spark: SparkSession, d: str) -> DataFrame:
+    """For every release pair, the measure that captures more in all the others, and what it captures here against the best one here."""
+    values = _capture_values(spark, d).groupBy("release_pair").agg(F.sum("by_score").alias("a"), F.sum("by_evidence").alias("b"), F.count("*").alias("n")).withColumn("_all", F.lit(1))
+    totals = values.groupBy("_all").agg(*[F.sum(c).alias(f"_{c}") for c in "abn"])
+    others = {c: F.round((F.col(f"_{c}") - F.col(c)) / F.nullif(F.col("_n") - F.col("n"), F.lit(0)), 9) for c in "ab"}
+    first = F.coalesce(others["a"] >= others["b"], F.lit(True))
+    here = F.when(first, F.col("a")).otherwise(F.col("b")) / F.col("n")
+    return _rounded(values.join(totals, "_all").select("release_pair", F.when(first, "by_score").otherwise("by_evidence").alias("chosen"), here.alias("captured"), (F.greatest("a", "b") / F.col("n") - here).alias("loss")))
+
+
+def capture_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of the mean capture of either measure and of their paired difference, panels drawn together."""
+    values = cut_lineage(_capture_values(spark, d).withColumn("difference", F.round(F.col("by_score") - F.col("by_evidence"), 9)))
+    names = ["by_score", "by_evidence", "difference"]
+    plan = resampling.hashed_plan(values, "canonical_disease_id", ["release_pair"], DRAWS)
+    draws = cut_lineage(resampling.draw_means(values, plan, ["release_pair"], "canonical_disease_id", names))
+    return _rounded(resampling.percentile_intervals(values, draws, ["release_pair"], names))
+
+
+def movement_features(spark: SparkSession, d: str) -> DataFrame:
+    """Half the L1 distance of a panel's allocations, split into members called stable and others, with their shares of it."""
+    rows = members(spark, d)
+    flag = F.coalesce(F.col("stable_entity_member"), F.lit(False))
+    moved = _weight_changes(spark, d).join(rows.select(*P, TARGET, flag.alias("_f")), [*P, TARGET])
+    half = F.abs("weight") / 2
+    sums = moved.groupBy(*P).agg(F.sum(half).alias("half_l1"), F.sum(F.when(F.col("_f"), half).otherwise(0.0)).alias("stable_movement"), F.sum(F.when(~F.col("_f"), half).otherwise(0.0)).alias("other_movement"))
+    return _rounded(sums.withColumn("stable_share", ratio(F.col("stable_movement"), F.col("half_l1"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         leader_lists, changed_leaders, fixed_layers, layer_comparison, ablation_panels, ablation_summary, matched_support, endpoint_matrix, ordered_outputs, score_distribution, signed_mass, change_signs, state_contrasts, span_bounds,
-        direction_agreement, response_classes, action_overlap, flips, offered_totals, continuous_effect, degree_baseline, change_band, cluster_intervals, selection_optimism,
+        direction_agreement, response_classes, action_overlap, flips, offered_totals, continuous_effect, degree_baseline, change_band, cluster_intervals, selection_optimism, category_ledger,
+        paired_updates, selection_table, affine_features, hit_contrasts, ordered_output_summary, left_out_choice, capture_intervals, movement_features,
     )
 }
 
@@ -390,4 +485,26 @@ SELECT 'all' AS scope, {_r('any_value(e)')} AS estimate, {_r('any_value(s)')} AS
 pv AS (SELECT release_pair, d, round(count(*) FILTER (rn <= {BUDGET} AND ro <= {BUDGET}) / count(*) FILTER (rn <= {BUDGET}), 9) a, round(count(*) FILTER (rn <= {BUDGET} AND re <= {BUDGET}) / count(*) FILTER (rn <= {BUDGET}), 9) b FROM er GROUP BY 1, 2), {_picks('pv', 'release_pair')},
 dm AS (SELECT release_pair, draw, avg(a) a, avg(b) b FROM drawn GROUP BY 1, 2), pt AS (SELECT release_pair, avg(a) pa, avg(b) pb FROM pv GROUP BY 1)
 SELECT release_pair, CASE WHEN any_value(pa) >= any_value(pb) THEN 'by_score' ELSE 'by_evidence' END AS chosen, {_r('greatest(any_value(pa), any_value(pb))')} AS apparent, {_r('avg(CASE WHEN round(a, 12) >= round(b, 12) THEN a - pa ELSE b - pb END)')} AS optimism, {_r('greatest(any_value(pa), any_value(pb)) - avg(CASE WHEN round(a, 12) >= round(b, 12) THEN a - pa ELSE b - pb END)')} AS corrected FROM dm JOIN pt USING (release_pair) GROUP BY 1""",
+    "category_ledger": f"""WITH {_W}, kinds AS (SELECT regexp_replace(upper(trim(canonical_target_id)), '\\.[0-9]+$', '') t, min(source_biotype) b FROM target_crosswalk GROUP BY 1),
+x AS (SELECT support_name, release_pair, wo, wn, lab, unnest([coalesce(b, 'NONE'), 'ALL']) category FROM w LEFT JOIN (SELECT * FROM kinds WHERE t <> '') USING (t) WHERE wo > 0 OR wn > 0),
+y AS (SELECT support_name, release_pair, category, {', '.join(f"coalesce(sum({w}) FILTER ({m}), 0) {s}_{n}" for s, w in (("old", "wo"), ("new", "wn")) for n, m in (("returned", "true"), ("positive", "lab = 1"), ("zero", "lab = 0"), ("unknown", "lab IS NULL")))} FROM x GROUP BY 1, 2, 3)
+SELECT support_name, release_pair, category, {', '.join(f"{_r(f'{s}_{n}')} AS {s}_{n}" for s in ("old", "new") for n in ("returned", "positive", "zero", "unknown"))}, {', '.join(f"{_r(f'new_{n} - old_{n}')} AS {n}_change" for n in ("returned", "positive", "zero", "unknown"))} FROM y""",
+    "paired_updates": f"""WITH {_W}, v AS (SELECT *, round(wn - wo, 12) x FROM w WHERE round(wn - wo, 12) <> 0), j AS (SELECT a.support_name, a.release_pair p, b.release_pair q, a.x a, b.x b FROM v a JOIN v b ON a.support_name = b.support_name AND a.d = b.d AND a.t = b.t AND split_part(a.release_pair, '_to_', 2) = split_part(b.release_pair, '_to_', 1))
+SELECT support_name, p AS first_pair, q AS second_pair, count(*) FILTER (sign(a) <> sign(b)) AS opposing, count(*) FILTER (sign(a) = sign(b)) AS shared, {_r('coalesce(sum(least(abs(a), abs(b))) FILTER (sign(a) <> sign(b)), 0)')} AS opposing_mass, {_r('coalesce(sum(least(abs(a), abs(b))) FILTER (sign(a) = sign(b)), 0)')} AS shared_mass FROM j GROUP BY 1, 2, 3""",
+    "selection_table": f"""WITH {_W}, b AS (SELECT release_pair, d, t, bool_or(wn > 0) FILTER ({_PAIRED[0]}) p, bool_or(wn > 0) FILTER ({_PAIRED[1]}) o FROM w GROUP BY 1, 2, 3) SELECT release_pair, p AS in_primary, o AS in_other, count(*) AS targets FROM b WHERE p IS NOT NULL AND o IS NOT NULL GROUP BY 1, 2, 3""",
+    "affine_features": f"""WITH {_PM}, f AS (SELECT {_BY}, var_pop(o) > 1e-12 x, var_pop(n) > 1e-12 y, regr_slope(n, o) s, regr_intercept(n, o) i, regr_r2(n, o) r FROM pm GROUP BY 1, 2, 3)
+SELECT {_ID}, CASE WHEN x THEN round(s, 6) END AS slope, CASE WHEN x THEN round(i, 6) END AS intercept, CASE WHEN x AND y THEN round(1 - r, 6) END AS unexplained FROM f""",
+    "hit_contrasts": f"""WITH {_W}, c AS (SELECT {_BY}, round(sum(CASE WHEN round(wn - wo, 12) <> 0 THEN (wn - wo) * coalesce(stable, false)::INT ELSE 0 END), 9) x FROM w GROUP BY 1, 2, 3)
+SELECT support_name, release_pair, count(*) AS panels, {_r('avg(x)')} AS mean_change, {_r('avg(abs(x))')} AS mean_size, {_r('avg((abs(x) >= 1)::INT::DOUBLE)')} AS one_hit_fraction FROM c GROUP BY 1, 2""",
+    "movement_features": f"""WITH {_W}, c AS (SELECT {_BY}, sum(abs(x)) / 2 h, coalesce(sum(abs(x)) FILTER (coalesce(stable, false)), 0) / 2 s FROM (SELECT *, round(wn - wo, 12) x FROM w) WHERE x <> 0 GROUP BY 1, 2, 3)
+SELECT {_ID}, {_r('h')} AS half_l1, {_r('s')} AS stable_movement, {_r('h - s')} AS other_movement, {_r('s / h')} AS stable_share FROM c""",
 }
+ORACLE["ordered_output_summary"] = f"""WITH o AS ({ORACLE['ordered_outputs']}) SELECT support_name, release_pair, k, count(*) AS panels, count(*) FILTER (same_order) AS same_order, count(*) FILTER (same_roster) AS same_roster, round(count(*) FILTER (same_order) / count(*), 9) AS order_fraction,
+round(count(*) FILTER (same_roster) / count(*), 9) AS roster_fraction FROM o GROUP BY 1, 2, 3"""
+_CAPTURE = f"""{_RANKED}, er AS (SELECT *, rank() OVER (PARTITION BY {_BY} ORDER BY coalesce(oe, 0) DESC) re FROM ranked WHERE support_name = '{PRIMARY}'),
+cv AS (SELECT release_pair, d, round(count(*) FILTER (rn <= {BUDGET} AND ro <= {BUDGET}) / count(*) FILTER (rn <= {BUDGET}), 9) a, round(count(*) FILTER (rn <= {BUDGET} AND re <= {BUDGET}) / count(*) FILTER (rn <= {BUDGET}), 9) b FROM er GROUP BY 1, 2)"""
+ORACLE["left_out_choice"] = f"""WITH {_CAPTURE}, g AS (SELECT release_pair, sum(a) a, sum(b) b, count(*) n FROM cv GROUP BY 1), k AS (SELECT *, coalesce(round((sum(a) OVER () - a) / nullif(sum(n) OVER () - n, 0), 9) >= round((sum(b) OVER () - b) / nullif(sum(n) OVER () - n, 0), 9), true) f FROM g)
+SELECT release_pair, CASE WHEN f THEN 'by_score' ELSE 'by_evidence' END AS chosen, {_r('CASE WHEN f THEN a ELSE b END / n')} AS captured, {_r('greatest(a, b) / n - CASE WHEN f THEN a ELSE b END / n')} AS loss FROM k"""
+ORACLE["capture_intervals"] = f"""WITH {_CAPTURE}, pv AS (SELECT *, round(a - b, 9) c FROM cv), {_picks('pv', 'release_pair')}, dm AS (SELECT release_pair, draw, avg(a) a, avg(b) b, avg(c) c FROM drawn GROUP BY 1, 2),
+u AS (SELECT release_pair, unnest(['by_score', 'by_evidence', 'difference']) measure, unnest([a, b, c]) x FROM dm), pt AS (SELECT release_pair, unnest(['by_score', 'by_evidence', 'difference']) measure, unnest([avg(a), avg(b), avg(c)]) e FROM pv GROUP BY 1)
+SELECT release_pair, measure, {_r('any_value(e)')} AS estimate, {_r('quantile_cont(x, 0.025)')} AS lower, {_r('quantile_cont(x, 0.975)')} AS upper, count(*) AS draws FROM u JOIN pt USING (release_pair, measure) GROUP BY 1, 2"""
