@@ -112,8 +112,8 @@ def with_areas(rows: DataFrame, areas: str = "areas") -> DataFrame:
 def dominant(rows: DataFrame, by: list[str], unit: str, weight: Column, out: str) -> DataFrame:
     """The unit with the greatest weight per group (of equal ones the least id): `out`_id and `out`_weight."""
     sums = rows.groupBy(*by, unit).agg(weight.alias("_w"))
-    best = sums.groupBy(*by).agg(F.max("_w").alias("_w"))
-    return sums.join(best, [*by, "_w"]).groupBy(*by).agg(F.min(unit).alias(f"{out}_id"), F.max("_w").alias(f"{out}_weight"))
+    first = sums.groupBy(*by).agg(F.min(F.struct((-F.col("_w")).alias("w"), F.col(unit).alias("u"))).alias("_f"))
+    return first.select(*by, F.col("_f.u").alias(f"{out}_id"), (-F.col("_f.w")).alias(f"{out}_weight"))
 
 
 def weighted_quantile(rows: DataFrame, by: list[str], value: str, weight: str, levels: dict[str, float]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import is_finite, ratio, when_chain
@@ -98,14 +98,15 @@ def entrant_exit_records(transitions: DataFrame) -> DataFrame:
 
 def fixed_members(transitions: DataFrame, releases: list[str]) -> DataFrame:
     """Members of fixed supports: PAIR_SUPPORT (eligible in both releases) and LASTING_SUPPORT (eligible in every release, named after the usual three)."""
-    both = transitions.filter("old_eligible and new_eligible").select(
-        "release_pair", "old_release", "new_release", "canonical_disease_id", "canonical_target_id", "old_score", "new_score", "old_evidence_count", "new_evidence_count",
-        F.col("stable_entity").alias("stable_member"), "mapping_affected", "areas",
-    )
-    steps = len(releases) - 1
-    whole = both.groupBy("canonical_disease_id", "canonical_target_id").agg(F.count("*").alias("_n"), F.bool_and("stable_member").alias("_stable")).filter(F.col("_n") == steps)
-    lasting = both.join(whole, ["canonical_disease_id", "canonical_target_id"]).withColumn("stable_member", F.col("_stable")).drop("_n", "_stable")
-    return both.select(F.lit(PAIR_SUPPORT).alias("support_name"), "*").unionByName(lasting.select(F.lit(LASTING_SUPPORT).alias("support_name"), *both.columns))
+    pair = Window.partitionBy("canonical_disease_id", "canonical_target_id")
+    columns = ["release_pair", "old_release", "new_release", "canonical_disease_id", "canonical_target_id", "old_score", "new_score", "old_evidence_count", "new_evidence_count"]
+    both = transitions.filter("old_eligible and new_eligible").withColumns({"_n": F.count("*").over(pair), "_stable": F.min("stable_entity").over(pair)})  # one row per release pair
+    supports = F.array(
+        F.struct(F.lit(PAIR_SUPPORT).alias("support_name"), F.col("stable_entity").alias("stable_member")),
+        F.when(F.col("_n") == len(releases) - 1, F.struct(F.lit(LASTING_SUPPORT).alias("support_name"), F.col("_stable").alias("stable_member"))),
+    )
+    each = both.select(*columns, "mapping_affected", "areas", F.inline(F.array_compact(supports)))
+    return each.select("support_name", *columns, "stable_member", "mapping_affected", "areas")
 
 
 def fixed_registry(members: DataFrame, primary: int = 30) -> DataFrame:

@@ -54,12 +54,12 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def members(spark: SparkSession, d: str) -> DataFrame:
     names = releases(spark, d)
-    return support.fixed_members(_kept(support.state_transitions(canonical(spark, d), names)), names)
+    return support.fixed_members(support.state_transitions(canonical(spark, d), names), names)
 
 
 def revisions(spark: SparkSession, d: str) -> DataFrame:
     names = releases(spark, d)
-    return revision.pair_revisions(support.fixed_members(_kept(support.state_transitions(canonical(spark, d), names)), names), f"{names[0]}_to_{names[1]}")
+    return revision.pair_revisions(support.fixed_members(support.state_transitions(canonical(spark, d), names), names), f"{names[0]}_to_{names[1]}")
 
 
 def crosswalk_statuses(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ def score_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scale_diagnostic(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(revision.scale_diagnostic(revisions(spark, d)))
+    return _rounded(revision.scale_diagnostic(_kept(revisions(spark, d))))
 
 
 def score_tier_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,7 @@ def concentration(spark: SparkSession, d: str) -> DataFrame:
 def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
     """Directions of both changes of pairs that every three consecutive releases have, per span of releases."""
     names = releases(spark, d)
-    fixed = support.fixed_members(_kept(support.state_transitions(canonical(spark, d), names)), names).filter(F.col("support_name") == support.PAIR_SUPPORT)
+    fixed = support.fixed_members(support.state_transitions(canonical(spark, d), names), names).filter(F.col("support_name") == support.PAIR_SUPPORT)
     return _rounded(revision.trajectory_summary(_kept(revision.trajectories(fixed, names)), ("release_span",)))
 
 
