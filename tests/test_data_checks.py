@@ -190,6 +190,29 @@ def test_rename_without_common_values_is_suspected(spark):
     assert rows(matches.filter("declared"), "old_name", "new_name") == [("k", "k"), ("score_x", "score_x")]
 
 
+def test_recall_of_planted_renames(spark):
+    """Renames by a new ending, a further word, moved words or a shortened word with other values, and by an unrelated name with the same values."""
+    random.seed(13)
+    heads, tails = ["assay", "sample", "donor", "signal", "batch", "tissue", "cohort", "variant"], ["level", "margin", "region", "quality", "source", "depth", "status", "offset"]
+    data, planted = [], set()
+    for feed in range(20):
+        names = random.sample([f"{a}_{b}" for a in heads for b in tails], 5)
+        turned = {
+            names[0]: names[0] + "s", names[1]: names[1] + "_raw", names[2]: names[2].split("_")[1] + names[2].split("_")[0].title(), names[3]: names[3].split("_")[0] + "_" + names[3].split("_")[1][:4],
+            names[4]: f"zz{feed}q",
+        }
+        planted |= {(f"f{feed}", a, b) for a, b in turned.items()}
+        shared = [f'"v{feed}_{i}"' for i in range(12)]
+        for i in range(12):
+            old = [f'"{n}": {random.random()}' for n in names[:4]] + [f'"{names[4]}": {shared[i]}', f'"lost{feed}": [1]', '"kept": 1']
+            new = [f'"{turned[n]}": {random.random()}' for n in names[:4]] + [f'"{turned[names[4]]}": {shared[i]}', f'"fresh{feed}": true', '"kept": 2']
+            data += [(f"f{feed}", 1, f"{{{', '.join(old)}}}"), (f"f{feed}", 2, f"{{{', '.join(new)}}}")]
+    records = spark.createDataFrame(data, "feed string, seq int, payload string")
+    profiles = drift.field_profiles(drift.payload_fields(records, "payload", ["feed", "seq"]), "feed", "seq").withColumn("role", F.lit(None).cast("string"))
+    found = {(r["feed"], r["old_name"], r["new_name"]) for r in drift.match_fields(profiles, "feed", "seq").filter("not declared").collect()}
+    assert len(found & planted) >= 0.9 * len(planted) and len(found & planted) >= 0.9 * len(found)
+
+
 def test_no_field_is_lost_in_the_unified_table(spark):
     values = ['"north"', '"south"', '"east"', '"west"']
     files = [(1, f'{{"region": {v}, "aB": 1, "s": "high"}}') for v in values] + [(2, f'{{"area_name": {v}, "a_b": null, "t": {{"other": 2}}}}') for v in values]
