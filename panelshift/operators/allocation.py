@@ -40,10 +40,11 @@ def compare_allocations(old: DataFrame, new: DataFrame, panel: list[str], item:
     )
 
 
-def stable_weights(allocations: DataFrame, panel: list[str], item: str, source: str, sources: int) -> DataFrame:
-    """Per panel and item the least weight over all sources; items that a source lacks drop out."""
+def stable_weights(allocations: DataFrame, panel: list[str], item: str, source: str, scope: str) -> DataFrame:
+    """Per panel and item the least weight over all sources that the panel's `scope` has; items that a source lacks drop out."""
     least = allocations.groupBy(*panel, item).agg(F.min("weight").alias("weight"), F.countDistinct(source).alias("_n"))
-    return least.filter(F.col("_n") == sources).drop("_n")
+    sources = allocations.groupBy(scope).agg(F.countDistinct(source).alias("_all"))
+    return least.join(sources, scope).filter(F.col("_n") == F.col("_all")).select(*panel, item, "weight")
 
 
 def mean_weights(allocations: DataFrame, panel: list[str], item: str, source: str) -> DataFrame:

@@ -161,7 +161,7 @@ def arm_mass(spark: SparkSession, d: str) -> DataFrame:
 def stable_allocation(spark: SparkSession, d: str) -> DataFrame:
     """Weight that a target keeps under every release pair."""
     new = _allocated(members(spark, d), "new_score")
-    return _rounded(allocation.stable_weights(new, ["support_name", "canonical_disease_id"], TARGET, "release_pair", 3))
+    return _rounded(allocation.stable_weights(new, ["support_name", "canonical_disease_id"], TARGET, "release_pair", "support_name"))
 
 
 def mean_allocation(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +342,7 @@ SELECT {_ID}, {_r('returned')} AS returned, {_r('known')} AS known, {_r('u')} AS
 c AS (SELECT *, round(known + lo, 12) AS lower, round(known + hi, 12) AS upper FROM b) SELECT {_ID}, {_r('returned')} AS returned, {_r('known')} AS known, {_r('u')} AS unknown_mass, {_r('lower')} AS lower, {_r('upper')} AS upper, {_DIRECTION} AS direction FROM c""",
     "arm_mass": f"""WITH {_W} SELECT {_ID}, {_r('sum(wn)')} AS returned, {_r('coalesce(sum(wn) FILTER (lab = 1), 0)')} AS positive, {_r('coalesce(sum(wn) FILTER (lab = 0), 0)')} AS negative, {_r('coalesce(sum(wn) FILTER (lab IS NULL AND stable IS NOT NULL), 0)')} AS null_label,
 {_r('coalesce(sum(wn) FILTER (stable IS NULL), 0)')} AS no_label, {_r(f'{BUDGET} - sum(wn)')} AS vacant FROM w GROUP BY {_BY}""",
-    "stable_allocation": f"WITH {_W} SELECT support_name, d AS canonical_disease_id, t AS canonical_target_id, {_r('min(wn)')} AS weight FROM w WHERE wn > 0 GROUP BY 1, 2, 3 HAVING count(DISTINCT release_pair) = 3",
+    "stable_allocation": f"WITH {_W} SELECT support_name, d AS canonical_disease_id, t AS canonical_target_id, {_r('min(wn)')} AS weight FROM w WHERE wn > 0 GROUP BY 1, 2, 3 HAVING count(DISTINCT release_pair) = (SELECT count(DISTINCT release_pair) FROM w v WHERE v.support_name = w.support_name)",
     "mean_allocation": f"WITH {_W}, k AS (SELECT support_name, d, count(DISTINCT release_pair) k FROM w WHERE wn > 0 GROUP BY 1, 2) SELECT support_name, d AS canonical_disease_id, t AS canonical_target_id, {_r('sum(wn) / max(k)')} AS weight FROM w JOIN k USING (support_name, d) WHERE wn > 0 GROUP BY 1, 2, 3",
     "donor_means": f"""WITH {_CHANGE}, donors AS (SELECT support_name, release_pair, coalesce(areas, '') donor, avg(half_l1) h, avg(weighted_jaccard) j, count(*) k FROM change GROUP BY 1, 2, 3)
 SELECT support_name, release_pair, count(*) AS donors, sum(k)::BIGINT AS models, {_r('avg(h)')} AS half_l1, {_r('avg(j)')} AS weighted_jaccard FROM donors GROUP BY 1, 2""",

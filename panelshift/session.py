@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -48,22 +49,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def intermediate_path(spark: SparkSession, suffix: str = "") -> str:
     """A new path in the shared folder, removed like the tables of `cut_lineage`."""
     path = f"{shared_folder(spark)}/panelshift-{uuid.uuid4().hex}{suffix}"
-    if not _written:
-        atexit.register(drop_intermediates, spark)
     _written.append(path)
     return path
 
 
 def drop_intermediates(spark: SparkSession, since: int = 0) -> None:
     """Remove the intermediate tables of this application, from the `since`-th on; results not yet stored that read them are lost."""
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    while len(_written) > since:
-        path = _written.pop()
-        if context is None or jvm is None:  # the application has ended, its context with it
-            continue
-        with suppress(Exception):
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context.hadoopConfiguration()).delete(place, True)
+    _drop(spark.sparkContext, since)
+
+
+def _drop(context: SparkContext | None, since: int = 0) -> None:
+    paths = [_written.pop() for _ in range(len(_written) - since)]
+    if context is None or context._jsc is None:  # the context has ended before the application
+        return
+    with suppress(Exception):  # the folder's owner clears what is left
+        for path in paths:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+atexit.register(lambda: _drop(SparkContext._active_spark_context))
 
 
 @contextmanager
