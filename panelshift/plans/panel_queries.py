@@ -365,10 +365,14 @@ SELECT support_name, release_pair, count(*) FILTER (w AND changed) AS true_warni
 k AS (SELECT *, rank() OVER (PARTITION BY support_name, release_pair, s ORDER BY x DESC) pr, count(*) OVER (PARTITION BY support_name, release_pair, s, x) pc, count(*) OVER (PARTITION BY support_name, release_pair, s) pn FROM both_),
 m AS (SELECT support_name, release_pair, s, {_r('avg((x - y) ** 2)')} b, {_r('sum(y * least(greatest(ceil(pn * 0.25) - (pr - 1), 0), pc) / pc) / sum(y)')} c FROM k GROUP BY 1, 2, 3)
 SELECT support_name, release_pair, s AS chosen FROM m WHERE c IS NOT NULL AND b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY support_name, release_pair ORDER BY c DESC, b, s) = 1""",
-    "scenario_outcomes": f"""WITH {_PM}, num AS (SELECT {_BY}, t, o s, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('0' || '|' || support_name || '|' || release_pair || '|' || d || '|' || t), t) no, count(*) OVER (PARTITION BY {_BY}) k, max(o) OVER (PARTITION BY {_BY}) best FROM pm),
-cases AS (SELECT *, no <= ceil(level * k) hit FROM num, (SELECT unnest(['UNCHANGED', 'RESCALE', 'LEADER_SWAP', 'ENTRY', 'EXIT', 'RENAME', 'PERTURB']) scenario), (SELECT unnest([0.01::DOUBLE, 0.05, 0.2]) level)),
-ed AS (SELECT {_BY}, scenario, level, s o, CASE WHEN scenario = 'RESCALE' THEN s * 0.5 WHEN scenario = 'LEADER_SWAP' AND no = 1 THEN best + 1 WHEN scenario IN ('EXIT', 'RENAME') AND hit THEN NULL WHEN scenario = 'PERTURB' AND hit THEN s * 0.9 ELSE s END n FROM cases
-UNION ALL SELECT {_BY}, scenario, level, NULL, s FROM cases WHERE scenario IN ('ENTRY', 'RENAME') AND hit), b AS (SELECT *, max(o) OVER p bo, max(n) OVER p bn FROM ed WINDOW p AS (PARTITION BY {_BY}, scenario, level))
+    "scenario_outcomes": f"""WITH {_PM}, num AS (SELECT {_BY}, t, o s, row_number() OVER (PARTITION BY {_BY} ORDER BY md5('0' || '|' || support_name || '|' || release_pair || '|' || d || '|' || t), t) no, count(*) OVER p k, max(o) OVER p best, quantile_cont(o, 0.5) OVER p med FROM pm WINDOW p AS (PARTITION BY {_BY})),
+first_ AS (SELECT {_BY}, min(t) FILTER (s = best) lead_, min(t) FILTER (s < best) other FROM num GROUP BY 1, 2, 3), other_ AS (SELECT f.*, x.s os FROM first_ f LEFT JOIN num x ON x.support_name = f.support_name AND x.release_pair = f.release_pair AND x.d = f.d AND x.t = f.other),
+runs AS (SELECT unnest(['unchanged', 'monotone_score_rescaling', 'persistent_leader_replacement']) scenario, NULL::DOUBLE AS level UNION ALL SELECT c, l FROM (SELECT unnest(['persistent_score_perturbation', 'roster_entry', 'roster_exit', 'exact_reversible_identifier_rename']) c), (SELECT unnest([0.01::DOUBLE, 0.05, 0.2]) l)),
+cases AS (SELECT num.*, lead_, other, os, scenario, level, greatest(1, ceil(level * k)) amount, coalesce(no <= greatest(1, ceil(level * k)), false) hit FROM num JOIN other_ USING ({_BY}), runs),
+ed AS (SELECT {_BY}, scenario, level, s o, CASE WHEN scenario = 'monotone_score_rescaling' THEN s * 0.5 WHEN scenario = 'persistent_leader_replacement' THEN CASE WHEN other IS NULL THEN CASE WHEN t = lead_ THEN s ELSE s * 0.5 END WHEN t = lead_ THEN os WHEN t = other THEN best ELSE s END
+  WHEN scenario = 'persistent_score_perturbation' AND hit THEN least(1.0, s * (1 + CASE WHEN no % 2 = 1 THEN level ELSE -level END)) WHEN scenario IN ('roster_exit', 'exact_reversible_identifier_rename') AND hit THEN NULL ELSE s END n FROM cases
+  UNION ALL SELECT {_BY}, scenario, level, NULL, CASE WHEN scenario <> 'roster_entry' THEN s WHEN no <= ceil(amount / 2) THEN best ELSE med END FROM cases WHERE scenario IN ('roster_entry', 'exact_reversible_identifier_rename') AND hit),
+b AS (SELECT *, max(o) OVER p bo, max(n) OVER p bn FROM ed WINDOW p AS (PARTITION BY {_BY}, scenario, level))
 SELECT {_ID}, scenario, level, count(*) FILTER (o IS NOT NULL AND n IS NOT NULL) AS persistent, count(*) FILTER (o IS NULL) AS entering, count(*) FILTER (n IS NULL) AS exiting, count(*) FILTER (o <> n) AS changed,
 bool_or(coalesce(o = bo, false) <> coalesce(n = bn, false)) AS leaders_changed FROM b GROUP BY {_BY}, scenario, level""",
 }
