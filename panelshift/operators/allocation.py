@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelshift.functions.scalars import ratio, when_chain
+from panelshift.operators.ordering import running_sum
 from panelshift.operators.panel import with_ladder
 
 
@@ -118,9 +119,13 @@ def concentration_shares(rows: DataFrame, by: list[str], unit: str, value: str,
 
 
 def matched_prefix(allocations: DataFrame, panel: list[str], item: str, score: str, target: str) -> DataFrame:
-    """Allocations cut off where their running weight, best scores first, reaches the panel's target mass; the last item is cut to fit."""
-    along = Window.partitionBy(*panel).orderBy(F.col(score).desc(), item).rowsBetween(Window.unboundedPreceding, 0)
-    run = allocations.withColumn("_run", F.sum("weight").over(along))
+    """Allocations cut off where their running weight, best scores first, reaches the panel's target mass; the last item is cut to fit.
+
+    Tied items follow the md5 of their name, in ranges of it, so that a panel of ties only is not ordered in one task.
+    """
+    named = allocations.withColumn("_digest", F.md5(F.col(item).cast("string")))
+    placed = named.withColumn("_part", F.struct((-F.col(score)).alias("s"), F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int").alias("b")))
+    run = running_sum(placed, panel, "_part", ["_digest", item], "weight", "_run").drop("_part", "_digest")
     kept = F.greatest(F.lit(0.0), F.col("weight") - F.greatest(F.lit(0.0), F.col("_run") - F.col(target)))
     return run.withColumn("kept_weight", kept).filter("kept_weight > 1e-12").drop("_run")
 

@@ -350,7 +350,7 @@ SELECT support_name, release_pair, count(*) AS donors, sum(k)::BIGINT AS models,
 SELECT {_ID}, {_r('v')} AS mean_change, {_r('(s - v) / nullif(k - 1, 0)')} AS mean_without, {_r('s / k - (s - v) / nullif(k - 1, 0)')} AS influence FROM y""",
     "change_concentration": f"""WITH {_PM}, u AS (SELECT support_name, release_pair, t, sum(abs(round((n - o) * 1e9))::BIGINT)::BIGINT v FROM pm GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY support_name, release_pair ORDER BY v DESC, t) p FROM u)
 SELECT support_name, release_pair, count(*) AS units, sum(v)::BIGINT AS total, {_r('sum(v) FILTER (p <= 1) / nullif(sum(v), 0)')} AS top_1_share, {_r('sum(v) FILTER (p <= 5) / nullif(sum(v), 0)')} AS top_5_share, {_r('sum(v) FILTER (p <= 10) / nullif(sum(v), 0)')} AS top_10_share FROM k GROUP BY 1, 2""",
-    "matched_prefix": f"""WITH {_W}, run AS (SELECT *, sum(wn) OVER (PARTITION BY {_BY} ORDER BY n DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) c FROM w WHERE wn > 0), k AS (SELECT *, greatest(0, wn - greatest(0, c - 4.5)) kw FROM run)
+    "matched_prefix": f"""WITH {_W}, run AS (SELECT *, sum(wn) OVER (PARTITION BY {_BY} ORDER BY n DESC, md5(t), t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) c FROM w WHERE wn > 0), k AS (SELECT *, greatest(0, wn - greatest(0, c - 4.5)) kw FROM run)
 SELECT {_ID}, t AS canonical_target_id, {_r('kw')} AS kept_weight FROM k WHERE kw > 1e-12""",
     "leader_regret": f"""WITH {_RANKED}, b AS (SELECT *, max(n) OVER (PARTITION BY {_BY}) bn FROM ranked) SELECT {_ID}, {_r('max(n)')} AS best_value, {_r('max(n) FILTER (ro = 1)')} AS chosen_value, min(t) FILTER (n = bn) AS best_option, {_r('max(n) - max(n) FILTER (ro = 1)')} AS loss FROM b GROUP BY {_BY}""",
     "nondominated_targets": f"""WITH {_PM} SELECT a.support_name, a.release_pair, a.d AS canonical_disease_id, a.t AS canonical_target_id, a.n AS new_score, a.ne AS new_evidence_count FROM pm a WHERE ne IS NOT NULL
