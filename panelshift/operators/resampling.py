@@ -21,7 +21,8 @@ def hashed_plan(units: DataFrame, unit: str, by: list[str], draws: int) -> DataF
     """
     named = units.select(*by, unit).dropna().distinct()
     numbered = hash_numbered(named, by, F.md5(F.col(unit).cast("string")), unit, "_no").join(named.groupBy(*by).agg(F.count("*").alias("_n")), by).withColumn("_no", F.col("_no") - 1)
-    picks = numbered.select(*by, "_no", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    spread = numbered.repartition(numbered.sparkSession.sparkContext.defaultParallelism)  # few units make many draws
+    picks = spread.select(*by, "_no", "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.col("_no").cast("string"))), 1, 8), 16, 10).cast("long")
     chosen = picks.withColumn("_pick", hashed % F.col("_n")).groupBy(*by, "draw", F.col("_pick").alias("_no")).agg(F.count("*").alias("times"))
     return chosen.join(numbered.select(*by, unit, "_no"), [*by, "_no"]).drop("_no")
